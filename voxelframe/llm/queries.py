@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelframe.llm import chat, piece, shard, wordpiece
+from voxelframe.llm import chat, piece, shard, toxicity, wordpiece
 from voxelframe.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encode(table(spark, sf_dir, "documents"), tokenizer_bytes(), ids=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -39,6 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_toxicity": op6_toxicity,
     "op7_chat_format": op7_chat_format,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
