@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelframe.llm import chat, jaccard, piece, shard, toxicity, wordpiece
+from voxelframe.llm import chat, decontam, jaccard, piece, shard, toxicity, wordpiece
 from voxelframe.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def tokenizer_bytes(name: str = PIECE_MODEL) -> bytes:
         return f.read()
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -46,6 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
