@@ -207,7 +207,9 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     placed = met.join(large, "pivot", "left").withColumn("bands", F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1))))
     placed = placed.groupBy(*key, "node").agg(F.flatten(F.collect_list(F.transform("bands", lambda b: F.struct(F.col("pivot").alias("pivot"), b.alias("band"))))).alias("regions"))
-    sets = docs.join(placed.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "mark", "n", "regions", "text")
+    # The documents in regions grow with the corpus: they are never broadcast, at any size.
+    wanted = placed.withColumnRenamed("node", "doc_id").hint("shuffle_hash")
+    sets = docs.join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "mark", "n", "regions", "text")
     sets = sets.mapInArrow(_region_sets(n), "node long, regions array<struct<pivot: long, band: int>>, shingles binary")
     sets = sets.select("node", "shingles", F.explode("regions").alias("r")).select("node", "shingles", "r.pivot", "r.band")
 
