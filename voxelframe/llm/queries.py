@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelframe.llm import chat, decontam, jaccard, lattice, piece, shard, toxicity, wordpiece
+from voxelframe.llm import chat, decontam, jaccard, lattice, piece, shard, toxicity, vptree, wordpiece
 from voxelframe.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encode(table(spark, sf_dir, "documents"), tokenizer_bytes(), ids=False)
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_lattice_score": op3_lattice_score,
+    "op4_nearest": op4_nearest,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op7_chat_format": op7_chat_format,
