@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelframe.llm import chat, decontam, jaccard, lattice, piece, shard, toxicity, vptree, wordpiece
+from voxelframe.llm import chat, decontam, jaccard, lattice, license, piece, shard, toxicity, vptree, wordpiece
 from voxelframe.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -49,6 +49,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(turns.unionByName(more))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(table(spark, sf_dir, "documents"), shards=24)
 
@@ -65,7 +69,10 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op7_chat_format": op7_chat_format,
+    "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_license_scan": license.oracle_sql(),
+}

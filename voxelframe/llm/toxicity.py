@@ -213,15 +213,16 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
     The whole text is read; null and empty texts get the score of no evidence.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the learning rows
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    fields = [f for f in rows.schema.fields if f.name != "__text"]
+    carried = [F.col(c) for c in keep]
+    rows = docs.select(*carried) if "text" in keep else docs.select(*carried, "text")
+    fields = [f for f in rows.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "__text"):
-                p = model.scores([model.evidence(t or "") for t in part.column("__text").to_pylist()])
+            for part in slices(batch):
+                p = model.scores([model.evidence(t or "") for t in part.column("text").to_pylist()])
                 columns = [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + columns, [f.name for f in fields] + ["score", "predicted"])
 
