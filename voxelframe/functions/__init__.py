@@ -1 +1 @@
-"""Part of voxelframe."""
+"""Column expressions: names and paths, shapes and chunks."""

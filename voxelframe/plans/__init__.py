@@ -1 +1,6 @@
-"""Part of voxelframe."""
+"""The query catalogue."""
+
+from voxelframe.plans import arrays, metadata  # noqa: F401
+from voxelframe.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
