@@ -220,19 +220,23 @@ def fold_expression(node):
 def fold(body: list) -> list:
     """Constant expressions become constants, tests of constants choose their arm, neighbouring texts join."""
     out: list = []
+
+    def add(node) -> None:
+        if node[0] == "text" and node[1][0] == "const":
+            before = out.pop()[1][1] if out and out[-1][0] == "text" and out[-1][1][0] == "const" else ""
+            text = _text(before) + _text(node[1][1])
+            node = ("text", ("const", text))
+            if not text:
+                return
+        out.append(node)
+
     for node in body:
         if node[0] == "text":
-            value = fold_expression(node[1])
-            if value[0] == "const":
-                if out and out[-1][0] == "text" and out[-1][1][0] == "const":
-                    value = ("const", _text(out.pop()[1][1]) + _text(value[1]))
-                if not _text(value[1]):
-                    continue
-            out.append(("text", value))
+            add(("text", fold_expression(node[1])))
         elif node[0] == "for":
-            out.append(("for", node[1], node[2], fold(node[3])))
+            add(("for", node[1], node[2], fold(node[3])))
         elif node[0] == "generation":
-            out.append(("generation", fold(node[1])))
+            add(("generation", fold(node[1])))
         else:
             arms, rest = [], fold(node[2])
             for test, inner in node[1]:
@@ -243,7 +247,11 @@ def fold(body: list) -> list:
                         break
                     continue
                 arms.append((test, fold(inner)))
-            out += [("if", arms, rest)] if arms else rest
+            if arms:
+                add(("if", arms, rest))
+            else:
+                for inner in rest:
+                    add(inner)
     return out
 
 
