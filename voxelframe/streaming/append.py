@@ -16,7 +16,8 @@ def append_stream(cells: DataFrame, path: str, checkpoint: str, axes: Sequence[s
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        last = batch.groupBy(*axes).agg(F.max_by("value", F.monotonically_increasing_id()).alias("value"))
+        placed = batch.withColumn("__n", F.monotonically_increasing_id())
+        last = placed.groupBy(*axes).agg(F.max_by("value", "__n").alias("value"))
         last.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return cells.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
