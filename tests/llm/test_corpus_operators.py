@@ -64,9 +64,10 @@ def edited_corpus(seed, families=25, most=14):
     return [(k * 3 + 1, t.upper() if k % 7 == 0 else t.replace(" ", " \n") if k % 5 == 0 else t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed, n, percent, large", [(1, 3, 90, 4000), (2, 3, 90, 2), (3, 5, 80, 4000), (4, 2, 60, 3)])
-def test_near_groups(spark, monkeypatch, seed, n, percent, large):
+@pytest.mark.parametrize("seed, n, percent, large, rounds", [(1, 3, 90, 10**6, 6), (2, 3, 90, 150, 6), (3, 5, 80, 10**6, 6), (4, 2, 60, 60, 2), (5, 3, 80, 20, 1)])
+def test_near_groups(spark, monkeypatch, seed, n, percent, large, rounds):
     monkeypatch.setattr(jaccard, "LARGE_REGION", large)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     rows = [*edited_corpus(seed), (1000, None), (1003, ""), (1006, " \n")]
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(documents(spark, rows), n, percent).collect()}
     assert out == brute_groups(rows, n, percent)

@@ -13,7 +13,10 @@ every region; so regions are made in two steps.
     pivot there. A region is joined recursively by true distances: a pivot takes the ball of
     all within the radius r, which is one component; by the triangle inequality a partner of
     the ball lies within 2r of the pivot, and a document at distance d can only link with ball
-    members at d - r or more; the ball then leaves and the rest is joined in the same way.
+    members at d - r or more; the ball then leaves and the rest is joined in the same way. A
+    region too large for a task goes through the same steps with its documents dealt to many:
+    each round links a ball and keeps, beside what is outside, only the ball members that the
+    triangle inequality lets link with the shell.
 
 Equal sets are one class throughout. The order needs document frequencies only for a fixed
 part of the hash space (``sampled``), chosen so that it holds enough shingles of nearly every
@@ -22,6 +25,8 @@ document; the few others add shingles from outside it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,8 +37,11 @@ from voxelframe.llm.common import slices, stored
 from voxelframe.llm.graph import components
 from voxelframe.llm.wordarrays import SPACED, mixed, shingles, words
 
-#: Regions of more documents than this are cut into overlapping bands of set size.
-LARGE_REGION = 4000
+#: A region of more shingles than this is made smaller before a task joins it.
+LARGE_REGION = 3_000_000
+#: Rounds of that, and parts that a large region's documents are dealt to in each.
+ROUNDS = 6
+PARTS = 64
 
 
 class Sets:
@@ -173,6 +181,58 @@ def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     return [(int(ids[k]), int(ids[r])) for k, r in enumerate(roots) if k != r]
 
 
+def _shared(shingles, other):
+    """Shingles that two sets have in common, both as bytes of sorted hashes."""
+
+    @F.pandas_udf("long")
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.empty(len(a), dtype=np.int64)
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            out[k] = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return pd.Series(out)
+
+    return count(shingles, other)
+
+
+def shrink_regions(rows: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links of large regions' balls, and what is left of the regions (pivot, band, node, shingles).
+
+    ``rows`` has pivot, node and shingles. In a round every region's document is measured against
+    its centre; those within the radius are linked to it. Ball members that no document of the
+    shell can link with leave. Regions still large after the last round are cut into bands of set
+    size, each holding the sizes of the next one too: beyond that, sizes alone part two sets.
+    """
+    radius = 1 - percent / 100
+    links: list[DataFrame] = []
+    ready: list[DataFrame] = []
+    shape = ["pivot", "band", "node", "shingles"]
+    now = rows.select("pivot", F.col("pivot").alias("center"), "node", "shingles")
+    n, m = F.octet_length("shingles") / 8, F.octet_length("center_shingles") / 8
+    for _ in range(ROUNDS):
+        centers = now.filter("node = center").select("pivot", F.col("shingles").alias("center_shingles"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        met = now.withColumn("part", F.pmod(F.xxhash64("node", F.lit(13)), F.lit(PARTS)).cast("int")).join(centers.hint("shuffle_hash"), ["pivot", "part"])
+        met = met.withColumn("shared", _shared(F.col("shingles"), F.col("center_shingles"))).withColumn("union", (n + m - F.col("shared")).cast("long"))
+        near, far = F.col("shared") * 100 >= F.col("union") * percent, 1 - F.col("shared") / F.col("union")
+        met = stored(met.select("pivot", "center", "node", "shingles", near.alias("near"), far.alias("far")), "measured")
+        links.append(met.filter("near and node <> center").select(F.col("node").alias("u"), F.col("center").alias("v")))
+        rest = met.filter("not near").groupBy("pivot").agg(F.min("node").alias("next"), F.min(F.when(F.col("far") <= 2 * radius + 1e-9, F.col("far"))).alias("shell"))
+        kept = met.join(rest, "pivot").filter(~F.col("near") | (F.col("far") >= F.col("shell") - radius - 1e-9))
+        kept = stored(kept.select("pivot", F.col("next").alias("center"), "node", "shingles"), "kept")
+        size = kept.groupBy("pivot").agg(F.sum(F.octet_length("shingles") / 8).alias("size"))
+        large = size.filter(F.col("size") > LARGE_REGION).select("pivot")
+        ready.append(kept.join(large, "pivot", "left_anti").select("pivot", F.lit(-1).alias("band"), "node", "shingles"))
+        now = kept.join(large, "pivot", "left_semi")
+        if not large.head(1):
+            break
+    else:
+        band = F.floor(F.log(F.octet_length("shingles") / 8) / float(np.log(100 / percent)) + 1e-9).cast("int")
+        ready.append(now.select("pivot", F.explode(F.array(band, band + 1)).alias("band"), "node", "shingles"))
+    out = ready[0].select(*shape)
+    for df in ready[1:]:
+        out = out.unionByName(df.select(*shape))
+    return links, out
+
+
 def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -203,22 +263,25 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     # Regions: documents that meet at a shingle, under its smallest document.
     met = met.select(*key, "node", F.min("node").over(of).alias("pivot"), F.max("node").over(of).alias("last")).filter("pivot <> last")
     met = stored(met.select(*key, "node", "pivot").distinct(), "regions")
-    large = met.groupBy("pivot").count().filter(F.col("count") > LARGE_REGION).select("pivot", F.lit(True).alias("large"))
-    band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    placed = met.join(large, "pivot", "left").withColumn("bands", F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1))))
-    placed = placed.groupBy(*key, "node").agg(F.flatten(F.collect_list(F.transform("bands", lambda b: F.struct(F.col("pivot").alias("pivot"), b.alias("band"))))).alias("regions"))
+    placed = met.groupBy(*key, "node").agg(F.collect_set("pivot").alias("regions"))
     # The documents in regions grow with the corpus: they are never broadcast, at any size.
     wanted = placed.withColumnRenamed("node", "doc_id").hint("shuffle_hash")
     sets = docs.join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "mark", "n", "regions", "text")
-    sets = sets.mapInArrow(_region_sets(n), "node long, regions array<struct<pivot: long, band: int>>, shingles binary")
-    sets = sets.select("node", "shingles", F.explode("regions").alias("r")).select("node", "shingles", "r.pivot", "r.band")
+    sets = sets.mapInArrow(_region_sets(n), "node long, regions array<long>, shingles binary")
+    sets = sets.select(F.explode("regions").alias("pivot"), F.lit(-1).alias("band"), "node", "shingles")
+    links = []
+    large = met.groupBy("pivot").agg(F.sum("n").alias("size")).filter(F.col("size") > LARGE_REGION).select("pivot")
+    if large.head(1):
+        sets = stored(sets.dropDuplicates(["pivot", "node"]), "sets")
+        links, rest = shrink_regions(sets.join(large, "pivot", "left_semi"), percent)
+        sets = sets.join(large, "pivot", "left_anti").unionByName(rest)
 
     def region(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").sort_values("node")
         found = join_region(pdf["node"].to_numpy(), [np.frombuffer(b, dtype=np.uint64) for b in pdf["shingles"]], percent)
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    links = sets.groupBy("pivot", "band").applyInPandas(region, "u long, v long")
-    found = components(links)
+    links.append(sets.groupBy("pivot", "band").applyInPandas(region, "u long, v long"))
+    found = components(reduce(DataFrame.unionByName, links))
     nodes = classes.select(*key, "node").join(found, "node", "left").select("mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
     return marks.select("doc_id", "n_shingles", "mark").join(nodes, ["mark", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
