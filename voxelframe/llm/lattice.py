@@ -5,7 +5,8 @@ vocabulary: a forward recursion in log space over the lattice of pieces, bytes i
 every word has a path. The first piece of a word is one of those that the vocabulary marks as a
 word's start; together, start and inner pieces have probability one, which makes the
 probabilities of all words sum to one. The vocabulary's own scores (ranks) give the pieces'
-first weights; one pass of expectation over the training words, each with its count, refits them.
+first weights; passes of expectation over the words seen in training refit them. Each word counts
+once there, as each hands the same discount to the lattice.
 
 A word seen in training is also one whole unit of the lattice: with discount D it has
 (c - D) / N on top of the segmentations' share, D * types / N.
@@ -218,7 +219,7 @@ def _count(batches):
         yield flush()
 
 
-def score(docs: DataFrame, model: bytes, refits: int = 1, hot_words: int = HOT_WORDS) -> DataFrame:
+def score(docs: DataFrame, model: bytes, refits: int = 2, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Learns from rows whose crc32(doc_id) modulo 10 isn't 0 (a null doc_id learns too). Tokens are
@@ -249,11 +250,11 @@ def score(docs: DataFrame, model: bytes, refits: int = 1, hot_words: int = HOT_W
             for batch in batches:
                 for a in range(0, batch.num_rows, 50_000):
                     part = batch.slice(a, 50_000)
-                    total += own.expected(part.column("word").to_pylist(), part.column("c").to_numpy().astype(float))
+                    total += own.expected(part.column("word").to_pylist(), np.ones(part.num_rows))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["piece", "n"])
 
-        found = words.filter("c > 0").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        found = words.filter("c > 0").select("word").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
         weight = np.zeros(len(weight))
         weight[lattice.used] = PRIOR
         weight[found["piece"].to_numpy()] += found["n"].to_numpy()
