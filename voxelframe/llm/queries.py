@@ -73,6 +73,41 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
+#: All pairs that share a shingle, then the smallest document reached from each by links.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda k: array_to_string(words[k:k + 2], ' '))
+                                    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS shingles FROM w
+), n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s
+), x AS (SELECT doc_id, unnest(shingles) AS shingle FROM s
+), link AS (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM x a JOIN x b USING (shingle) GROUP BY 1, 2) p
+  JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE u <> v AND 100 * c >= 90 * (a.n + b.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, link.v FROM reach JOIN link ON reach.r = link.u
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY 1, 2"""
+
+#: Each turn's formatted length is its constants and its escaped role and text.
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), e AS (
+  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '([<\[])(s>|/s>|ROLE\]|TEXT\]|INST\]|/INST\])', '\1\\\2', 'g'))
+          + length(regexp_replace(replace(role, '\', '\\'), '([<\[])(s>|/s>|ROLE\]|TEXT\]|INST\]|/INST\])', '\1\\\2', 'g'))
+          + 19 + CASE WHEN role = 'user' THEN 7 ELSE 0 END AS size FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": JACCARD_SQL,
+    "op7_chat_format": CHAT_SQL,
     "op8_license_scan": license.oracle_sql(),
 }
