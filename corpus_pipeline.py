@@ -15,9 +15,7 @@ SHARED_PERCENT = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from their labels, doesn't reject."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    kept = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return kept.filter("predicted = 0").select(*docs.columns)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,11 @@ def edited_corpus(seed, families=25, most=14):
 
 
 @pytest.mark.parametrize("seed, n, percent, large, rounds", [(1, 3, 90, 10**6, 6), (2, 3, 90, 150, 6), (3, 5, 80, 10**6, 6), (4, 2, 60, 60, 2), (5, 3, 80, 20, 1)])
-def test_near_groups(spark, monkeypatch, seed, n, percent, large, rounds):
+@pytest.mark.parametrize("listed", [False, True])
+def test_near_groups(spark, monkeypatch, seed, n, percent, large, rounds, listed):
+    if listed:  # any list of frequent shingles gives the same result
+        every = jaccard._order_rows(n, 2**63, percent)
+        monkeypatch.setattr(jaccard, "frequent_shingles", lambda docs, rows, total: [r["h"] for r in docs.mapInArrow(every, "h long, mark long, n int").select("h").distinct().filter("h % 3 = 0").collect()])
     monkeypatch.setattr(jaccard, "LARGE_REGION", large)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     rows = [*edited_corpus(seed), (1000, None), (1003, ""), (1006, " \n")]
@@ -73,6 +77,27 @@ def test_near_groups(spark, monkeypatch, seed, n, percent, large, rounds):
     assert out == brute_groups(rows, n, percent)
 
 
+def test_frequent_shingles(spark):
+    rows = [(k, f"one two three {k} {k + 1} {k + 2}") for k in range(300)]
+    docs = documents(spark, rows)
+    found = jaccard.frequent_shingles(docs, jaccard._order_rows(3, 2**63, 90), 300)
+    assert len(found) == 1
+
+
+def test_pipeline_stages_take_clashing_columns(spark):
+    import corpus_pipeline
+
+    names = "score predicted toxic n_tokens h mark n node pivot component_id distance end item_id decoded part".split()
+    rows = [(k, t, "en", "s", 1, *range(len(names))) for k, t in enumerate(["a b c d e f", "a b c d e f", None, "", "x " * 3000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in names))
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, SF)
+        if name != "sentencepiece":
+            assert docs.columns == before.columns
+        assert {r["doc_id"] for r in docs.select("doc_id").collect()} == ({0, 1, 2, 3, 4} if name == "toxicity" else {0, 2, 3, 4})
+        assert stage(spark, before.limit(0), SF).count() == 0
+
+
 def test_near_groups_of_repeated_and_no_rows(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (2, "A B C D"), (None, "a b c d"), (9, "q")]
     out = sorted(jaccard.near_groups(documents(spark, rows)).collect(), key=lambda r: (r["doc_id"] or -1))

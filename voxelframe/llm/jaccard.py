@@ -42,6 +42,10 @@ LARGE_REGION = 3_000_000
 #: Rounds of that, and parts that a large region's documents are dealt to in each.
 ROUNDS = 6
 PARTS = 64
+#: Shingles of over a hundredth of about this many sampled documents are frequent: at most so many are
+#: listed. They come last in the order and are dealt to many tasks; the list changes no result.
+SAMPLE_DOCS = 4000
+FREQUENT = 4096
 
 
 class Sets:
@@ -233,6 +237,14 @@ def shrink_regions(rows: DataFrame, percent: int) -> tuple[list[DataFrame], Data
     return links, out
 
 
+def frequent_shingles(docs: DataFrame, rows, total: int) -> list[int]:
+    """Hashes that a sample of the documents holds often, most frequent first."""
+    part = min(1.0, SAMPLE_DOCS / max(1, total))
+    seen = docs.sample(part, seed=7).mapInArrow(rows, "h long, mark long, n int").groupBy("h").count()
+    often = seen.filter(F.col("count") > max(40, part * total / 100)).orderBy(F.desc("count"), "h").limit(FREQUENT)
+    return [r["h"] for r in often.collect()]
+
+
 def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -249,10 +261,14 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     key = ["mark", "n"]
     classes = marks.filter("n_shingles > 0").groupBy("mark", F.col("n_shingles").cast("int").alias("n")).agg(F.min("doc_id").alias("node"), F.first("inside").alias("inside"))
 
-    # The order: how many tasks' classes hold a shingle, and whether more than one class does.
+    # The order: shingles of one class, then by how many tasks' classes hold one, then the frequent.
     rows = docs.mapInArrow(_order_rows(n, cut, percent), "h long, mark long, n int")
-    of = Window.partitionBy("h")
-    met = rows.select("*", F.count("*").over(of).alias("df"), F.min("mark").over(of).alias("lo"), F.max("mark").over(of).alias("hi")).filter("lo <> hi")
+    frequent = frequent_shingles(docs, _order_rows(n, cut, percent), marks.count())
+    often = F.col("h").isin(frequent) if frequent else F.lit(False)
+    rows = rows.withColumn("part", F.when(often, F.pmod("mark", F.lit(PARTS))).otherwise(0).cast("int"))
+    of = Window.partitionBy("h", "part")
+    met = rows.select("*", F.count("*").over(of).alias("df"), F.min("mark").over(of).alias("lo"), F.max("mark").over(of).alias("hi"))
+    met = met.filter((F.col("lo") != F.col("hi")) | often).withColumn("df", F.when(often, F.lit(1 << 60)).otherwise(F.col("df")))
     met = met.groupBy(*key).agg(F.collect_set(F.when(F.col("h") < cut, F.struct("df", "h"))).alias("low"), F.collect_set(F.when(F.col("h") >= cut, F.col("h"))).alias("high"))
     met = met.join(classes.filter("node is not null"), key)
     slots = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
@@ -261,8 +277,9 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     met = met.select(*key, "node", F.explode(F.concat(F.transform(first, lambda x: x["h"]), "high")).alias("h"))
 
     # Regions: documents that meet at a shingle, under its smallest document.
-    met = met.select(*key, "node", F.min("node").over(of).alias("pivot"), F.max("node").over(of).alias("last")).filter("pivot <> last")
-    met = stored(met.select(*key, "node", "pivot").distinct(), "regions")
+    met = stored(met, "prefixes")
+    pivots = met.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("h", "pivot")
+    met = stored(met.join(pivots, "h").select(*key, "node", "pivot").distinct(), "regions")
     placed = met.groupBy(*key, "node").agg(F.collect_set("pivot").alias("regions"))
     # The documents in regions grow with the corpus: they are never broadcast, at any size.
     wanted = placed.withColumnRenamed("node", "doc_id").hint("shuffle_hash")

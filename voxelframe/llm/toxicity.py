@@ -229,6 +229,20 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
     return rows.mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows that the model doesn't reject, with all their columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                p = model.scores([model.evidence(t or "") for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for all documents, learned as ``fit`` says."""
     out = score(docs, fit(docs, labels))
