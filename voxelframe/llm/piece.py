@@ -31,7 +31,7 @@ NONE = np.int64(1 << 40)
 #: Segments of more symbols than this merge through a heap, one place at a time.
 LONG_SEGMENT = 400
 #: Segments that a worker remembers before it starts afresh.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 

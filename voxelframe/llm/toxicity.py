@@ -32,7 +32,7 @@ MODEL_TENTHS = 7
 LEAST_COUNT = 2
 #: Ratios up to this are ordinary words' noise.
 NOISE = 4.0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _PAD = "\x02" * (ORDER - 1)
 _END = "\x03"
