@@ -21,6 +21,8 @@ RANGES_PER_SHARD = 64
 RANGE_BYTES = 256 << 20
 #: Sampled keys for each range, on average.
 SAMPLES_PER_RANGE = 24
+#: Copies of one text stay in one shard unless they are more than this part of it.
+WHOLE_PARTS = 16
 
 
 def _rank(key: Column, splitters: list[int]) -> Column:
@@ -63,8 +65,8 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text") -> DataFrame:
 
     Columns: doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null).
     A null text has the size of an empty one and its checksum. Repeated rows are records of
-    their own. Slots are gapless from 0 in each shard. A text whose copies exceed a range's
-    share is spread over several ranges, by record.
+    their own. Slots are gapless from 0 in each shard. A text whose copies are more than a
+    sixteenth of a shard is spread over neighbouring shards, by record.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = stored(
@@ -95,8 +97,13 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text") -> DataFrame:
     # One row per range: their number is bounded by the input's bytes over a range's share.
     units = rows.groupBy(*unit).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     line = Window.orderBy(*unit)
-    units = units.withColumn("middle", F.sum("b").over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    units = units.withColumn("shard", F.least(F.floor((F.coalesce("middle", F.lit(0)) + F.col("b") / 2) * shards / F.lit(max(1, total))), F.lit(shards - 1)).cast("int"))
+    units = units.withColumn("start", F.coalesce(F.sum("b").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Parts of one range stay in one shard, and so do copies, unless they are much of a shard.
+    whole = Window.partitionBy("r", "r2")
+    units = units.withColumn("group_b", F.sum("b").over(whole)).withColumn("group_start", F.min("start").over(whole))
+    small = F.col("group_b") * shards * WHOLE_PARTS <= total
+    middle = F.when(small, F.col("group_start") + F.col("group_b") / 2).otherwise(F.col("start") + F.col("b") / 2)
+    units = units.withColumn("shard", F.least(F.floor(middle * shards / F.lit(max(1, total))), F.lit(shards - 1)).cast("int"))
     within = Window.partitionBy("shard").orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
     units = units.select(*unit, "shard", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("before"))
     # Within a range, slots go by key and record; ranges are small, so this window is too.
