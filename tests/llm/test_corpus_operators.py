@@ -203,13 +203,21 @@ def test_decontamination_of_nothing(spark):
     assert decontam.contaminated(documents(spark, []), spark.createDataFrame([(1, "some words that are long enough")], "item_id long, text string")).count() == 0
 
 
+def test_a_very_long_item(spark):
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(3000))
+    docs = documents(spark, [(1, "x " + long.replace(" ", "  ") + " y"), (2, long[:9000]), (3, "short")])
+    benchmark = spark.createDataFrame([(7, long), (8, "some other words that are long enough")], "item_id long, text string")
+    assert [tuple(r)[:3] for r in decontam.contaminated(docs, benchmark).collect()] == [(1, 7, 0)]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rows, items, _ = corpus_with_leaks(0.0)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     whole = set(map(tuple, decontam.contaminated(documents(spark, rows), benchmark).select("doc_id", "item_id", "distance").collect()))
-    small = list(decontam.blocks([(k, t.encode()) for k, t in items], 500))
+    small = list(decontam.blocks(iter([(k, t.encode()) for k, t in items]), 900))
     assert len(small) > 5 and sum(map(len, small)) == len(items)
-    monkeypatch.setattr(decontam.blocks, "__defaults__", (500,))
+    monkeypatch.setattr(decontam, "BLOCK_CELLS", 900)
     assert set(map(tuple, decontam.contaminated(documents(spark, rows), benchmark).select("doc_id", "item_id", "distance").collect())) == whole
 
 
