@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelframe.operators.cells import grid
+
 METHODS = ("mean", "median", "min", "max", "mode", "stride")
 
 
@@ -78,10 +80,8 @@ def drop_levels(levels: DataFrame) -> DataFrame:
     return levels.filter(F.col("level") == 0)
 
 
-def regions(sizes: Mapping[str, int], step: Mapping[str, int], spark) -> DataFrame:
+def regions(sizes: Mapping[str, int], step: Mapping[str, int], spark: SparkSession) -> DataFrame:
     """Work regions aligned to ``step``: start and stop on each axis, cut at the array's end."""
-    from voxelframe.operators.cells import grid
-
     out = grid(spark, {a: -(-n // step[a]) for a, n in sizes.items()})
     for a, n in sizes.items():
         start = F.col(a) * step[a]
@@ -95,10 +95,3 @@ def source_region(regions: DataFrame, factors: Mapping[str, int], sizes: Mapping
     for a, f in factors.items():
         out = out.withColumn(f"{a}_source_start", F.col(f"{a}_start") * f).withColumn(f"{a}_source_stop", F.least(F.col(f"{a}_stop") * f, F.lit(sizes[a])))
     return out
-
-
-def group_by_mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The most frequent value of each group, the smallest of equals."""
-    counts = df.groupBy(*keys, value).count()
-    first = Window.partitionBy(*keys).orderBy(F.desc("count"), value)
-    return counts.withColumn("n", F.row_number().over(first)).filter("n = 1").select(*keys, value)

@@ -217,11 +217,11 @@ def bfs_order(spark, d):
     return archives.pack_order(_entries(spark, d), ["archive"])
 
 
-@query("natural_sort", "SELECT name, row_number() OVER (ORDER BY k) AS n FROM (SELECT 'Supplier#' || s_suppkey AS name, s_suppkey AS k FROM supplier)")
+@query("natural_sort", "SELECT s_nationkey, name, row_number() OVER (PARTITION BY s_nationkey ORDER BY k) AS n FROM (SELECT s_nationkey, 'Supplier#' || s_suppkey AS name, s_suppkey AS k FROM supplier)")
 def natural_sort(spark, d):
-    rows = table(spark, d, "supplier").select(F.concat(F.lit("Supplier#"), F.col("s_suppkey").cast("string")).alias("name"))
-    ranked = rows.select("name", names.natural_key(F.col("name")).alias("k"))
-    return ranked.select("name", F.row_number().over(Window.orderBy("k")).cast("long").alias("n"))
+    rows = table(spark, d, "supplier").select("s_nationkey", F.concat(F.lit("Supplier#"), F.col("s_suppkey").cast("string")).alias("name"))
+    w = Window.partitionBy("s_nationkey").orderBy(names.natural_key(F.col("name")))
+    return rows.select("s_nationkey", "name", F.row_number().over(w).cast("long").alias("n"))
 
 
 @query("lex_sort_keys", "SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY 1")
