@@ -88,7 +88,8 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text") -> DataFrame:
     def subdivided(rows: DataFrame, by: list[str], into: str, key: Column) -> DataFrame:
         """Units of over twice a range's share get as many parts as they hold shares."""
         large = rows.groupBy(*by).agg(F.sum("size").alias("b")).filter(F.col("b") > 2 * share).select(*by, F.ceil(F.col("b") / share).cast("long").alias("parts"))
-        return rows.join(large, by, "left").withColumn(into, F.when(F.col("parts").isNotNull(), F.pmod(key, F.col("parts"))).otherwise(F.lit(0)).cast("int")).drop("parts")
+        # At most half as many as there are ranges, which RANGE_BYTES bounds: small enough to go to every task.
+        return rows.join(F.broadcast(large), by, "left").withColumn(into, F.when(F.col("parts").isNotNull(), F.pmod(key, F.col("parts"))).otherwise(F.lit(0)).cast("int")).drop("parts")
 
     rows = subdivided(rows, ["r"], "r2", F.col("key2"))
     rows = subdivided(rows, ["r", "r2"], "r3", F.xxhash64("doc_id", F.lit(7)))
@@ -106,9 +107,10 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text") -> DataFrame:
     units = units.withColumn("shard", F.least(F.floor(middle * shards / F.lit(max(1, total))), F.lit(shards - 1)).cast("int"))
     within = Window.partitionBy("shard").orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
     units = units.select(*unit, "shard", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("before"))
-    # Within a range, slots go by key and record; ranges are small, so this window is too.
+    # Within a range, slots go by key and record; ranges are small, so this window is too. There are
+    # a few units for each range, so they also go to every task.
     order = Window.partitionBy(*unit).orderBy("key", "doc_id", "size", "text_crc32")
-    placed = rows.withColumn("n", F.row_number().over(order)).join(units, unit)
+    placed = rows.withColumn("n", F.row_number().over(order)).join(F.broadcast(units), unit)
     return placed.select(
         "doc_id",
         "size",
