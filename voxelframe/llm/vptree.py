@@ -26,33 +26,35 @@ LEAF = 128
 SPARE = 6
 
 
-class Tree:
-    """Flat arrays: nodes with a vantage point, a radius and two children, or a leaf's run of rows."""
-
-    def __init__(self, points: np.ndarray, seed: int = 4):
-        self.order = np.arange(len(points))
-        self.nodes: list[tuple[int, float, int, int, int, int]] = []
-        rng = np.random.default_rng(seed)
-        # (node number, begin, end); a node's rows are order[begin:end], its vantage point the first.
-        self.nodes.append((0, 0.0, -1, -1, 0, len(points)))
-        work = [(0, 0, len(points))]
-        while work:
-            node, a, b = work.pop()
-            if b - a <= LEAF:
-                continue
-            pick = a + int(rng.integers(b - a))
-            self.order[[a, pick]] = self.order[[pick, a]]
-            rows = self.order[a + 1 : b]
-            d = np.sqrt(((points[rows] - points[self.order[a]]) ** 2).sum(axis=1))
-            half = len(rows) // 2
-            split = np.argpartition(d, half)
-            radius = float(d[split[half]])
-            self.order[a + 1 : b] = rows[split]
-            near, far = len(self.nodes), len(self.nodes) + 1
-            middle = a + 1 + half
-            self.nodes[node] = (int(self.order[a]), radius, near, far, a, b)
-            self.nodes += [(0, 0.0, -1, -1, a + 1, middle), (0, 0.0, -1, -1, middle, b)]
-            work += [(near, a + 1, middle), (far, middle, b)]
+#: A node: radius, numbers of its two children (-1: a leaf), and its run of rows. Rows come in tree
+#: order, so that a run is a slice; the first row of an inner node's run is its vantage point.
+NODE = np.dtype([("radius", "f8"), ("near", "i8"), ("far", "i8"), ("first", "i8"), ("last", "i8")])
+
+
+def build(points: np.ndarray, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in tree order, and the nodes from the root on."""
+    order = np.arange(len(points))
+    nodes = [(0.0, -1, -1, 0, len(points))]
+    rng = np.random.default_rng(seed)
+    work = [0]
+    while work:
+        node = work.pop()
+        _, _, _, a, b = nodes[node]
+        if b - a <= LEAF:
+            continue
+        pick = a + int(rng.integers(b - a))
+        order[[a, pick]] = order[[pick, a]]
+        rows = order[a + 1 : b]
+        d = np.sqrt(((points[rows] - points[order[a]]) ** 2).sum(axis=1))
+        half = len(rows) // 2
+        split = np.argpartition(d, half)
+        radius = float(d[split[half]])
+        order[a + 1 : b] = rows[split]
+        near, middle = len(nodes), a + 1 + half
+        nodes[node] = (radius, near, near + 1, a, b)
+        nodes += [(0.0, -1, -1, a + 1, middle), (0.0, -1, -1, middle, b)]
+        work += [near, near + 1]
+    return order, np.array(nodes, dtype=NODE)
 
 
 class Best:
@@ -75,15 +77,16 @@ class Best:
         return np.sqrt(np.maximum(self.distance[rows].max(axis=1), 0))
 
 
-def search(tree: Tree, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, best: Best, relax: float) -> None:
-    """Walk the tree with all queries at once; ``own`` are the ids that a query doesn't take."""
+def search(nodes: np.ndarray, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, best: Best, relax: float) -> None:
+    """Walk a tree with all queries at once; rows are in tree order, ``own`` are ids that a query doesn't take."""
     norm = (points**2).sum(axis=1)
     query_norm = (queries**2).sum(axis=1)
+    flat = nodes.tolist()
 
-    def offer(rows: np.ndarray, members: np.ndarray) -> None:
-        d = np.maximum(query_norm[rows, None] + norm[members][None] - 2 * queries[rows] @ points[members].T, 0)
-        d[ids[members][None] == own[rows, None]] = np.inf
-        best.offer(rows, d, ids[members])
+    def offer(rows: np.ndarray, a: int, b: int) -> np.ndarray:
+        d = np.maximum(query_norm[rows, None] + norm[a:b] - 2 * queries[rows] @ points[a:b].T, 0)
+        best.offer(rows, np.where(ids[a:b] == own[rows, None], np.inf, d), ids[a:b])
+        return d
 
     work: list[tuple[int, np.ndarray, np.ndarray]] = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
     while work:
@@ -91,12 +94,11 @@ def search(tree: Tree, points: np.ndarray, ids: np.ndarray, queries: np.ndarray,
         rows = rows[relax * margin <= best.radius(rows) + 1e-9]
         if not len(rows):
             continue
-        vantage, radius, near, far, a, b = tree.nodes[node]
+        radius, near, far, a, b = flat[node]
         if near < 0:
-            offer(rows, tree.order[a:b])
+            offer(rows, a, b)
             continue
-        offer(rows, np.array([vantage]))
-        d = np.sqrt(np.maximum(query_norm[rows] + norm[vantage] - 2 * queries[rows] @ points[vantage], 0))
+        d = np.sqrt(offer(rows, a, a + 1)[:, 0])
         inside, gap = d < radius, np.abs(d - radius)
         zero = np.zeros(len(rows))
         # The stack is last in, first out: each query's nearer side comes before its farther one.
@@ -145,34 +147,44 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, relax: float = 1.6
     queries = good.filter(F.col("vec_id") % every == 0).distinct()
     blocks = max(1, -(-(queries.count()) // BLOCK_ROWS))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         pdf = pdf.sort_values("vec_id")
-        data = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "ids": [pdf["vec_id"].to_numpy().astype(np.int64).tobytes()], "data": [data.tobytes()]})
-
-    packed = "part int, ids binary, data binary"
-    held = index.withColumn("part", F.pmod("mark", F.lit(shards)).cast("int")).select("part", "vec_id", "v").groupBy("part").applyInPandas(pack, packed)
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")).select("part", "vec_id", "v").groupBy("part").applyInPandas(pack, packed)
-    # Every shard meets every block of queries: rows here are whole shards and whole blocks.
-    pairs = held.select("part", "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.select(F.col("part").alias("block"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    met = asked.hint("shuffle_hash").join(pairs, "block")
-
-    def walk(batches):
-        for batch in batches:
-            for row in batch.itertuples():
-                ids, query_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.query_ids, np.int64)
-                plain = np.frombuffer(row.data, np.float64).reshape(len(ids), width)
-                asked = np.frombuffer(row.query_data, np.float64).reshape(len(query_ids), width)
-                more = np.sqrt(np.maximum(longest - (plain**2).sum(axis=1), 0))
-                points = np.column_stack([plain, more])
-                best = Best(len(query_ids), k + SPARE)
-                search(Tree(points), points, ids, np.column_stack([asked, np.zeros(len(asked))]), query_ids, best, relax)
-                q, c = np.nonzero(np.isfinite(best.distance))
-                found = best.id[q, c]
-                at = np.searchsorted(ids, found)
-                yield pd.DataFrame({"query_id": query_ids[q], "vec_id": found, "score": inner(asked[q], plain[at])})
-
-    found = met.mapInPandas(walk, "query_id long, vec_id long, score double")
+        return pdf["vec_id"].to_numpy().astype(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64)
+
+    def lifted(data: np.ndarray) -> np.ndarray:
+        """The component that brings every vector to the longest one's norm."""
+        return np.column_stack([data, np.sqrt(np.maximum(longest - (data**2).sum(axis=1), 0))])
+
+    def plant(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, data = arrays(pdf)
+        order, nodes = build(lifted(data))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "ids": [ids[order].tobytes()], "data": [data[order].tobytes()], "nodes": [nodes.tobytes()]})
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, data = arrays(pdf)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "query_ids": [ids.tobytes()], "query_data": [data.tobytes()]})
+
+    # A shard and a block have a bounded number of rows, dealt by hash, and become one row each.
+    trees = index.select(F.pmod("mark", F.lit(shards)).cast("int").alias("part"), "vec_id", "v").groupBy("part").applyInPandas(plant, "part int, ids binary, data binary, nodes binary")
+    asked = queries.select(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v").groupBy("block").applyInPandas(gather, "block int, query_ids binary, query_data binary")
+    # Every tree meets every block of queries, each pair in a group of its own: a task holds one at a time.
+    trees = stored(trees, "trees").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = stored(asked, "blocks").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    met = asked.hint("shuffle_hash").join(trees, ["block", "part"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
+        plain = np.frombuffer(row["data"], np.float64).reshape(len(ids), width)
+        asked = np.frombuffer(row["query_data"], np.float64).reshape(len(query_ids), width)
+        best = Best(len(query_ids), k + SPARE)
+        search(np.frombuffer(row["nodes"], NODE), lifted(plain), ids, np.column_stack([asked, np.zeros(len(asked))]), query_ids, best, relax)
+        q, c = np.nonzero(np.isfinite(best.distance))
+        found = best.id[q, c]
+        by_id = np.argsort(ids)
+        at = by_id[np.searchsorted(ids, found, sorter=by_id)]
+        return pd.DataFrame({"query_id": query_ids[q], "vec_id": found, "score": inner(asked[q], plain[at])})
+
+    found = met.groupBy("block", "part").applyInPandas(walk, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
