@@ -25,6 +25,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 CONTROL = ("<s>", "</s>", "[ROLE]", "[TEXT]", "[INST]", "[/INST]")
 TEMPLATE = (
@@ -413,7 +414,7 @@ def conversation_digests(turns: DataFrame, template: str = TEMPLATE) -> DataFram
 
     def _batch(rows):
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        types = [{"int": pa.int32()}.get(kind.simpleString(), pa.int64()), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return _ordered(turns).mapInArrow(run, f"conv_id {kind.simpleString()}, {SCHEMA}")
@@ -422,7 +423,7 @@ def conversation_digests(turns: DataFrame, template: str = TEMPLATE) -> DataFram
 def formatted_turns(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """The formatted text itself, one row per piece: conv_id, piece (from 0), formatted, in_loss."""
     compile_template(template)
-    kind = turns.schema["conv_id"].dataType.simpleString()
+    kind = turns.schema["conv_id"].dataType
 
     def run(batches):
         render = compile_template(template)
@@ -436,5 +437,5 @@ def formatted_turns(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_pylist([dict(zip(("conv_id", "piece", "formatted", "in_loss"), r, strict=True)) for r in held], schema)
 
-    schema = pa.schema([("conv_id", pa.int32() if kind == "int" else pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("in_loss", pa.bool_())])
-    return _ordered(turns).mapInArrow(run, f"conv_id {kind}, piece long, formatted string, in_loss boolean")
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), ("piece", pa.int64()), ("formatted", pa.string()), ("in_loss", pa.bool_())])
+    return _ordered(turns).mapInArrow(run, f"conv_id {kind.simpleString()}, piece long, formatted string, in_loss boolean")
