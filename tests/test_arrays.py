@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from voxelframe.operators import cells as C
+from voxelframe.operators import chunks as K
 from voxelframe.operators import coords, pool, volumes
 from voxelframe.sources import arrays as A
 
@@ -142,6 +143,25 @@ def test_chunks_hold_the_same_cells(spark, h, w, cy, cx):
     assert (C.dense(back, sizes) == a).all()
 
 
+@FEW
+@given(st.integers(1, 11), st.integers(1, 9), st.sampled_from([*sorted(EXPECTED), "stride"]), st.integers(0, 99))
+def test_chunks_pool_as_cells_do(spark, h, w, method, seed):
+    a = np.random.default_rng(seed).integers(-4, 5, (h, w))
+    sizes, chunk, factors = {"y": h, "x": w}, {"y": 4, "x": 6}, {"y": 2, "x": 3}
+    size = {"y": -(-h // 2), "x": -(-w // 3)}
+    pooled = K.pool_chunks(A.to_chunks(frame(spark, a, "yx"), sizes, chunk), chunk, factors, sizes, method)
+    want = a[::2, ::3] if method == "stride" else EXPECTED[method](padded_blocks(a, 2, 3))
+    assert (C.dense(A.to_cells(pooled, chunk), size) == want).all()
+    doubled = K.map_chunks(A.to_chunks(frame(spark, a, "yx"), sizes, chunk), lambda v: v * 2)
+    assert (C.dense(A.to_cells(doubled, chunk), sizes) == a * 2).all()
+
+
+def test_chunks_must_hold_whole_blocks(spark):
+    chunks = A.to_chunks(frame(spark, np.ones((6, 6), dtype=int), "yx"), {"y": 6, "x": 6}, {"y": 3, "x": 6})
+    with pytest.raises(ValueError):
+        K.pool_chunks(chunks, {"y": 3, "x": 6}, {"y": 2}, {"y": 6, "x": 6})
+
+
 def test_stored_chunks_are_pruned(spark, tmp_path):
     a = np.arange(1, 65).reshape(8, 8)
     chunk = {"y": 2, "x": 4}

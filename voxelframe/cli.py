@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.operators import cells as C
-from voxelframe.operators import hierarchy, pool
+from voxelframe.operators import chunks, hierarchy
 from voxelframe.sources import arrays
 
 
@@ -56,10 +56,9 @@ def compute_pyramid(spark: SparkSession, store: str, levels: int, method: str =
     if unknown := [a for a in axes if a not in sizes[0]]:
         raise ValueError(f"no such axes: {unknown}")
     for k in range(1, levels):
-        below = C.fill_missing(arrays.read(spark, f"{store}/level={k - 1}", meta["chunk"]), sizes[-1])
-        made = pool.pool(below, {a: 2 for a in axes}, sizes[-1], method)
+        made = chunks.pool_chunks(spark.read.parquet(f"{store}/level={k - 1}"), meta["chunk"], {a: 2 for a in axes}, sizes[-1], method)
         sizes.append({a: -(-n // 2) if a in axes else n for a, n in sizes[-1].items()})
-        arrays.write(arrays.to_chunks(made, sizes[-1], meta["chunk"]), f"{store}/level={k}", mode="overwrite")
+        arrays.write(made, f"{store}/level={k}", mode="overwrite")
     write_meta(spark, store, meta | {"levels": sizes})
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelframe.operators import cells as C
-from voxelframe.operators import coords, pool, volumes
+from voxelframe.operators import chunks, coords, pool, volumes
 from voxelframe.plans.inputs import IMAGE_SQL, MOVIE_SQL, channels, image, image_sizes, movie, movie_sizes, table
 from voxelframe.plans.registry import query
+from voxelframe.sources import arrays
 
 # -- pooling --------------------------------------------------------------------------------
 
@@ -104,6 +105,14 @@ def max_projection(spark, d):
     return C.project(image(spark, d), "x")
 
 
+@query("pyramid_chunks", f"WITH {IMAGE_SQL}, {PADDED.format(fy=2, fx=2)} SELECT y, x, {POOL_SQL['mean']} AS value FROM PAD GROUP BY y, x")
+def pyramid_chunks(spark, d):
+    """The first level pooled chunk by chunk: as pool_mean, without a row for each cell."""
+    sizes, chunk = image_sizes(spark, d), {"y": 128, "x": 32}
+    pooled = chunks.pool_chunks(arrays.to_chunks(image(spark, d), sizes, chunk), chunk, {"y": 2, "x": 2}, sizes)
+    return C.fill_missing(arrays.to_cells(pooled, chunk), {a: -(-n // 2) for a, n in sizes.items()})
+
+
 # -- selection ------------------------------------------------------------------------------
 
 
