@@ -30,7 +30,7 @@ from voxelframe.llm.common import slices
 NONE = np.int64(1 << 40)
 #: Segments of more symbols than this merge through a heap, one place at a time.
 LONG_SEGMENT = 400
-#: Segments that a worker remembers before it starts afresh.
+#: Segments that a worker remembers, in two generations.
 CACHE_ENTRIES = 150_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -88,6 +88,7 @@ class PieceModel:
         if _USER in kinds or _UNUSED in kinds or len(self.byte_id) < 256:
             raise ValueError("only models with byte fallback and without user-defined or unused pieces are supported")
         self.byte_of = {i: b for b, i in self.byte_id.items()}
+        self.last_byte = max(self.byte_of)
         self.text_of = [p.replace("▁", " ") if k == _NORMAL else " ⁇ " if k == _UNKNOWN else "" for p, k in zip(pieces, kinds, strict=True)]
         # A pair of symbols merges if its text is a piece. A single character outside the vocabulary is a symbol too.
         symbols = dict(self.vocab)
@@ -285,6 +286,8 @@ class PieceModel:
 
     def pieces_text(self, ids: list[int]) -> str:
         """Text of ids with the dummy prefix; runs of byte pieces are read as UTF-8."""
+        if ids and min(ids) > self.last_byte:
+            return "".join(map(self.text_of.__getitem__, ids))
         out, held = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -330,7 +333,7 @@ class _Coder:
     held: tuple[int, _Coder] | None = None
 
     def __init__(self, blob: bytes):
-        self.model, self.known = PieceModel(blob), {}
+        self.model, self.known, self.older = PieceModel(blob), {}, {}
 
     @classmethod
     def of(cls, blob: bytes) -> _Coder:
@@ -342,9 +345,13 @@ class _Coder:
     def parts(self, texts: list[str | None]) -> list[list[str]]:
         """Segments of each text, all of them known afterwards: count, ids as text, decoded text."""
         parts = [self.model.segments(t or "") for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+        if len(self.known) > CACHE_ENTRIES // 2:
+            self.known, self.older = {}, self.known
         new = list({s for p in parts for s in p}.difference(self.known))
+        if self.older:  # what comes again stays, what doesn't goes with its generation
+            again = self.older.keys() & new
+            self.known.update((s, self.older[s]) for s in again)
+            new = [s for s in new if s not in again]
         for s, ids in zip(new, self.model.encode_segments(new), strict=True):
             self.known[s] = (len(ids), ",".join(map(str, ids)), self.model.pieces_text(ids))
         return parts
@@ -368,12 +375,13 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, .
 
     def run(batches):
         coder = _Coder.of(blob.value)
-        known, prefix = coder.known, coder.model.dummy_prefix
-        sha = hashlib.sha256
+        prefix, sha = coder.model.dummy_prefix, hashlib.sha256
         for batch in batches:
             for part in slices(batch, "__text"):
                 count, id_hash, text_hash, all_ids, texts = [], [], [], [], []
-                for segments in coder.parts(part.column("__text").to_pylist()):
+                parts = coder.parts(part.column("__text").to_pylist())
+                known = coder.known
+                for segments in parts:
                     if segments:
                         n, coded, plain = zip(*map(known.__getitem__, segments), strict=True)
                         coded, plain = ",".join(coded), "".join(plain)
