@@ -136,6 +136,79 @@ def test_licences(spark):
     assert license.scan(documents(spark, texts).limit(0)).count() == 0
 
 
+MIT_WRAPPED = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE.
+"""
+BSD_WRAPPED = """Copyright (c) 2019, Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_WRAPPED = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL_WRAPPED = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+"""
+MPL_WRAPPED = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// ", "crlf"])
+def test_wrapped_licences(spark, sign):
+    texts = [MIT_WRAPPED, BSD_WRAPPED, BSD_WRAPPED + BSD_ENDORSE, APACHE_WRAPPED, GPL_WRAPPED.format(";", ";", 2), GPL_WRAPPED.format(":", ",", 3), MPL_WRAPPED]
+    texts.append(" ".join(APACHE_WRAPPED.split()))
+    texts = [t.replace("\n", "\r\n") if sign == "crlf" else "".join(f"{sign}{x}".rstrip() + "\n" for x in t.split("\n")) for t in texts]
+    out = {r["doc_id"]: r for r in license.scan(documents(spark, texts)).collect()}
+    assert [out[k]["licenses"] for k in range(8)] == ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "MPL-2.0", "Apache-2.0"]
+    assert out[0]["sentence_ids"] == "mit_title,copyright,mit_grant,mit_notice,mit_warranty"
+    assert out[3]["sentence_ids"] == out[7]["sentence_ids"] == "apache2_head,apache2_comply"
+
+
+def test_sentences_end_at_lines_and_not_inside_words(spark):
+    texts = ["some words\nReleased under the\nMIT License\nand more", "unreleased under the MIT license", "licensed under the\n\nApache License, Version 2.0", "a\nSPDX-License-Identifier:\tGPL-3.0-or-later\nb"]
+    out = {r["doc_id"]: r["sentence_ids"] for r in license.scan(documents(spark, texts)).collect()}
+    assert [out[k] for k in range(4)] == ["mit_ref", "", "", "gpl3_ref"]
+
+
 def test_every_known_sentence_has_a_cue_and_a_normal_form(spark):
     rows = spark.createDataFrame([(s,) for s in license.SENTENCES], "s string")
     from pyspark.sql import functions as F
