@@ -79,6 +79,36 @@ def test_near_groups(spark, monkeypatch, seed, n, percent, large, rounds, listed
     assert out == brute_groups(rows, n, percent)
 
 
+def brute_links(links, nodes):
+    root = {k: k for k in nodes}
+    for u, v in links:
+        a, b = root[u], root[v]
+        root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("own, most", [(40, 0), (2, 20)])
+def test_no_region_is_one_tasks_work(spark, monkeypatch, own, most):
+    """A template of 60 shingles shared by 200 documents, two of which are near copies; few or many own shingles."""
+    rng = np.random.default_rng(own)
+    sets = [np.unique(np.r_[np.arange(60), rng.integers(10**6, 10**9, own)]).astype(np.uint64) for _ in range(200)]
+    sets[150] = np.sort(np.r_[sets[7][:-1], np.uint64(10**10)])
+    monkeypatch.setattr(jaccard, "LARGE_REGION", 1500)
+    monkeypatch.setattr(jaccard, "ROUNDS", 2)
+    rows = spark.createDataFrame([(0, k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "pivot long, node long, shingles binary")
+    links, rest = jaccard.shrink_regions(rows, 96)
+    found = [tuple(r) for part in links for r in part.collect()]
+    groups = collections.defaultdict(list)
+    for r in rest.collect():
+        groups[r["pivot"], r["band"], r["part"]].append((r["node"], np.frombuffer(r["shingles"], np.uint64)))
+    assert all(sum(len(s) for _, s in g) <= 2250 for g in groups.values())  # the blocks' chance of being uneven
+    for g in groups.values():
+        found += jaccard.join_region(np.array([k for k, _ in g]), [s for _, s in g], 96)
+    want = brute_groups_of_sets(sets, 96)
+    assert [brute_links(found, range(200))[k] for k in range(200)] == want and want[150] == 7
+    assert len(groups) >= most
+
+
 def test_frequent_shingles(spark):
     rows = [(k, f"one two three {k} {k + 1} {k + 2}") for k in range(300)]
     docs = documents(spark, rows)

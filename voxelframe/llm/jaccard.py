@@ -16,7 +16,9 @@ every region; so regions are made in two steps.
     members at d - r or more; the ball then leaves and the rest is joined in the same way. A
     region too large for a task goes through the same steps with its documents dealt to many:
     each round links a ball and keeps, beside what is outside, only the ball members that the
-    triangle inequality lets link with the shell.
+    triangle inequality lets link with the shell. Documents with too many shingles of their
+    own in the region leave it, and what stays too large is dealt to blocks, of which each two
+    meet in a task: no task takes a region whole.
 
 Equal sets are one class throughout. The order needs document frequencies only for a fixed
 part of the hash space (``sampled``), chosen so that it holds enough shingles of nearly every
@@ -198,19 +200,60 @@ def _shared(shingles, other):
     return count(shingles, other)
 
 
+def _hashes(shingles):
+    """The hashes of a set that is given as bytes."""
+
+    @F.pandas_udf("array<long>")
+    def taken(a: pd.Series) -> pd.Series:
+        return a.map(lambda b: np.frombuffer(b, np.int64))
+
+    return taken(shingles)
+
+
+def without_lone(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """``rows`` without the documents that can't link with any other of their group.
+
+    A partner has ``percent`` of a set's shingles at least, so a document of which more are no
+    other's has none. Dropped documents may leave others alone; one pass is made.
+    """
+    held = rows.select(*keys, "node", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.explode(_hashes("shingles")).alias("h"))
+    own = held.groupBy(*keys, "h").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("n").alias("n")).filter("c = 1")
+    lone = own.groupBy(*keys, "node").agg(F.count("*").alias("c"), F.min("n").alias("n")).filter(f"c > n - (n * {percent} + 99) div 100").select(*keys, "node")
+    return rows.join(lone.hint("shuffle_hash"), [*keys, "node"], "left_anti")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(pivot, band, part, node, shingles): groups above the limit are dealt to blocks, and each two blocks make a part.
+
+    Any two documents of a group meet in a part, so the parts' links together are the group's.
+    Two blocks hold four fifths of the limit on average.
+    """
+    size = rows.groupBy("pivot", "band").agg(F.sum(F.octet_length("shingles") / 8).alias("size"))
+    blocks = size.select("pivot", "band", F.when(F.col("size") > LARGE_REGION, F.ceil(F.col("size") * 2.5 / LARGE_REGION)).otherwise(1).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
+    met = rows.join(blocks, ["pivot", "band"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.filter("own <> other or blocks = 1")
+    part = F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")
+    return met.select("pivot", "band", part.alias("part"), "node", "shingles")
+
+
 def shrink_regions(rows: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
-    """Links of large regions' balls, and what is left of the regions (pivot, band, node, shingles).
+    """Links of large regions' balls, and what is left of the regions (pivot, band, part, node, shingles).
 
-    ``rows`` has pivot, node and shingles. In a round every region's document is measured against
+    ``rows`` has pivot, node and shingles, each document of a region once. Documents without
+    partners leave before the first round and after the last one. In a round every region's document is measured against
     its centre; those within the radius are linked to it. Ball members that no document of the
     shell can link with leave. Regions still large after the last round are cut into bands of set
-    size, each holding the sizes of the next one too: beyond that, sizes alone part two sets.
+    size, each holding the sizes of the next one too: beyond that, sizes alone part two sets. Bands
+    that are still large are dealt to parts in which each two of their documents meet.
     """
     radius = 1 - percent / 100
     links: list[DataFrame] = []
     ready: list[DataFrame] = []
-    shape = ["pivot", "band", "node", "shingles"]
-    now = rows.select("pivot", F.col("pivot").alias("center"), "node", "shingles")
+    shape = ["pivot", "band", "part", "node", "shingles"]
+    whole = F.lit(0).cast("long").alias("part")
+    now = stored(without_lone(rows.select("pivot", "node", "shingles"), ["pivot"], percent), "linked")
+    now = now.join(now.groupBy("pivot").agg(F.min("node").alias("center")), "pivot")
     n, m = F.octet_length("shingles") / 8, F.octet_length("center_shingles") / 8
     for _ in range(ROUNDS):
         centers = now.filter("node = center").select("pivot", F.col("shingles").alias("center_shingles"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
@@ -224,13 +267,14 @@ def shrink_regions(rows: DataFrame, percent: int) -> tuple[list[DataFrame], Data
         kept = stored(kept.select("pivot", F.col("next").alias("center"), "node", "shingles"), "kept")
         size = kept.groupBy("pivot").agg(F.sum(F.octet_length("shingles") / 8).alias("size"))
         large = size.filter(F.col("size") > LARGE_REGION).select("pivot")
-        ready.append(kept.join(large, "pivot", "left_anti").select("pivot", F.lit(-1).alias("band"), "node", "shingles"))
+        ready.append(kept.join(large, "pivot", "left_anti").select("pivot", F.lit(-1).alias("band"), whole, "node", "shingles"))
         now = kept.join(large, "pivot", "left_semi")
         if not large.head(1):
             break
     else:
         band = F.floor(F.log(F.octet_length("shingles") / 8) / float(np.log(100 / percent)) + 1e-9).cast("int")
-        ready.append(now.select("pivot", F.explode(F.array(band, band + 1)).alias("band"), "node", "shingles"))
+        now = now.select("pivot", F.explode(F.array(band, band + 1)).alias("band"), "node", "shingles")
+        ready.append(in_blocks(stored(without_lone(now, ["pivot", "band"], percent), "bands")))
     out = ready[0].select(*shape)
     for df in ready[1:]:
         out = out.unionByName(df.select(*shape))
@@ -285,7 +329,7 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     wanted = placed.withColumnRenamed("node", "doc_id").hint("shuffle_hash")
     sets = docs.join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "mark", "n", "regions", "text")
     sets = sets.mapInArrow(_region_sets(n), "node long, regions array<long>, shingles binary")
-    sets = sets.select(F.explode("regions").alias("pivot"), F.lit(-1).alias("band"), "node", "shingles")
+    sets = sets.select(F.explode("regions").alias("pivot"), F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"), "node", "shingles")
     links = []
     large = met.groupBy("pivot").agg(F.sum("n").alias("size")).filter(F.col("size") > LARGE_REGION).select("pivot")
     if large.head(1):
@@ -298,7 +342,7 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
         found = join_region(pdf["node"].to_numpy(), [np.frombuffer(b, dtype=np.uint64) for b in pdf["shingles"]], percent)
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    links.append(sets.groupBy("pivot", "band").applyInPandas(region, "u long, v long"))
+    links.append(sets.groupBy("pivot", "band", "part").applyInPandas(region, "u long, v long"))
     found = components(reduce(DataFrame.unionByName, links))
     nodes = classes.select(*key, "node").join(found, "node", "left").select("mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
     return marks.select("doc_id", "n_shingles", "mark").join(nodes, ["mark", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
