@@ -229,6 +229,32 @@ def test_decontamination_recall(spark, edits, least):
     assert kept == {k for k, _ in rows if (k not in {d for d, _ in pairs})} | {500, None}
 
 
+@pytest.mark.parametrize("script", ["chinese", "thai", "ascii"])
+@pytest.mark.parametrize("edits, least", [(0.0, 1.0), (0.1, 0.9)])
+def test_decontamination_without_word_breaks(spark, script, edits, least):
+    rng = random.Random(script)
+    first, many = {"chinese": (0x4E00, 3000), "thai": (0x0E01, 46), "ascii": (97, 26)}[script]
+    said = lambda n: "".join(chr(first + rng.randrange(many)) for _ in range(n))
+    items = [(k, said(40) + ("\u3002" + said(30) + "\u3002" if script == "chinese" else said(30))) for k in range(20)]
+    rows, leaks = [], set()
+    for k in range(60):
+        text = said(rng.randint(50, 400))
+        if k % 2:
+            i = rng.randrange(20)
+            part = list(items[i][1])
+            for _ in range(int(edits * len(part))):
+                part[rng.randrange(len(part))] = said(1)
+            at = rng.randint(0, len(text))
+            text = text[:at] + "".join(part) + text[at:]
+            leaks.add((k, i))
+        rows.append((k, text))
+    found = decontam.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in found}
+    assert pairs <= leaks and len(pairs) >= least * len(leaks)
+    if not edits:
+        assert all(r["distance"] == 0 for r in found)
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(documents(spark, [(1, "a b c")]), none).count() == 0
