@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelframe.llm import decontam, jaccard, piece, toxicity
 from voxelframe.llm.common import stored, table
@@ -19,11 +20,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates."""
-    groups = jaccard.near_groups(docs, n=SHINGLE_WORDS, percent=SHARED_PERCENT)
-    others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    # What is dropped grows with the corpus, so it is never broadcast.
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: that of smallest doc_id, a null one coming last.
+
+    Rows are told apart by a number of their own, so one of repeated rows stays, rows with a null
+    doc_id are members of their groups, and a row isn't dropped for another with its doc_id. Of
+    rows with one doc_id that of the least hash of its text stays. Rows without a set all stay.
+    """
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    # Written once, so that the numbers stand.
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = jaccard.near_groups(docs.select(F.col(row).alias("doc_id"), "text"), n=SHINGLE_WORDS, percent=SHARED_PERCENT)
+    ranks = docs.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), F.col(row).alias("row")).alias("rank"))
+    least = groups.select(F.col("doc_id").alias("row"), "component_id").join(ranks.hint("shuffle_hash"), "row").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    # What stays grows with the corpus, so it is never broadcast.
+    kept = least.select(F.col("rank.row").alias(row))
+    return docs.join(kept.hint("shuffle_hash"), row, "left_semi").drop(row)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,6 +130,17 @@ def test_pipeline_stages_take_clashing_columns(spark):
         assert stage(spark, before.limit(0), SF).count() == 0
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c, d = ("".join(f"{x}{k} " for k in range(20)) for x in "abcd")
+    rows = [(5, a), (5, a), (None, a), (3, b), (7, b + "more"), (7, c), (None, d), (None, d), (9, None), (9, None), (None, "")]
+    out = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), SF)
+    assert out.columns == ["doc_id", "text"]
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert got == sorted([(5, a), (3, b), (7, c), (None, d), (9, None), (9, None), (None, "")], key=repr)
+
+
 def test_near_groups_of_repeated_and_no_rows(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (2, "A B C D"), (None, "a b c d"), (9, "q")]
     out = sorted(jaccard.near_groups(documents(spark, rows)).collect(), key=lambda r: (r["doc_id"] or -1))
