@@ -328,6 +328,69 @@ def test_nearest_of_few_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out] == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5)]
 
 
+def nearest_lists(spark, rows, **options):
+    out = collections.defaultdict(list)
+    for r in vptree.nearest(vectors(spark, [(i, v, 0) for i, v in rows]), **options).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append(r["vec_id"])
+    return out
+
+
+def test_nearest_keeps_all_ties(spark):
+    """Exact at factor 1 however many candidates have one score, equal vectors or not."""
+    rng = np.random.default_rng(8)
+    flat = [[1.0, *rng.integers(-3, 4, 3).astype(float).tolist()] for _ in range(400)]
+    rows = [(20, [1.0, 0.0, 0.0, 0.0]), *((k + 1 + (k >= 19), v) for k, v in enumerate(flat)), (10**6, [0.0, 1.0, 0.0, 0.0])]
+    random.Random(1).shuffle(rows)
+    out = nearest_lists(spark, rows, relax=1.0, cell_rows=64, shard_rows=100)
+    assert out == brute_nearest(rows, 20)
+    assert out[20] == [k for k in range(1, 22) if k != 20]
+
+
+@pytest.mark.parametrize("sizes", [(1e200, 1e200), (1e-200, 1e-200), (1.0, 1e200), (1e-160, 1e150), (1e-310, 1.0)])
+def test_nearest_of_huge_and_tiny_vectors(spark, sizes):
+    rng = np.random.default_rng(9)
+    queries, others = sizes
+    rows = [(k, (rng.normal(size=5) * (queries if k % 20 == 0 else others)).tolist()) for k in range(300)]
+
+    def exact(v, w):
+        from fractions import Fraction
+
+        return sum(Fraction(a) * Fraction(b) for a, b in zip(v, w, strict=True))
+
+    out = nearest_lists(spark, rows, relax=1.0, cell_rows=64)
+    assert len(out) == 15
+    for q in range(0, 300, 20):
+        scored = sorted((-exact(rows[q][1], v), i) for i, v in rows if i != q)
+        try:
+            want = [i for _, i in sorted((-float(-s), i) for s, i in scored)[:20]]
+        except OverflowError:  # beyond the range all are infinite, and ties
+            limit = 2**1024
+            want = [i for _, i in sorted((-math.inf if s <= -limit else math.inf if s >= limit else float(s), i) for s, i in scored)[:20]]
+        assert out[q] == want
+
+
+def test_one_huge_vector_leaves_the_others_as_they_are(spark):
+    rng = np.random.default_rng(10)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(1, 200)]
+    out = nearest_lists(spark, [*rows, (500, [1e300, 0.0, 0.0, 0.0])], relax=1.0, cell_rows=64)
+    plain = nearest_lists(spark, rows, relax=1.0)
+    for q, own in plain.items():
+        assert [i for i in out[q] if i != 500][:19] == own[:19]
+
+
+def test_nearest_of_other_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [2.0, 0.0]), (20, [1.0, 1.0, 1.0]), (3, [1.0, 2.0, 3.0]), (4, [2.0, 2.0, 2.0]), (40, [7.0])]
+    out = vptree.nearest(vectors(spark, [(i, v, 0) for i, v in rows]), 20, relax=1.0).collect()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out)
+    assert got == [(0, 1, 1, 1.0), (0, 1, 1, 2.0), (0, 2, 0, 0.5), (0, 2, 0, 0.5), (20, 1, 3, 6.0), (20, 2, 4, 6.0)]
+
+
+def test_a_hot_query_vector_is_asked_once_for_each_salt(spark):
+    rng = np.random.default_rng(11)
+    rows = [(20 * k, [1.0, 2.0, 3.0]) for k in range(400)] + [(20 * k + 1, rng.normal(size=3).tolist()) for k in range(200)]
+    assert nearest_lists(spark, rows, relax=1.0, cell_rows=64) == brute_nearest(rows, 20)
+
+
 def test_lattice_sums_all_segmentations():
     own = lattice.Lattice(piece.PieceModel(MODEL))
     pieces = piece.PieceModel(MODEL).pieces
