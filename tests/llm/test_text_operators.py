@@ -1,9 +1,13 @@
 """Encoding, word pieces, chat formatting, licences, toxicity: against libraries, brute force or held-out rows."""
 
+import collections
 import hashlib
+import math
 import random
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -250,3 +254,61 @@ def test_kneser_ney_ratios():
     assert seen["aaaab"] > 1 and seen["aaaac"] < -1 and abs(seen["aaaab"] + seen["aaaac"]) < 0.5
     assert rest["aaaa"] == 0  # both classes know the context equally well
     assert toxicity.kneser_ney(pd.DataFrame({"gram": [], "toxic": [], "ordinary": []})) == ({}, {})
+
+
+def test_kneser_ney_is_that_of_its_formula():
+    """All probabilities by plain loops over the training words, and that they sum to one."""
+    rng = random.Random(4)
+    texts = [("".join(rng.choices("abc", k=rng.randint(1, 6))), rng.randint(0, 5), rng.randint(0, 5)) for _ in range(60)]
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+    grams = collections.defaultdict(lambda: [0, 0])
+    for w, toxic, ordinary in texts:
+        if toxic + ordinary:
+            padded = toxicity._PAD + w + toxicity._END
+            for k in range(len(w) + 1):
+                grams[padded[k : k + n]][0] += toxic
+                grams[padded[k : k + n]][1] += ordinary
+    suffixes = {k: {g[-k:] for g in grams} for k in range(1, n + 1)}
+
+    def shared(context, c):
+        """The continuation probability after ``context``, which is shorter than the models' order."""
+        k = len(context)
+        below = shared(context[1:], c) if k else 1 / len(suffixes[1])
+        count = {x: sum(g[1:] == context + x for g in suffixes[k + 2]) if k + 2 <= n else 0 for x in letters}
+        total = sum(count.values())
+        return (max(count[c] - d, 0) + d * sum(v > 0 for v in count.values()) * below) / total if total else below
+
+    letters = sorted({g[-1] for g in grams})
+
+    def p(kind, context, c):
+        count = {x: grams[context + x][kind] if context + x in grams else 0 for x in letters}
+        total, back = sum(count.values()), shared(context[1:], c)
+        return (max(count[c] - d, 0) + d * sum(v > 0 for v in count.values()) * back) / total if total else back
+
+    frame = pd.DataFrame({"gram": list(grams), "toxic": [v[0] for v in grams.values()], "ordinary": [v[1] for v in grams.values()]})
+    model = toxicity.ToxicityModel(*toxicity.kneser_ney(frame))
+    for context in {g[:-1] for g in list(grams)[:40]}:
+        for kind in (0, 1):
+            assert abs(sum(p(kind, context, c) for c in letters) - 1) < 1e-9
+    for w in [w for w, _, _ in texts[:20]] + ["aabbc", "ccc", "abcabcab"]:
+        padded = toxicity._PAD + w + toxicity._END
+        want = 0.0
+        for k in range(len(w) + 1):
+            context, c = padded[k : k + n - 1], padded[k + n - 1]
+            own = [p(kind, context, c) for kind in (0, 1)]
+            want += math.log(own[0] / own[1])
+        assert abs(model.ratio(w) - want) < 1e-9
+    model.chance = 0.01
+    assert abs(model.difference("abc, ABC ccc") - (2 * model.word("abc") + model.word("ccc")) / 3) < 1e-12
+    assert abs(model.word("abc") - math.log(0.99 + 0.01 * math.exp(model.ratio("abc")))) < 1e-12
+
+
+def test_toxicity_of_repeated_rows_and_long_texts(spark):
+    docs = [(k, f"plain words are here {k}" if k % 3 else f"you are a moronic fool {k}") for k in range(150)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(150)], "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    twice = toxicity.fit(spark.createDataFrame(docs + docs[:40], "doc_id long, text string"), labels)
+    assert once.seen == twice.seen and once.chance == twice.chance and np.allclose(once.weights, twice.weights)
+    long = "plain words are here " * 100_000
+    clean, toxic, mixed = once.scores([long, "moronic fool " * 100_000, long + "x" * 10_000])
+    assert clean < 0.5 < toxic and mixed < 0.5

@@ -3,16 +3,21 @@
 Words are scored character by character, within the word, by two models of one order: one of
 toxic and one of ordinary texts. Their highest order has counts of its own class; below it both
 back off to the same continuation counts, taken from the two classes together, so an expression
-that neither class knows well is judged alike by both and adds nothing. A text is judged by the
-log-likelihood ratios of its distinct words, normalised by their number: of all of them, and of
-what exceeds the ratios that ordinary words reach by chance (a few words make a long text
-toxic). Coefficients fitted on texts that the models haven't seen turn this into a probability.
+that neither class knows well is judged alike by both and adds nothing.
+
+Toxic texts are ordinary ones but for a few words, so a word of a toxic text comes from the toxic
+model with a small chance and from the ordinary one else. A text is judged by the difference of
+its two log-likelihoods under this mixture and the ordinary model, normalised by its number of
+words: nothing else enters the score. The chance, and the two coefficients that turn the
+difference into a probability, are fitted on texts that the models haven't seen.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import crc_mod, slices
+from voxelframe.llm.common import crc_mod, slices, stored
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -28,10 +33,8 @@ DISCOUNT = 0.75
 TRAIN_ROWS = 20_000
 #: Tenths of the learning rows for the language models; the rest fits the coefficients.
 MODEL_TENTHS = 7
-#: Grams seen fewer times than this in all are left to the backoff.
-LEAST_COUNT = 2
-#: Ratios up to this are ordinary words' noise.
-NOISE = 4.0
+#: Chances that are tried for a word of a toxic text to come from the toxic model.
+CHANCES = (0.3, 0.1, 0.03, 0.01, 0.003, 0.001, 0.0003)
 CACHE_ENTRIES = 200_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _PAD = "\x02" * (ORDER - 1)
@@ -80,18 +83,26 @@ def kneser_ney(counts: pd.DataFrame) -> tuple[dict[str, float], dict[str, float]
     return seen, rest
 
 
+def words(text: str) -> list[str]:
+    """The runs of letters of a text, in small letters: what both learning and scoring see of it."""
+    return _WORDS.findall(text.lower())
+
+
 class ToxicityModel:
-    def __init__(self, seen: dict[str, float], rest: dict[str, float], weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)):
-        self.seen, self.rest, self.weights = seen, rest, weights
+    """Log ratios of grams, the chance of a toxic word, and the coefficients of the normalised difference."""
+
+    def __init__(self, seen: dict[str, float], rest: dict[str, float], chance: float = CHANCES[0], weights: tuple[float, float] = (0.0, 0.0)):
+        self.seen, self.rest, self.chance, self.weights = seen, rest, chance, weights
         self.known: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.seen, self.rest, self.weights
+        return self.seen, self.rest, self.chance, self.weights
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def word(self, word: str) -> float:
+    def ratio(self, word: str) -> float:
+        """log p_toxic - log p_ordinary of a word and its end."""
         text, seen, rest, total = _PAD + word + _END, self.seen.get, self.rest.get, 0.0
         for k in range(len(word) + 1):
             gram = text[k : k + ORDER]
@@ -99,36 +110,34 @@ class ToxicityModel:
             total += rest(gram[:-1], 0.0) if r is None else r
         return total
 
-    def evidence(self, text: str) -> tuple[int, float, float, float]:
-        """Distinct words of a text, the sum of their log-likelihood ratios, the sum beyond the noise, and the largest."""
-        words, known = set(_WORDS.findall(text.lower())), self.known
+    def word(self, word: str) -> float:
+        """The difference of a word's log-likelihoods under the mixture and the ordinary model."""
+        return mixture(self.ratio(word), self.chance)
+
+    def difference(self, text: str) -> float:
+        """The difference of the text's log-likelihoods, normalised by its number of words; 0 without words."""
+        count, known = Counter(words(text)), self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        try:
-            ratios = list(map(known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            ratios = list(map(known.__getitem__, words))
-        return len(ratios), math.fsum(ratios), math.fsum(r - NOISE for r in ratios if r > NOISE), max(ratios, default=0.0)
+        for w in count.keys() - known.keys():
+            known[w] = self.word(w)
+        return math.fsum(map(operator.mul, map(known.__getitem__, count), count.values())) / max(1, count.total())
 
-    def scores(self, evidence: list[tuple[int, float, float, float]]) -> np.ndarray:
-        z = np.clip(features(evidence) @ np.array(self.weights), -50, 50)
-        return 1 / (1 + np.exp(-z))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        x = np.array([self.difference(t or "") for t in texts], dtype=float)
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] * x + self.weights[1], -50, 50)))
 
 
-def features(evidence: list[tuple[int, float, float, float]]) -> np.ndarray:
-    """The ratio per word, the excess per word and in units of its own noise, the largest ratio, and a constant."""
-    n, total, excess, most = np.array(evidence, dtype=float).reshape(-1, 4).T
-    n = np.maximum(n, 1)
-    return np.column_stack([total / n, excess / n, excess / np.sqrt(n), np.minimum(most, 15), np.ones(len(n))])
+def mixture(ratio: float, chance: float) -> float:
+    """log(1 - chance + chance * exp(ratio))"""
+    own, other = math.log(chance) + ratio, math.log1p(-chance)
+    return max(own, other) + math.log1p(math.exp(-abs(own - other)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
     """Ridge logistic regression by Newton steps; the constant isn't shrunk."""
     if not len(y):
-        return (0.0, 0.0, 0.0, 0.0, -1.0)
+        return (0.0, -1.0)
     scale = np.maximum(np.abs(x).mean(axis=0), 1e-9)
     scale[-1] = 1
     x = x / scale
@@ -145,16 +154,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 def _count_grams(batches):
     counts: dict[str, list[int]] = {}
-    words: dict[str, list[int]] = {}
+    held: dict[str, list[int]] = {}
 
     def spread():
-        for w, (toxic, ordinary) in words.items():
+        for w, (toxic, ordinary) in held.items():
             text = _PAD + w + _END
             for k in range(len(w) + 1):
                 c = counts.setdefault(text[k : k + ORDER], [0, 0])
                 c[0] += toxic
                 c[1] += ordinary
-        words.clear()
+        held.clear()
 
     def flush():
         grams = list(counts)
@@ -164,9 +173,9 @@ def _count_grams(batches):
 
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            for w in (text or "").lower().split():
-                words.setdefault(w, [0, 0])[0 if toxic else 1] += 1
-            if len(words) > CACHE_ENTRIES:
+            for w in words(text or ""):
+                held.setdefault(w, [0, 0])[0 if toxic else 1] += 1
+            if len(held) > CACHE_ENTRIES:
                 spread()
             if len(counts) > CACHE_ENTRIES:
                 yield flush()
@@ -189,21 +198,38 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
         .limit(train_rows)
     )
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10))
-    # train_rows bounds what is broadcast; texts stay where they are.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"), part.alias("part"))
+    # train_rows bounds what is broadcast; texts stay where they are. A row that is there twice teaches once.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").distinct().select("text", (F.col("toxic") == 1).alias("toxic"), part.alias("part"))
+    texts = stored(texts, "learning")
     counted = texts.filter(F.col("part") < MODEL_TENTHS).select("text", "toxic").mapInArrow(_count_grams, "gram string, toxic long, ordinary long")
-    grams = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).filter(F.col("toxic") + F.col("ordinary") >= LEAST_COUNT)
+    grams = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     model = ToxicityModel(*kneser_ney(grams.toPandas()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
+        model, known = shared.value, {}
         for batch in batches:
-            found = [shared.value.evidence(t or "") for t in batch.column("text").to_pylist()]
-            columns = [pa.array([f[k] for f in found], pa.float64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("toxic")], ["n", "total", "excess", "most", "toxic"])
-
-    seen = texts.filter(F.col("part") >= MODEL_TENTHS).select("text", "toxic").mapInArrow(judge, "n double, total double, excess double, most double, toxic boolean").toPandas()
-    model.weights = logistic(features(seen[["n", "total", "excess", "most"]].to_numpy()), seen["toxic"].to_numpy().astype(float))
+            found = []
+            for text in batch.column("text").to_pylist():
+                count = Counter(words(text or ""))
+                if len(known) > CACHE_ENTRIES:
+                    known.clear()
+                for w in count.keys() - known.keys():
+                    known[w] = model.ratio(w)
+                r, n = np.array([known[w] for w in count]), np.array(list(count.values()), dtype=float)
+                found.append([(n * np.logaddexp(math.log1p(-c), math.log(c) + r)).sum() / max(1, n.sum()) for c in CHANCES])
+            columns = np.array(found).reshape(-1, len(CHANCES)).T
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in columns), batch.column("toxic")], [*names, "toxic"])
+
+    names = [f"x{k}" for k in range(len(CHANCES))]
+    seen = texts.filter(F.col("part") >= MODEL_TENTHS).select("text", "toxic").mapInArrow(judge, ", ".join(f"{n} double" for n in names) + ", toxic boolean").toPandas()
+    y, best = seen["toxic"].to_numpy().astype(float), math.inf
+    for name, chance in zip(names, CHANCES, strict=True):
+        x = np.column_stack([seen[name].to_numpy(), np.ones(len(y))])
+        weights = logistic(x, y)
+        loss = float(np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ np.array(weights))).sum())
+        if loss < best:
+            best, model.chance, model.weights = loss, chance, weights
     return model
 
 
@@ -222,7 +248,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
         model = shared.value
         for batch in batches:
             for part in slices(batch):
-                p = model.scores([model.evidence(t or "") for t in part.column("text").to_pylist()])
+                p = model.scores(part.column("text").to_pylist())
                 columns = [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + columns, [f.name for f in fields] + ["score", "predicted"])
 
@@ -237,7 +263,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         model = shared.value
         for batch in batches:
             for part in slices(batch):
-                p = model.scores([model.evidence(t or "") for t in part.column("text").to_pylist()])
+                p = model.scores(part.column("text").to_pylist())
                 yield part.filter(pa.array(p < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
