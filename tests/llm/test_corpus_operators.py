@@ -80,6 +80,18 @@ def test_near_groups(spark, monkeypatch, seed, n, percent, large, rounds, listed
     assert out == brute_groups(rows, n, percent)
 
 
+def test_near_groups_of_repeated_ids(spark):
+    """One doc_id on several texts, and rows that are there twice."""
+    a = [f"w{k}" for k in range(60)]
+    b = [f"v{k}" for k in range(60)]
+    c = [f"u{k}" for k in range(60)]
+    text = lambda w, k=None: " ".join(w if k is None else [*w[:k], "x", *w[k + 1 :]])
+    rows = [(1, text(a)), (1, text(b)), (2, text(a, 59)), (3, text(b, 59)), (3, text(b, 59)), (7, text(c)), (7, text(b, 0)), (9, text(c, 59)), (5, None), (5, "x y"), (4, "x y")]
+    out = collections.Counter(tuple(r) for r in jaccard.near_groups(documents(spark, rows), 3, 90).collect())
+    want = [(1, 58, 1), (1, 58, 1), (2, 58, 1), (3, 58, 1), (3, 58, 1), (7, 58, 7), (7, 58, 1), (9, 58, 7), (5, 0, 5), (5, 1, 4), (4, 1, 4)]
+    assert out == collections.Counter(want)
+
+
 def brute_links(links, nodes):
     root = {k: k for k in nodes}
     for u, v in links:

@@ -40,14 +40,15 @@ from voxelframe.llm.graph import components
 from voxelframe.llm.wordarrays import SPACED, mixed, shingles, words
 
 #: A region of more shingles than this is made smaller before a task joins it.
-LARGE_REGION = 3_000_000
+LARGE_REGION = 250_000
 #: Rounds of that, and parts that a large region's documents are dealt to in each.
 ROUNDS = 6
 PARTS = 64
-#: Shingles of over a hundredth of about this many sampled documents are frequent: at most so many are
-#: listed. They come last in the order and are dealt to many tasks; the list changes no result.
+#: Shingles of over so many of a thousand of about this many sampled documents are frequent: at most so many
+#: are listed. They come last in the order and are dealt to many tasks; the list changes no result.
 SAMPLE_DOCS = 4000
-FREQUENT = 4096
+OFTEN = 3
+FREQUENT = 16_384
 
 
 class Sets:
@@ -285,7 +286,7 @@ def frequent_shingles(docs: DataFrame, rows, total: int) -> list[int]:
     """Hashes that a sample of the documents holds often, most frequent first."""
     part = min(1.0, SAMPLE_DOCS / max(1, total))
     seen = docs.sample(part, seed=7).mapInArrow(rows, "h long, mark long, n int").groupBy("h").count()
-    often = seen.filter(F.col("count") > max(40, part * total / 100)).orderBy(F.desc("count"), "h").limit(FREQUENT)
+    often = seen.filter(F.col("count") > max(12, part * total * OFTEN / 1000)).orderBy(F.desc("count"), "h").limit(FREQUENT)
     return [r["h"] for r in often.collect()]
 
 
@@ -295,15 +296,18 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     A document's set are its distinct ``n``-word shingles (A-Z lower-cased, words parted by space
     and U+0009 to U+000D); with fewer words, the whole sequence. Null, empty and blank texts
     have no set and link with nothing. Two documents link when 100 * common >= percent * union;
-    ``component_id`` is the smallest doc_id reached by links. Repeated rows are kept; rows with a
-    null doc_id have a component of their own text's class. Shingles are 64-bit hashes; classes
-    are told apart by such a hash and the set's size.
+    ``component_id`` is the smallest doc_id reached by links. Repeated rows are kept, and rows of
+    one doc_id and several texts each have their own text's component; rows with a null doc_id
+    have that of their own text's class. Shingles are 64-bit hashes; classes are told apart by
+    such a hash and the set's size.
     """
     cut = int(min(1.0, sampled if sampled is not None else 1.75 * (1 - percent / 100)) * 2**63)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = stored(docs.mapInArrow(_fingerprints(n, cut), "doc_id long, n_shingles long, mark long, inside long"), "marks")
     key = ["mark", "n"]
-    classes = marks.filter("n_shingles > 0").groupBy("mark", F.col("n_shingles").cast("int").alias("n")).agg(F.min("doc_id").alias("node"), F.first("inside").alias("inside"))
+    classes = marks.filter("n_shingles > 0").groupBy("mark", F.col("n_shingles").cast("int").alias("n")).agg(F.min("doc_id").alias("least"), F.first("inside").alias("inside"))
+    # A class is a node of its own: one doc_id may stand for several classes.
+    classes = classes.withColumn("node", F.xxhash64(*key))
 
     # The order: shingles of one class, then by how many tasks' classes hold one, then the frequent.
     rows = docs.mapInArrow(_order_rows(n, cut, percent), "h long, mark long, n int")
@@ -314,20 +318,20 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     met = rows.select("*", F.count("*").over(of).alias("df"), F.min("mark").over(of).alias("lo"), F.max("mark").over(of).alias("hi"))
     met = met.filter((F.col("lo") != F.col("hi")) | often).withColumn("df", F.when(often, F.lit(1 << 60)).otherwise(F.col("df")))
     met = met.groupBy(*key).agg(F.collect_set(F.when(F.col("h") < cut, F.struct("df", "h"))).alias("low"), F.collect_set(F.when(F.col("h") >= cut, F.col("h"))).alias("high"))
-    met = met.join(classes.filter("node is not null"), key)
+    met = met.join(classes.filter("least is not null"), key)
     slots = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
     free = (slots - (F.col("inside") - F.size("low"))).cast("int")
     first = F.slice(F.array_sort("low"), 1, F.greatest(free, F.lit(0)))
-    met = met.select(*key, "node", F.explode(F.concat(F.transform(first, lambda x: x["h"]), "high")).alias("h"))
+    met = met.select(*key, "node", "least", F.explode(F.concat(F.transform(first, lambda x: x["h"]), "high")).alias("h"))
 
-    # Regions: documents that meet at a shingle, under its smallest document.
+    # Regions: documents that meet at a shingle, under one of them.
     met = stored(met, "prefixes")
     pivots = met.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("h", "pivot")
-    met = stored(met.join(pivots, "h").select(*key, "node", "pivot").distinct(), "regions")
-    placed = met.groupBy(*key, "node").agg(F.collect_set("pivot").alias("regions"))
+    met = stored(met.join(pivots, "h").select(*key, "node", "least", "pivot").distinct(), "regions")
+    placed = met.groupBy(*key, "node", "least").agg(F.collect_set("pivot").alias("regions"))
     # The documents in regions grow with the corpus: they are never broadcast, at any size.
-    wanted = placed.withColumnRenamed("node", "doc_id").hint("shuffle_hash")
-    sets = docs.join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "mark", "n", "regions", "text")
+    wanted = placed.withColumnRenamed("least", "doc_id").hint("shuffle_hash")
+    sets = docs.join(wanted, "doc_id").select("node", "mark", "n", "regions", "text")
     sets = sets.mapInArrow(_region_sets(n), "node long, regions array<long>, shingles binary")
     sets = sets.select(F.explode("regions").alias("pivot"), F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"), "node", "shingles")
     links = []
@@ -344,5 +348,8 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
 
     links.append(sets.groupBy("pivot", "band", "part").applyInPandas(region, "u long, v long"))
     found = components(reduce(DataFrame.unionByName, links))
-    nodes = classes.select(*key, "node").join(found, "node", "left").select("mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
-    return marks.select("doc_id", "n_shingles", "mark").join(nodes, ["mark", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # The smallest doc_id of each component of classes; a class without links is one by itself.
+    linked = stored(classes.select(*key, "node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    nodes = linked.join(least, "component").select("mark", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return marks.select("doc_id", "n_shingles", "mark").join(nodes, ["mark", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
