@@ -182,6 +182,64 @@ def test_coordinates(spark):
     ).first()
     assert (row["c"], row["none"], row["i"], row["s"], row["one"]) == ([1.0, 1.5, 2.0], [], 2, 0.5, 1.0)
     assert len(coords.SPACE_UNITS) == 26 and len(coords.TIME_UNITS) == 23
+    fine = lambda kind, unit: spark.range(1).select(coords.valid_unit(F.lit(kind), F.lit(unit).cast("string"))).first()[0]
+    assert fine("space", "micrometer") and fine("time", "second") and fine("channel", "any") and fine("space", None)
+    assert not fine("space", "second") and not fine("time", "micrometer")
+    rows = coords.exploded(spark.createDataFrame([(0, 25), (1, 0)], "k long, n long"), "n", F.lit(0.5), F.lit(1.0), 10).collect()
+    assert sorted((r["k"], r["i"], r["coord"]) for r in rows) == [(0, i, 1.0 + i * 0.5) for i in range(25)]
+
+
+def test_labelled_writes_by_coordinate_and_name(spark):
+    cells = spark.createDataFrame([(t, c, 10 * t + c) for t in range(3) for c in range(2)], "t long, c long, value long")
+    known = spark.createDataFrame([("BF", 0), ("GFP", 1)], "name string, index long")
+    data = spark.createDataFrame([(2.1, "GFP", 99), (0.0, "BF", 77), (6.0, "BF", 55)], "t_coord double, c_name string, value long")
+    out = {(r["t"], r["c"]): r["value"] for r in coords.write_labelled(cells, data, ["t", "c"], {"t": (2.0, 0.0)}, {"c": known}).collect()}
+    assert out == {(0, 0): 77, (0, 1): 1, (1, 0): 10, (1, 1): 99, (2, 0): 20, (2, 1): 21, (3, 0): 55}
+    with pytest.raises(Exception, match="no such c"):
+        coords.write_labelled(cells, data.withColumn("c_name", F.lit("x")), ["t", "c"], {"t": (2.0, 0.0)}, {"c": known}).collect()
+
+
+def test_transforms_of_one_image_or_all(spark):
+    old = spark.createDataFrame([("0", 0, "scale", [2.0]), ("0", 1, "translation", [1.0]), ("1", 0, "scale", [3.0])], "image string, ordinal long, type string, values array<double>")
+    out = {(r["image"], r["ordinal"]): (r["type"], r["values"]) for r in coords.replace_transforms(old, "0", [("scale", [5.0])]).collect()}
+    assert out == {("0", 0): ("scale", [5.0]), ("1", 0): ("scale", [3.0])}
+    assert {r["image"] for r in coords.replace_transforms(old, "*", [("scale", [5.0])]).filter("values[0] = 5.0").collect()} == {"0", "1"}
+
+
+def test_zeros_are_metadata_alone(spark):
+    levels = spark.createDataFrame([(0, 0, [4, 4], "uint16", [1.0, 1.0])], "image long, level long, shape array<bigint>, dtype string, scale array<double>")
+    images = spark.createDataFrame([(0, [2, 2], "uint16"), (1, [8, 8], "float32")], "image long, shape array<bigint>, dtype string")
+    out = {(r["image"], r["level"]): (r["shape"], r["scale"]) for r in A.create_zeros(levels, images, [2.0, 2.0]).collect()}
+    assert out == {(0, 0): ([4, 4], [1.0, 1.0]), (0, 1): ([2, 2], [2.0, 2.0]), (1, 0): ([8, 8], [2.0, 2.0])}
+    with pytest.raises(Exception, match="number of axes"):
+        A.create_zeros(levels, images.withColumn("shape", F.array(F.lit(1).cast("long"))), [1.0, 1.0]).collect()
+
+
+def test_stores_are_guarded(spark, tmp_path):
+    sizes = {"y": 4, "x": 4}
+    chunks = A.to_chunks(spark.createDataFrame([(0, 0, 5), (3, 3, 7)], "y long, x long, value long"), sizes, {"y": 2, "x": 2})
+    plain, store = str(tmp_path / "plain"), str(tmp_path / "a.zarr")
+    for path in (plain, store):
+        A.write(chunks, path)
+        with pytest.raises(Exception, match="(?i)exist"):
+            A.write(chunks, path)
+    A.write(chunks, store, "w")
+    with pytest.raises(Exception, match="(?i)exist"):
+        A.write(chunks, plain, "w")
+    with pytest.raises(ValueError):
+        A.write(chunks, plain, "r")
+    assert A.read(spark, store, {"y": 2, "x": 2}).filter("value > 0").count() == 2
+
+
+def test_positions_are_processed_by_index_and_resumed(spark):
+    cells = spark.createDataFrame([(p, t, y, 100 * p + 10 * t + y) for p in range(2) for t in range(3) for y in range(2)], "p long, t long, y long, value long")
+    seen = lambda v, input_time_index: v * 2 + input_time_index
+    out = volumes.process_positions(cells, seen, ["p", "t"], {"y": 2}, {"t": [(2, 0), (0, 1)]})
+    want = {(p, o, y): 2 * (100 * p + 10 * i + y) + i for p in range(2) for i, o in ((2, 0), (0, 1)) for y in range(2)}
+    assert {(r["p"], r["t"], r["y"]): r["value"] for r in out.collect()} == want
+    done = spark.createDataFrame([(1, 0)], "p long, t_out long")
+    again = volumes.process_positions(cells, seen, ["p", "t"], {"y": 2}, {"t": [(2, 0), (0, 1)]}, done)
+    assert {(r["p"], r["t"], r["y"]): r["value"] for r in again.collect()} == {k: v for k, v in want.items() if k[:2] != (1, 0)}
 
 
 def test_set_scale_keeps_history(spark):

@@ -27,6 +27,11 @@ def longs(*values):
         ("1-Pos001", ("0", "1", "001000")),
         ("Pos-5-000_005", ("0", "5", "000005")),
         ("xA1-Site_0", None),
+        ("A1-Site_03x", ("A", "1", "03")),
+        ("12-Pos7_008", ("0", "12", "7008")),
+        ("Pos-5-000", None),
+        ("A-Site_0", None),
+        ("", None),
     ],
 )
 def test_well_labels(spark, label, want):
@@ -56,6 +61,8 @@ def test_paths(spark, path, want):
 
 def test_natural_order(spark):
     given = ["f10", "f2", "f1a", "f1", "g0", "f02"]
+    long = ["n" + "9" * 30, "n1" + "0" * 30, "n" + "9" * 29, "n" + "0" * 40 + "7"]
+    assert [r["n"] for r in spark.createDataFrame([(n,) for n in long], "n string").orderBy(names.natural_key(F.col("n"))).collect()] == [long[3], long[2], long[0], long[1]]
     out = spark.createDataFrame([(n,) for n in given], "n string").orderBy(names.natural_key(F.col("n")), "n").collect()
     assert [r["n"] for r in out] == ["f1", "f1a", "f02", "f2", "f10", "g0"]
 
@@ -149,8 +156,17 @@ def test_archives(spark):
     entries = spark.createDataFrame([(0, n, o) for n, o in rows], "archive int, name string, ordinal long")
     order = archives.pack_order(entries, ["archive"]).orderBy("position").collect()
     assert [r["name"] for r in order][:4] == ["zarr.json", "a/zarr.json", "b/zarr.json", "z/c"]
-    assert {(r["name"], r["ordinal"]) for r in archives.unpack(entries, ["archive"]).collect()} == {("z/c", 3), ("b/zarr.json", 1), ("zarr.json", 2), ("a/zarr.json", 6)}
+    safe = entries.filter("ordinal <> 4")
+    assert {(r["name"], r["ordinal"]) for r in archives.unpack(safe, ["archive"]).collect()} == {("z/c", 3), ("b/zarr.json", 1), ("zarr.json", 2), ("a/zarr.json", 6)}
+    for bad in ("../x", "/x", "a/../../x", "C:/x", "a\\..\\x"):
+        with pytest.raises(Exception, match="unsafe name"):
+            archives.unpack(entries.withColumn("name", F.when(F.col("ordinal") == 4, bad).otherwise(F.col("name"))), ["archive"]).collect()
     assert tuple(archives.summary(entries, ["archive"]).first())[1:] == (7, 3, 1)
+    said = '{"ome": {"version": "0.5", "zipFile": {"centralDirectory": {"jsonFirst": true}}}}'
+    assert tuple(one(spark, archives.comment_fields(F.lit(said)))[0]) == ("0.5", True)
+    for other in ("", "{}", "not json", None):
+        got = one(spark, archives.comment_fields(F.lit(other).cast("string")))[0]
+        assert got is None or tuple(got) == (None, None)
 
 
 def test_acquisition_files(spark, tmp_path):
@@ -161,3 +177,88 @@ def test_acquisition_files(spark, tmp_path):
     assert tuple(acquisitions.shape(acquisitions.index_lines(spark, str(tmp_path))).first()) == (2, 2, 3, 32, 64)
     got = acquisitions.summary(acquisitions.metadata_lines(spark, str(tmp_path))).first()
     assert (got["voxel_size_z"], got["voxel_size_y"], got["time_delta_ms"], got["acquisition_type"]) == (1.0, 0.25, 45.0, "NA")
+
+
+def summary_json(version, **more):
+    import json
+
+    return json.dumps({"Summary": {"MicroManagerVersion": version, "Height": 8, "Width": 4} | more})
+
+
+def test_acquisition_summaries(spark):
+    later = {"Label": "A1", "GridRow": 0, "DevicePositions": [{"Device": "XY", "Position_um": [1.0, 0.0]}, {"Device": "Z", "Position_um": [3.5]}]}
+    beta = {"label": "p0", "gridRow": 1, "gridCol": 2, "subpositions": [{"stageName": "XY", "x": 1.5, "y": 2.5, "z": 0}, {"stageName": "Z", "x": 9, "y": 0, "z": 0}]}
+    rows = [
+        (0, summary_json("2.0.1", ChNames=["a", "b"], Positions=2, StagePositions=[later, later | {"Label": "A2"}], **{"z-step_um": 0.25, "Interval_ms": 500})),
+        (1, summary_json("2.0.0-beta3", Channels=2, Positions=2, StagePositions=[beta, beta], **{"z-step_um": 0.0})),
+        (2, summary_json("1.4.22", Positions=1, StagePositions=[later])),
+        (3, None),
+        (4, "{broken"),
+    ]
+    df = spark.createDataFrame(rows, "k int, text string")
+    got = {r["k"]: tuple(r)[1:] for r in acquisitions.acquisition_summary(df, ["k"], "text").collect()}
+    assert got[0] == ("2.0.1", ["a", "b"], 8, 4, 0.25, 0.5)
+    assert got[1] == ("2.0.0-beta3", ["", ""], 8, 4, 1.0, 1.0)
+    assert got[2] == ("1.4.22", [], 8, 4, 1.0, 1.0) and got[3][0] is None and got[4][0] is None
+    stages = {tuple(r)[:4]: r["values"] for r in acquisitions.stage_positions(df, ["k"], "text").collect()}
+    assert stages == {
+        (0, 0, "A1", "XY"): [1.0, 0.0],
+        (0, 0, "A1", "Z"): [3.5],
+        (0, 1, "A2", "XY"): [1.0, 0.0],
+        (0, 1, "A2", "Z"): [3.5],
+        (1, 0, "p0", "XY"): [1.5, 2.5],
+        (1, 0, "p0", "Z"): [9.0],
+        (1, 1, "p0", "XY"): [1.5, 2.5],
+        (1, 1, "p0", "Z"): [9.0],
+    }
+    saved = df.filter("k = 0").withColumn("sites", F.array(F.lit(1)))
+    assert {(r["position"], r["label"]) for r in acquisitions.stage_positions(saved, ["k"], "text", "sites").collect()} == {(0, "A2")}
+
+
+def test_channels(spark):
+    from voxelframe.operators import images as I
+
+    window = F.struct(F.lit(0.0).alias("start"), F.lit(5.0).alias("end"), F.lit(0.0).alias("min"), F.lit(9.0).alias("max"))
+    channels = spark.createDataFrame([(0, "BF", 0), (0, "GFP", 1), (1, "BF", 0)], "image int, name string, index long").withColumn("window", window)
+    out = {(r["image"], r["name"]): tuple(r["window"]) for r in I.set_window(channels, 0, "GFP", 1.0, 2.0).collect()}
+    assert out == {(0, "BF"): (0.0, 5.0, 0.0, 9.0), (0, "GFP"): (1.0, 2.0, 0.0, 9.0), (1, "BF"): (0.0, 5.0, 0.0, 9.0)}
+    assert {(r["image"], r["name"]) for r in I.rename_channel(channels, "BF", "Phase").collect()} == {(0, "Phase"), (0, "GFP"), (1, "Phase")}
+    with pytest.raises(Exception, match="already"):
+        I.rename_channel(channels, "BF", "GFP").collect()
+    asked = spark.createDataFrame([(0, "GFP")], "image int, name string")
+    assert I.channel_index(channels, asked).first()["index"] == 1
+    with pytest.raises(Exception, match="no such channel"):
+        I.channel_index(channels, asked.withColumn("name", F.lit("x"))).collect()
+    attributes = spark.createDataFrame([(0, "a", "1")], "image int, key string, value string")
+    with pytest.raises(Exception, match="reserved key"):
+        I.merge_attributes(attributes, attributes.withColumn("key", F.lit("omero"))).collect()
+
+
+def test_sites_are_paired_by_their_order(spark):
+    from voxelframe.operators import images as I
+
+    a = spark.createDataFrame([(k * k + 3, f"p{k}") for k in range(50)], "k long, position string")
+    b = spark.createDataFrame([(-7 * k, f"f{k}") for k in range(49, -1, -1)], "j long, field string")
+    out = {r["position"]: r["field"] for r in I.pair_sites(a, b, ["k"], ["j"]).collect()}
+    assert out == {f"p{k}": f"f{49 - k}" for k in range(50)}
+
+
+def test_create_or_append(spark):
+    there = spark.createDataFrame([("w", "a", 0), ("w", "b", 1)], "well string, name string, index long")
+    wanted = spark.createDataFrame([("w", "b"), ("w", "d"), ("w", "c"), ("w", "c"), ("v", "x")], "well string, name string")
+    assert {tuple(r) for r in H.create_or_append(there, wanted, ["well"], "name").collect()} == {("w", "a", 0), ("w", "b", 1), ("w", "c", 2), ("w", "d", 3), ("v", "x", 0)}
+
+
+def test_trees(spark):
+    nodes = H.nodes(spark.createDataFrame([("A/10/0",), ("A/2/0",)], "path string"))
+    assert [r["path"] for r in H.tree(nodes, 2).orderBy("order").collect()] == ["A", "A/2", "A/10"]
+
+
+def test_readers(spark):
+    from voxelframe.sources import formats
+
+    pick = lambda path, kind=None, index=False: one(spark, formats.reader(F.lit(path), F.lit(index), F.lit(kind).cast("string")))[0]
+    assert (pick("a.nd2"), pick("b/c.zarr"), pick("d", index=True), pick("e", "ndtiff"), pick("f.ozx", "archive")) == ("nd2", "zarr", "ndtiff", "ndtiff", "archive")
+    for path, kind in (("x.doc", None), ("a.nd2", "zarr")):
+        with pytest.raises(Exception, match="no reader|isn't"):
+            pick(path, kind)

@@ -58,7 +58,7 @@ def compute_pyramid(spark: SparkSession, store: str, levels: int, method: str =
     for k in range(1, levels):
         made = chunks.pool_chunks(spark.read.parquet(f"{store}/level={k - 1}"), meta["chunk"], {a: 2 for a in axes}, sizes[-1], method)
         sizes.append({a: -(-n // 2) if a in axes else n for a, n in sizes[-1].items()})
-        arrays.write(made, f"{store}/level={k}", mode="overwrite")
+        arrays.write(made, f"{store}/level={k}", mode="w")
     write_meta(spark, store, meta | {"levels": sizes})
 
 

@@ -58,15 +58,27 @@ def display_window(channel: Column) -> Column:
 
 
 def well_label(label: Column) -> Column:
-    """struct(row, column, field) of the three label forms of plate acquisitions; null for others."""
-    lettered, numbered, prefixed = r"^([A-Z])(\d+)-Site_(\d+)", r"^(\d+)-Pos(\d+)_?(\d+)?", r"^Pos-(\d+)-(\d+)_(\d+)"
-    part = lambda p, k: F.regexp_extract(label, p, k)
-    made = lambda r, c, f: F.struct(r.alias("row"), c.alias("column"), f.alias("field"))
-    rest = part(numbered, 3)
+    """struct(row, column, field) of a plate acquisition's position label; null for labels of no known kind.
+
+    A label is parted at dashes and underscores. Its second part tells the kind: ``Site`` comes
+    after a row letter and a column number, a grid position ``Pos<n>`` after a column number; a
+    label that begins with ``Pos`` goes on with the column and two numbers. Where there are no
+    row letters the row is 0, and a field of two numbers is both of them, the second 000 if left out.
+    """
+    parts = F.split(label, "[-_]")
+    part = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)), F.lit(""))
+    digits = lambda text: F.regexp_extract(text, "^[0-9]*", 0)
+    made = lambda row, column, field: F.struct(row.alias("row"), column.alias("column"), field.alias("field"))
+    number = lambda text: text.rlike("^[0-9]+$")
+    letter, column = F.left(part(1), F.lit(1)), F.substr(part(1), F.lit(2))
+    site = (part(2) == "Site") & letter.between("A", "Z") & number(column) & (digits(part(3)) != "")
+    grid = F.startswith(part(2), F.lit("Pos")) & number(part(1)) & (digits(F.substr(part(2), F.lit(4))) != "")
+    stage = (part(1) == "Pos") & number(part(2)) & number(part(3)) & (digits(part(4)) != "")
+    second = F.coalesce(F.nullif(digits(part(3)), F.lit("")), F.lit("000"))
     return (
-        F.when(label.rlike(lettered), made(part(lettered, 1), part(lettered, 2), part(lettered, 3)))
-        .when(label.rlike(prefixed), made(F.lit("0"), part(prefixed, 1), F.concat(part(prefixed, 2), part(prefixed, 3))))
-        .when(label.rlike(numbered), made(F.lit("0"), part(numbered, 1), F.concat(part(numbered, 2), F.when(rest == "", "000").otherwise(rest))))
+        F.when(site, made(letter, column, digits(part(3))))
+        .when(stage, made(F.lit("0"), part(2), F.concat(part(3), digits(part(4)))))
+        .when(grid, made(F.lit("0"), part(1), F.concat(digits(F.substr(part(2), F.lit(4))), second)))
     )
 
 
@@ -94,9 +106,14 @@ def size_text(n: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key in which runs of digits order by their number."""
-    padded = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 24, "0")).otherwise(p))
-    return F.array_join(padded, "\x01")
+    """A sort key in which runs of digits, of any length, order by their number."""
+
+    def ordered(part: Column) -> Column:
+        number = F.ltrim(part, F.lit("0"))
+        # The number of digits comes first, itself at a fixed width.
+        return F.when(part.rlike("^[0-9]"), F.concat(F.lpad(F.length(number).cast("string"), 9, "0"), number)).otherwise(part)
+
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), 1), ordered), "\x01")
 
 
 def glob_pattern(glob: str) -> str:
@@ -132,7 +149,10 @@ def label_rgba(color: Column) -> Column:
 
 
 def index_line(line: Column) -> Column:
-    """Sizes that the last line of an acquisition index tells: struct(t, z, y, x)."""
-    numbers = F.regexp_extract_all(line, F.lit(r"(\d+\.\d+|\d+)"), 1)
-    at = lambda k: F.try_element_at(numbers, F.lit(k + 1)).cast("long")
+    """Sizes that the last line of an acquisition index tells: struct(t, z, y, x).
+
+    Its fields, parted by tabs and commas, are the time point, the seconds, and the sizes x, y, z.
+    """
+    fields = F.split(line, "[\t,]")
+    at = lambda k: F.trim(F.try_element_at(fields, F.lit(k + 1))).try_cast("long")
     return F.struct(at(0).alias("t"), at(4).alias("z"), at(3).alias("y"), at(2).alias("x"))

@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 # Units that axes may have.
 SPACE_UNITS = (
-    "angstrom attometer centimeter decimeter exameter femtometer foot gigameter hectometer inch kilometer megameter meter "
-    "micrometer mile millimeter nanometer parsec petameter picometer terameter yard yoctometer yottameter zeptometer zettameter"
-).split()
+    "angstrom", "attometer", "centimeter", "decimeter", "exameter", "femtometer", "foot", "gigameter",
+    "hectometer", "inch", "kilometer", "megameter", "meter", "micrometer", "mile", "millimeter",
+    "nanometer", "parsec", "petameter", "picometer", "terameter", "yard", "yoctometer", "yottameter",
+    "zeptometer", "zettameter",
+)
 TIME_UNITS = (
-    "attosecond centisecond day decisecond exasecond femtosecond gigasecond hectosecond hour kilosecond megasecond microsecond "
-    "millisecond minute nanosecond petasecond picosecond second terasecond yoctosecond yottasecond zeptosecond zettasecond"
-).split()
+    "attosecond", "centisecond", "day", "decisecond", "exasecond", "femtosecond", "gigasecond", "hectosecond",
+    "hour", "kilosecond", "megasecond", "microsecond", "millisecond", "minute", "nanosecond", "petasecond",
+    "picosecond", "second", "terasecond", "yoctosecond", "yottasecond", "zeptosecond", "zettasecond",
+)
+
+
+def valid_unit(kind: Column, unit: Column) -> Column:
+    """Whether an axis of a kind may have a unit: space and time have their own, others any; none is always fine."""
+    return unit.isNull() | F.when(kind == "space", unit.isin(*SPACE_UNITS)).when(kind == "time", unit.isin(*TIME_UNITS)).otherwise(F.lit(True))
 
 
 def coordinates(n: Column, scale: Column, translation: Column) -> Column:
@@ -65,7 +73,39 @@ def with_coordinates(cells: DataFrame, scales: dict[str, tuple[float, float]]) -
     return cells
 
 
-def write_labelled(cells: DataFrame, data: DataFrame, axes: list[str], axis: str, scale: float, translation: float) -> DataFrame:
-    """Upsert cells given by coordinate on one axis: new values replace old ones at the nearest index."""
-    moved = data.withColumn(axis, index_of(F.col(f"{axis}_coord"), F.lit(scale), F.lit(translation))).select(*axes, "value")
+def coordinate_blocks(n: Column, block: int = 10_000) -> Column:
+    """Numbers of the blocks of at most ``block`` indices that ``n`` indices make: no row holds an axis whole."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).otherwise(F.array().cast("array<bigint>"))
+
+
+def exploded(df: DataFrame, n: str, scale: Column, translation: Column, block: int = 10_000) -> DataFrame:
+    """A row for each of the ``n`` indices of each row, with ``i`` and ``coord``; ``n`` is dropped."""
+    first = F.col("__block") * block
+    parts = df.withColumn("__block", F.explode(coordinate_blocks(F.col(n), block)))
+    rows = parts.withColumn("i", F.explode(F.sequence(first, F.least(first + block, F.col(n)) - 1)))
+    return rows.withColumn("coord", coordinate(F.col("i"), scale, translation)).drop("__block", n)
+
+
+def write_labelled(cells: DataFrame, data: DataFrame, axes: list[str], scales: dict[str, tuple[float, float]], names: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Upsert cells given by coordinate: new values replace old ones at the nearest index.
+
+    ``data`` has ``<axis>_coord`` for the axes of ``scales`` (scale, translation), ``<axis>_name``
+    for those of ``names`` (tables of name and index) and plain indices for the others. A name
+    that an axis doesn't have raises when it is read.
+    """
+    for axis, (scale, translation) in scales.items():
+        data = data.withColumn(axis, index_of(F.col(f"{axis}_coord"), F.lit(scale), F.lit(translation)))
+    for axis, known in (names or {}).items():
+        own = known.select(F.col("name").alias(f"{axis}_name"), F.col("index").cast("long").alias(axis))
+        absent = F.raise_error(F.concat(F.lit(f"no such {axis}: "), F.col(f"{axis}_name"))).cast("long")
+        data = data.join(own, f"{axis}_name", "left").withColumn(axis, F.coalesce(F.col(axis), absent))
+    moved = data.select(*axes, "value")
     return cells.join(moved, axes, "left_anti").select(*axes, "value").unionByName(moved)
+
+
+def replace_transforms(transforms: DataFrame, image: str, new: list[tuple[str, list[float]]]) -> DataFrame:
+    """Transforms (image, ordinal, type, values) with those of one image, or of all (``*``), replaced by ``new`` (type, values)."""
+    chosen = F.lit(image == "*") | (F.col("image") == image)
+    listed = F.array(*[F.struct(F.lit(k).cast("long").alias("ordinal"), F.lit(t).alias("type"), F.lit([float(x) for x in v]).alias("values")) for k, (t, v) in enumerate(new)])
+    put = transforms.filter(chosen).select("image").distinct().select("image", F.inline(listed))
+    return transforms.filter(~chosen).select("image", "ordinal", "type", "values").unionByName(put)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.functions.names import natural_key
 from voxelframe.operators.windows import first_source
 
 #: Attribute keys that belong to the format, not to users.
@@ -31,6 +32,24 @@ def nodes(paths: DataFrame) -> DataFrame:
     )
 
 
+def tree(nodes: DataFrame, level: int | None = None) -> DataFrame:
+    """Nodes down to a depth, with a sort key by which siblings come in natural order below their parent."""
+    shown = nodes if level is None else nodes.filter(F.col("depth") <= level)
+    return shown.withColumn("order", F.transform(F.split("path", "/"), natural_key))
+
+
+def create_or_append(existing: DataFrame, wanted: DataFrame, keys: list[str], names: str) -> DataFrame:
+    """Items of an ordered list (keys, ``names``, ``index``): those there keep their index, wanted ones that are missing follow.
+
+    Repeated wanted items count once; new ones come in the order of their name.
+    """
+    new = missing(wanted.select(*keys, names).distinct(), existing, [*keys, names])
+    top = existing.groupBy(*keys).agg((F.max("index") + 1).alias("__next"))
+    w = Window.partitionBy(*keys).orderBy(names)
+    numbered = new.withColumn("__n", F.row_number().over(w) - 1).join(top, keys, "left")
+    return existing.select(*keys, names, "index").unionByName(numbered.select(*keys, names, (F.coalesce("__next", F.lit(0)) + F.col("__n")).cast("long").alias("index")))
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes without children."""
     return nodes.join(nodes.select(F.col("parent").alias("path")).distinct(), "path", "left_anti")
@@ -45,6 +64,12 @@ def lookup(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.filter(F.col("path") == path.strip("/"))
 
 
+def contains(existing: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` with ``present``: whether its key is among the existing ones."""
+    there = existing.select(*keys).distinct().withColumn("present", F.lit(True))
+    return wanted.join(there, keys, "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
 def delete(nodes: DataFrame, path: str) -> DataFrame:
     """Without a node and all below it."""
     return nodes.filter((F.col("path") != path) & ~F.startswith("path", F.lit(path + "/")))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelframe.functions import names
+from voxelframe.operators.hierarchy import RESERVED_KEYS
+from voxelframe.operators.windows import ordinals
 
 # Metadata versions and the storage formats that belong to them.
 STORAGE_FORMAT = {"0.4": 2, "0.5": 3}
@@ -46,8 +46,50 @@ def display_settings(channels: DataFrame) -> DataFrame:
     return channels.select("image", "name", names.channel_color(F.col("name")).alias("color"), window["start"].alias("start"), window["end"].alias("end"), first.alias("active"))
 
 
+def set_window(channels: DataFrame, image, name: str, start: float, end: float) -> DataFrame:
+    """Replace a channel's display window: start and end are set, the range (min, max) stays."""
+    hit = (F.col("image") == image) & (F.col("name") == name)
+    kept = F.struct(F.lit(float(start)).alias("start"), F.lit(float(end)).alias("end"), F.col("window.min").alias("min"), F.col("window.max").alias("max"))
+    return channels.withColumn("window", F.when(hit, kept).otherwise(F.col("window")))
+
+
+def rename_channel(channels: DataFrame, old: str, new: str) -> DataFrame:
+    """Rename a channel in the list; a name that is there already raises when it is read."""
+    taken = channels.filter(F.col("name") == new).select("image").distinct().withColumn("__taken", F.lit(True))
+    name = F.when(F.col("__taken"), F.raise_error(F.lit(f"there is a channel {new} already"))).otherwise(F.lit(new))
+    return channels.join(taken, "image", "left").withColumn("name", F.when(F.col("name") == old, name).otherwise(F.col("name"))).drop("__taken")
+
+
+def channel_index(channels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The index of each wanted channel (image, name); one that isn't there raises when it is read."""
+    absent = F.raise_error(F.concat(F.lit("no such channel: "), "name")).cast("long")
+    return wanted.join(channels.select("image", "name", "index"), ["image", "name"], "left").withColumn("index", F.coalesce("index", absent))
+
+
+def label(labels: DataFrame, name: str) -> DataFrame:
+    """The label images of one name."""
+    return labels.filter(F.col("label") == name)
+
+
+def pair_sites(positions: DataFrame, fields: DataFrame, position_order: list[str], field_order: list[str]) -> DataFrame:
+    """Positions and fields paired by their place in their own order; what has no partner is left out."""
+    return ordinals(positions, position_order, "__n").join(ordinals(fields, field_order, "__n"), "__n").drop("__n")
+
+
+def frame_metadata(planes: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:
+    """Every plane with its metadata row; nulls where an acquisition wrote none."""
+    return planes.join(metadata, keys, "left")
+
+
+def equal_fields(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Fields that are the same in two stores: those whose root and key are in both."""
+    return one.select(*keys).intersect(other.select(*keys))
+
+
 def merge_attributes(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Attributes (image, key, value) with new ones over old."""
+    """Attributes (image, key, value) with new ones over old; a key that belongs to the format raises when it is read."""
+    refused = F.raise_error(F.concat(F.lit("reserved key: "), F.col("key").cast("string")))
+    new = new.withColumn("key", F.when(F.col("key").cast("string").isin(*RESERVED_KEYS), refused.cast(new.schema["key"].dataType)).otherwise(F.col("key")))
     return existing.join(new.select("image", "key"), ["image", "key"], "left_anti").unionByName(new)
 
 
@@ -78,6 +120,7 @@ def report(levels: DataFrame) -> DataFrame:
     return base.select("image", F.concat(F.array_join(F.transform("shape", lambda n: n.cast("string")), "x"), F.lit(" "), F.col("dtype"), F.lit(" "), size).alias("report"))
 
 
-def collate(positions: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Positions' cell tables as one table keyed by position."""
-    return reduce(DataFrame.unionByName, [df.withColumn("position", F.lit(name)) for name, df in positions])
+def collate(cells: DataFrame, axis: str, names: DataFrame) -> DataFrame:
+    """Cells of all positions along an axis, keyed by the position's name (``names``: name, index)."""
+    own = names.select(F.col("name").alias("position"), F.col("index").alias(axis))
+    return cells.join(own, axis).drop(axis)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxelframe.operators.cells import drop_empty
 
@@ -39,6 +40,35 @@ def apply_to_volumes(cells: DataFrame, func: Callable, keys: Sequence[str], axes
     return cells.groupBy(*keys).applyInPandas(run, schema)
 
 
+def process_positions(
+    cells: DataFrame,
+    func: Callable,
+    keys: Sequence[str],
+    axes: Mapping[str, int],
+    pairs: Mapping[str, Sequence[tuple[int, int]]],
+    done: DataFrame | None = None,
+    skip_empty: Sequence[str] | None = None,
+    **options,
+) -> DataFrame:
+    """``apply_to_volumes`` for chosen indices, written to indices of their own, resuming what was done before.
+
+    ``pairs`` has for a key axis (time, channel) the input and output indices. ``done`` holds the
+    units (keys and output indices) that are complete; they aren't handed over again. The result
+    is keyed by output indices.
+    """
+    taken = cells
+    for axis, chosen in pairs.items():
+        listed = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(o).cast("long").alias("o")) for i, o in chosen])
+        # An input index may be written to several output indices.
+        taken = taken.withColumn("__to", F.explode(listed)).filter(F.col("__to.i") == F.col(axis)).withColumn(f"{axis}_out", F.col("__to.o")).drop("__to")
+    units = [f"{k}_out" if k in pairs else k for k in keys]
+    if done is not None:
+        taken = taken.join(done.select(*units), units, "left_anti")
+    columns = [*units, *(k for k in keys if k in pairs)]
+    out = apply_to_volumes(taken.select(*columns, *axes, "value"), func, columns, axes, skip_empty, **options)
+    return out.select(*[F.col(u).alias(k) for u, k in zip(units, keys, strict=True)], *axes, "value")
+
+
 def map_rows(df: DataFrame, array: str, func: Callable[[np.ndarray], np.ndarray], keep: Sequence[str]) -> DataFrame:
     """Call ``func`` on the matrix of each Arrow batch of rows of one array column."""
     kind = df.schema[array].dataType.simpleString()

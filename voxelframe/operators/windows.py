@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,26 @@ def stage_grid(df: DataFrame, keys: list[str], columns: Column, y: str, x: str)
 
 
 def last_entries(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """The last row of each key; rows combine before the shuffle."""
+    return _one(df, keys, F.max_by, order)
 
 
 def first_source(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key from the source that comes first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return _one(df, keys, F.min_by, [order])
+
+
+def _one(df: DataFrame, keys: list[str], pick: Callable, order: list[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("__row"))
+    return one.select(*keys, "__row.*").select(*df.columns)
+
+
+def ordinals(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+    """Number all rows from 0 in an order, without bringing them to one task: ranges are counted, then numbered within."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    parts = parts.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("n"))
+    # One row for each partition.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(sizes.select("__part", before.alias("__before")), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")

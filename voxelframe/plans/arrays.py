@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from voxelframe.functions import names
 from voxelframe.operators import cells as C
-from voxelframe.operators import chunks, coords, pool, volumes
+from voxelframe.operators import chunks, coords, images, pool, volumes
 from voxelframe.plans.inputs import IMAGE_SQL, MOVIE_SQL, channels, image, image_sizes, movie, movie_sizes, table
 from voxelframe.plans.registry import query
 from voxelframe.sources import arrays
@@ -164,16 +166,18 @@ def make_tiles(spark, d):
 
 @query("sel_label", f"WITH {MOVIE_SQL} SELECT t, 5.0 + t * 0.5 AS t_coord, value FROM V JOIN N USING (c) WHERE event_type = (SELECT max(event_type) FROM N) AND 5.0 + t * 0.5 >= 6.5")
 def sel_label(spark, d):
-    names = channels(spark, d)
-    one = C.select(movie(spark, d), movie_sizes(spark, d), c=len(names) - 1)
+    one = C.select(movie(spark, d), movie_sizes(spark, d), c=len(channels(spark, d)) - 1)
     return coords.with_coordinates(one, {"t": (0.5, 5.0)}).filter("t_coord >= 6.5").select("t", "t_coord", "value")
 
 
-@query("channel_index", f"WITH {MOVIE_SQL} SELECT event_type AS name, CAST(c AS BIGINT) AS c FROM N")
+@query(
+    "channel_index",
+    "WITH CH AS (SELECT image, name, row_number() OVER (PARTITION BY image ORDER BY name) - 1 AS i FROM (SELECT DISTINCT c_nationkey AS image, c_mktsegment AS name FROM customer))"
+    " SELECT c_custkey, CAST(i AS BIGINT) AS index FROM customer JOIN CH ON image = c_nationkey AND name = c_mktsegment",
+)
 def channel_index(spark, d):
-    names = channels(spark, d)
-    known = F.array(*[F.lit(n) for n in names])
-    return table(spark, d, "events").select(F.col("event_type").alias("name")).distinct().withColumn("c", F.array_position(known, F.col("name")) - 1)
+    wanted = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("image"), F.col("c_mktsegment").alias("name"))
+    return images.channel_index(_channels(spark, d), wanted).select("c_custkey", "index")
 
 
 @query(
@@ -221,10 +225,9 @@ def update_channel(spark, d):
     return C.overwrite(movie(spark, d), slab, ["t", "c"], F.col("c") == 1)
 
 
-@query("rename_channel", "SELECT CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'renamed' ELSE event_type END AS name, count(*) AS n FROM events GROUP BY 1")
+@query("rename_channel", "SELECT DISTINCT c_nationkey AS image, CASE WHEN c_mktsegment = 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END AS name FROM customer")
 def rename_channel(spark, d):
-    old = channels(spark, d)[0]
-    return table(spark, d, "events").groupBy(F.when(F.col("event_type") == old, "renamed").otherwise(F.col("event_type")).alias("name")).agg(F.count("*").alias("n"))
+    return images.rename_channel(_channels(spark, d), "BUILDING", "HOUSES").select("image", "name")
 
 
 @query("user_map", f"WITH {IMAGE_SQL} SELECT y // 50 AS block, y % 50 AS y, x, value * 3 + (y // 50) AS value FROM E")
@@ -251,8 +254,7 @@ def user_map_rows(spark, d):
 @query("coords", f"WITH {SHAPES_SQL} SELECT label, CAST(i AS BIGINT) AS i, i * 0.25 + CAST(coalesce(label, 0) AS DOUBLE) AS coord FROM G, LATERAL (SELECT unnest(range(n)) AS i)")
 def coordinates(spark, d):
     groups = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    rows = groups.select("label", F.posexplode(coords.coordinates(F.col("n"), F.lit(0.25), F.coalesce("label", F.lit(0)).cast("double"))).alias("i", "coord"))
-    return rows.withColumn("i", F.col("i").cast("long"))
+    return coords.exploded(groups, "n", F.lit(0.25), F.coalesce("label", F.lit(0)).cast("double"))
 
 
 @query("coords_join", f"WITH {IMAGE_SQL} SELECT y, x, value, y * 0.5 - 3.0 AS y_coord, x * 2.0 AS x_coord FROM E")
@@ -274,7 +276,22 @@ def infer_scale(spark, d):
 def write_labelled(spark, d):
     e = image(spark, d)
     new = e.filter("x = 5").select("y", (F.col("x") * 2.0 + 1.2).alias("x_coord"), (F.col("y") * 7).alias("value"))
-    return coords.write_labelled(e, new, ["y", "x"], "x", 2.0, 1.0)
+    return coords.write_labelled(e, new, ["y", "x"], {"x": (2.0, 1.0)})
+
+
+@query(
+    "write_by_name",
+    f"WITH {MOVIE_SQL}, D AS (SELECT t, c, -t * 3 AS value FROM V JOIN N USING (c) WHERE event_type = (SELECT max(event_type) FROM N) AND t % 2 = 0)"
+    " SELECT t, c, value FROM V WHERE (t, c) NOT IN (SELECT t, c FROM D) UNION ALL SELECT t, c, value FROM D",
+)
+def write_by_name(spark, d):
+    """New values for every other hour of one channel, given by the channel's name and the time in seconds."""
+    listed = channels(spark, d)
+    known = spark.createDataFrame([(n, k) for k, n in enumerate(listed)], "name string, index long")
+    v = movie(spark, d)
+    new = v.filter((F.col("c") == len(listed) - 1) & (F.col("t") % 2 == 0))
+    new = new.select((F.col("t") * 3600.0 + 1000.0).alias("t_coord"), F.lit(listed[-1]).alias("c_name"), (F.col("t") * -3).alias("value"))
+    return coords.write_labelled(v, new, ["t", "c"], {"t": (3600.0, 0.0)}, {"c": known})
 
 
 _TRANSFORMS = """T AS (
@@ -311,12 +328,63 @@ def set_scale(spark, d):
     return out.select("n_nationkey", F.col("scale")[0].alias("scale_z"), F.size("history").alias("n_history"))
 
 
-@query("set_transform", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM nation")
+@query(
+    "set_transform",
+    "SELECT CAST(n_nationkey AS VARCHAR) AS image, CAST(0 AS BIGINT) AS ordinal, 'scale' AS type, n_regionkey + 1.0::DOUBLE AS first FROM nation WHERE n_nationkey <> 3"
+    " UNION ALL SELECT '3', CAST(0 AS BIGINT), 'scale', 2.5::DOUBLE UNION ALL SELECT '3', CAST(1 AS BIGINT), 'translation', 4.0::DOUBLE",
+)
 def set_transform(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_regionkey") == 2, 2.5).otherwise(1.0).alias("scale"))
+    old = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("string").alias("image"), F.lit(0).cast("long").alias("ordinal"), F.lit("scale").alias("type"), F.array(F.col("n_regionkey") + 1.0, F.lit(0.5)).alias("values")
+    )
+    out = coords.replace_transforms(old, "3", [("scale", [2.5, 1.0]), ("translation", [4.0, 0.0])])
+    return out.select("image", "ordinal", "type", F.col("values")[0].alias("first"))
+
+
+def _channels(spark, d):
+    """Segments of customers as the channels of nations, in the order of their names."""
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("image"), F.col("c_mktsegment").alias("name")).distinct()
+    return rows.withColumn("index", (F.row_number().over(Window.partitionBy("image").orderBy("name")) - 1).cast("long"))
+
 
+_CHANNELS = "CH AS (SELECT image, name, CAST(row_number() OVER (PARTITION BY image ORDER BY name) - 1 AS BIGINT) AS index FROM (SELECT DISTINCT c_nationkey AS image, c_mktsegment AS name FROM customer))"
 
-@query("set_contrast_limits", f"WITH {MOVIE_SQL} SELECT c, min(value) AS \"start\", max(value) AS \"end\" FROM V GROUP BY c")
+
+@query(
+    "set_contrast_limits",
+    f"WITH {_CHANNELS} SELECT image, name, CASE WHEN image = 5 AND name = 'BUILDING' THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS \"start\","
+    " CASE WHEN image = 5 AND name = 'BUILDING' THEN 200.5::DOUBLE ELSE 65535.0::DOUBLE END AS \"end\", 0.0::DOUBLE AS least, 65535.0::DOUBLE AS most FROM CH",
+)
 def set_contrast_limits(spark, d):
-    limits = movie(spark, d).groupBy("c").agg(F.struct(F.min("value").alias("start"), F.max("value").alias("end")).alias("window"))
-    return limits.select("c", "window.start", "window.end")
+    rows = _channels(spark, d).withColumn("window", names.display_window(F.col("name")))
+    out = images.set_window(rows, 5, "BUILDING", 10.0, 200.5)
+    return out.select("image", "name", "window.start", "window.end", F.col("window.min").alias("least"), F.col("window.max").alias("most"))
+
+
+@query("channel_limits", f"WITH {MOVIE_SQL} SELECT c, min(value) AS \"start\", max(value) AS \"end\" FROM V GROUP BY c")
+def channel_limits(spark, d):
+    """The least and largest value of each channel, as limits to set."""
+    return movie(spark, d).groupBy("c").agg(F.min("value").alias("start"), F.max("value").alias("end"))
+
+
+@query("process_positions", f"WITH {IMAGE_SQL} SELECT o AS t, y % 50 AS y, x, value * 3 + i AS value FROM E JOIN (VALUES (0, 1), (2, 0)) P(i, o) ON y // 50 = i WHERE o <> 5")
+def process_positions(spark, d):
+    """Two blocks of rows, written to places of their own; the third was done before."""
+    blocks = image(spark, d).select(F.floor(F.col("y") / 50).cast("long").alias("t"), (F.col("y") % 50).alias("y"), "x", "value")
+    done = spark.createDataFrame([(5,)], "t_out long")
+    scaled = lambda volume, input_time_index: volume * 3 + input_time_index
+    return volumes.process_positions(blocks, scaled, ["t"], {"y": 50, "x": image_sizes(spark, d)["x"]}, {"t": [(0, 1), (2, 0), (1, 5)]}, done)
+
+
+@query(
+    "create_zeros",
+    "WITH G AS (SELECT label AS image, count(*) AS n FROM embeddings GROUP BY 1) SELECT image, CAST(0 AS BIGINT) AS level, n AS height, CAST(64 AS BIGINT) AS width, 1.0::DOUBLE AS scale FROM G"
+    " UNION ALL SELECT image, CAST(1 AS BIGINT), (n + 1) // 2, CAST(32 AS BIGINT), 2.0::DOUBLE FROM G WHERE image < 5",
+)
+def create_zeros(spark, d):
+    """A second level for some images, as records alone."""
+    n = table(spark, d, "embeddings").groupBy(F.col("label").alias("image")).agg(F.count("*").alias("n"))
+    levels = n.select("image", F.lit(0).cast("long").alias("level"), F.array("n", F.lit(64).cast("long")).alias("shape"), F.lit("float32").alias("dtype"), F.lit([1.0, 1.0]).alias("scale"))
+    new = n.filter("image < 5").select("image", F.array(F.floor((F.col("n") + 1) / 2), F.lit(32).cast("long")).alias("shape"), F.lit("float32").alias("dtype"))
+    out = arrays.create_zeros(levels, new, [2.0, 2.0])
+    return out.select("image", "level", F.col("shape")[0].alias("height"), F.col("shape")[1].alias("width"), F.col("scale")[0].alias("scale"))

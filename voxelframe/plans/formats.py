@@ -23,6 +23,15 @@ def infer_format(spark, d):
     return table(spark, d, "part").select("p_partkey", formats.infer_format(path, F.col("p_partkey") % 7 == 3).alias("format"), formats.may_overwrite(path).alias("replaceable"))
 
 
+@query("reader", "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'nd2' WHEN 1 THEN 'archive' WHEN 2 THEN 'zarr' WHEN 3 THEN 'ndtiff' WHEN 4 THEN 'ome-tiff' WHEN 5 THEN 'single-page-tiff' ELSE 'zarr' END AS reader FROM part")
+def reader(spark, d):
+    """The reader of every path; where the name tells nothing the kind is asked for."""
+    suffix = F.element_at(F.array(*[F.lit(s) for s in _SUFFIXES]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    path = F.concat(F.lit("data/a"), F.col("p_partkey").cast("string"), suffix)
+    kind = F.when(F.col("p_partkey") % 7 == 6, "zarr")
+    return table(spark, d, "part").select("p_partkey", formats.reader(path, F.col("p_partkey") % 7 == 3, kind).alias("reader"))
+
+
 @query("series_list", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 's2,s10' WHEN 1 THEN '0,1' ELSE '2,' || c_custkey + 2 END AS series FROM customer")
 def series_list(spark, d):
     none, k = F.lit(None).cast("array<string>"), F.col("c_custkey") % 3

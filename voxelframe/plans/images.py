@@ -8,7 +8,7 @@ from voxelframe.functions import names
 from voxelframe.operators import cells as C
 from voxelframe.operators import coords
 from voxelframe.operators import images as I
-from voxelframe.plans.inputs import IMAGE_SQL, MOVIE_SQL, channels, image, image_sizes, movie, movie_sizes, table
+from voxelframe.plans.inputs import IMAGE_SQL, MOVIE_SQL, channels, image, image_sizes, movie, table
 from voxelframe.plans.registry import query
 from voxelframe.sources import acquisitions
 
@@ -47,7 +47,8 @@ def label_names(spark, d):
 
 @query("get_label", "SELECT o_custkey AS image, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def get_label(spark, d):
-    return table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("image")).agg(F.count("*").alias("n"))
+    labels = table(spark, d, "orders").select(F.col("o_custkey").alias("image"), F.col("o_orderstatus").alias("label"))
+    return I.label(labels, "F").groupBy("image").agg(F.count("*").alias("n"))
 
 
 @query("create_label", f"WITH {IMAGE_SQL} SELECT y, x, CAST(CASE WHEN value > 100 THEN 1 ELSE 0 END AS BIGINT) AS value FROM E")
@@ -104,19 +105,18 @@ def info_report(spark, d):
     return I.report(n.select("image", F.lit(0).alias("level"), F.array("n", "m").alias("shape"), F.lit("float32").alias("dtype"), F.lit(4).alias("item")))
 
 
-@query("collate_positions", f"WITH {MOVIE_SQL} SELECT t, value, event_type AS position FROM (SELECT * FROM V WHERE c + 0 < 2) V JOIN (SELECT event_type, rank() OVER (ORDER BY event_type) - 1 AS c FROM (SELECT DISTINCT event_type FROM events)) N USING (c)")
+@query("collate_positions", f"WITH {MOVIE_SQL} SELECT t, value, event_type AS position FROM V JOIN N USING (c)")
 def collate_positions(spark, d):
-    v, sizes, found = movie(spark, d), movie_sizes(spark, d), channels(spark, d)
-    return I.collate([(found[k], C.select(v, sizes, c=k)) for k in (0, 1)])
+    known = spark.createDataFrame([(n, k) for k, n in enumerate(channels(spark, d))], "name string, index long")
+    return I.collate(movie(spark, d), "c", known)
 
 
-@query("hcs_sites", "SELECT s.s_name AS position, c.c_name AS field FROM (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) s JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) c USING (n)")
+@query("hcs_sites", "SELECT s.s_name AS position, c.c_name AS field FROM (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) s JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_custkey % 3 > 0) c USING (n)")
 def hcs_sites(spark, d):
-    """Names and fields paired by their ordinal, which both tables' keys give (1 to n)."""
-    s = table(spark, d, "supplier").select(F.col("s_name").alias("position"), F.col("s_suppkey").alias("n"))
-    c = table(spark, d, "customer").select(F.col("c_name").alias("field"), F.col("c_custkey").alias("n"))
-    first = lambda df: df.agg(F.min("n")).first()[0] or 0
-    return s.withColumn("n", F.col("n") - first(s)).join(c.withColumn("n", F.col("n") - first(c)), "n").select("position", "field")
+    """Names and fields paired by their place in the order of keys, one of which has gaps."""
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("position"), "s_suppkey")
+    c = table(spark, d, "customer").filter("c_custkey % 3 > 0").select(F.col("c_name").alias("field"), "c_custkey")
+    return I.pair_sites(s, c, ["s_suppkey"], ["c_custkey"]).select("position", "field")
 
 
 @query("as_indices", "SELECT n_nationkey, CAST(i AS BIGINT) AS i FROM nation, LATERAL (SELECT unnest(CASE n_nationkey % 3 WHEN 0 THEN [n_regionkey] WHEN 1 THEN [0, n_regionkey + 1] ELSE range(n_regionkey, 6) END) AS i)")
@@ -133,11 +133,11 @@ def to_xarray(spark, d):
     return coords.with_coordinates(movie(spark, d), {"t": (3600.0, 0.0)}).withColumn("c_coord", F.element_at(listed, (F.col("c") + 1).cast("int")))
 
 
-@query("fov_equality", "SELECT count(*) AS n FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey AND a.c_custkey = b.s_suppkey")
+@query("fov_equality", "SELECT c_nationkey AS root, c_custkey AS key FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey = s_suppkey")
 def fov_equality(spark, d):
     a = table(spark, d, "customer").select(F.col("c_nationkey").alias("root"), F.col("c_custkey").alias("key"))
     b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("root"), F.col("s_suppkey").alias("key"))
-    return a.join(b, ["root", "key"]).agg(F.count("*").alias("n"))
+    return I.equal_fields(a, b, ["root", "key"])
 
 
 @query(

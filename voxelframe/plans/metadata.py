@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxelframe.functions import names, shapes
+from voxelframe.operators import coords, shards, windows
 from voxelframe.operators import hierarchy as H
-from voxelframe.operators import shards, windows
+from voxelframe.operators import images as I
 from voxelframe.plans.inputs import MOVIE_SQL, PLATE_SQL, channels, movie, movie_sizes, plate, table
 from voxelframe.plans.registry import query
 from voxelframe.sources import acquisitions, archives
@@ -51,8 +52,30 @@ def path_lookup(spark, d):
 
 @query("contains_key", "SELECT c_custkey, c_nationkey IN (SELECT s_nationkey FROM supplier) AS present FROM customer")
 def contains_key(spark, d):
-    there = table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.lit(True).alias("present")).distinct()
-    return table(spark, d, "customer").join(there, "c_nationkey", "left").select("c_custkey", F.coalesce("present", F.lit(False)).alias("present"))
+    wanted = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("key"))
+    return H.contains(table(spark, d, "supplier").select(F.col("s_nationkey").alias("key")), wanted, ["key"]).select("c_custkey", "present")
+
+
+@query("tree_levels", f"WITH {PLATE_SQL}{_NODES} SELECT path, row_number() OVER (PARTITION BY parent ORDER BY regexp_replace(name, '[0-9]+$', ''), CAST(nullif(regexp_extract(name, '[0-9]+$'), '') AS BIGINT)) AS n FROM T WHERE depth <= 2")
+def tree_levels(spark, d):
+    """The tree down to wells, siblings numbered in natural order."""
+    w = Window.partitionBy("parent").orderBy("order")
+    return H.tree(H.nodes(plate(spark, d)), 2).select("path", F.row_number().over(w).cast("long").alias("n"))
+
+
+@query(
+    "create_plate",
+    """WITH T AS (SELECT s_nationkey AS well, CAST(s_suppkey AS VARCHAR) AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier),
+W AS (SELECT DISTINCT c_nationkey AS well, CAST(c_custkey AS VARCHAR) AS name FROM customer),
+X AS (SELECT W.*, row_number() OVER (PARTITION BY well ORDER BY name) - 1 AS n FROM W WHERE (well, name) NOT IN (SELECT well, name FROM T))
+SELECT well, name, CAST(i AS BIGINT) AS index FROM T UNION ALL SELECT well, name, CAST(n + coalesce((SELECT max(i) + 1 FROM T WHERE T.well = X.well), 0) AS BIGINT) FROM X""",
+)
+def create_plate(spark, d):
+    """Positions created where they are missing; those there keep their place."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    there = table(spark, d, "supplier").select(F.col("s_nationkey").alias("well"), F.col("s_suppkey").cast("string").alias("name"), (F.row_number().over(w) - 1).cast("long").alias("index"))
+    wanted = table(spark, d, "customer").select(F.col("c_nationkey").alias("well"), F.col("c_custkey").cast("string").alias("name"))
+    return H.create_or_append(there, wanted.unionByName(wanted), ["well"], "name")
 
 
 @query("delete_node", f"WITH {PLATE_SQL}{_NODES} SELECT path FROM T WHERE path <> (SELECT min(\"row\") FROM P) AND NOT starts_with(path, (SELECT min(\"row\") FROM P) || '/')")
@@ -209,6 +232,15 @@ def zip_summary(spark, d):
     return archives.summary(_entries(spark, d), ["archive"])
 
 
+@query("zip_comment", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN '0.5' END AS version, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS json_first FROM orders")
+def zip_comment(spark, d):
+    """What archive comments tell; every third archive has another kind of comment."""
+    k = F.col("o_orderkey") % 3
+    said = F.format_string('{"ome": {"version": "0.5", "zipFile": {"centralDirectory": {"jsonFirst": %s}}}}', F.when(k == 0, "true").otherwise("false"))
+    comment = F.when(k == 2, "made by hand").otherwise(said)
+    return table(spark, d, "orders").select("o_orderkey", archives.comment_fields(comment).alias("f")).select("o_orderkey", "f.version", "f.json_first")
+
+
 @query(
     "bfs_order",
     f"WITH {_ENTRIES} SELECT archive, name, ordinal, row_number() OVER (PARTITION BY archive ORDER BY CASE WHEN name LIKE '%zarr.json' THEN 0 ELSE 1 END, CASE WHEN name LIKE '%zarr.json' THEN name END, ordinal) - 1 AS position FROM A",
@@ -224,9 +256,10 @@ def natural_sort(spark, d):
     return rows.select("s_nationkey", "name", F.row_number().over(w).cast("long").alias("n"))
 
 
-@query("lex_sort_keys", "SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY 1")
+@query("lex_sort_keys", "SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS n FROM supplier")
 def lex_sort_keys(spark, d):
-    return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("names"))
+    w = Window.partitionBy("s_nationkey").orderBy("s_name")
+    return table(spark, d, "supplier").select("s_nationkey", "s_name", F.row_number().over(w).cast("long").alias("n"))
 
 
 @query("plane_key_order", "SELECT o_orderpriority, row_number() OVER (ORDER BY contains(o_orderpriority, '-'), o_orderpriority) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders)")
@@ -464,6 +497,14 @@ def axis_index(spark, d):
     return table(spark, d, "nation").select("n_nationkey", (F.array_position(axes, F.lower(asked)) - 1).alias("i"))
 
 
+@query("valid_units", "SELECT n_nationkey, n_nationkey % 4 IN (0, 3) AS fine FROM nation")
+def valid_units(spark, d):
+    k = F.col("n_nationkey") % 4
+    kind = F.when(k < 2, "space").when(k == 2, "time").otherwise("channel")
+    unit = F.when(k == 0, "micrometer").when(k == 1, "second").when(k == 2, "meter").otherwise("anything")
+    return table(spark, d, "nation").select("n_nationkey", coords.valid_unit(kind, unit).alias("fine"))
+
+
 @query("parse_dims", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'z,y' END AS dims FROM nation")
 def parse_dims(spark, d):
     text = F.when(F.col("n_nationkey") % 2 == 0, " Z, y").otherwise("z,q")
@@ -512,8 +553,46 @@ def cc_metadata(spark, d):
     return acquisitions.summary(rows)
 
 
-@query("frame_metadata", "SELECT conv_id, turn, role FROM conversations")
+@query(
+    "frame_metadata",
+    "SELECT a.conv_id, a.turn, b.role FROM (SELECT DISTINCT conv_id, turn FROM conversations) a LEFT JOIN (SELECT * FROM conversations WHERE role <> 'assistant') b USING (conv_id, turn)",
+)
 def frame_metadata(spark, d):
+    """Planes of which some have no metadata."""
     t = table(spark, d, "conversations")
-    planes = t.select("conv_id", "turn").distinct()
-    return planes.join(t.select("conv_id", "turn", "role"), ["conv_id", "turn"], "left").select("conv_id", "turn", "role")
+    return I.frame_metadata(t.select("conv_id", "turn").distinct(), t.filter("role <> 'assistant'").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+
+
+_MM = """Y AS (SELECT o_orderkey, o_orderkey % 3 AS v, o_orderkey % 2 AS s, o_orderkey % 7 AS z, o_custkey FROM orders)"""
+
+
+@query(
+    "acquisition_summary",
+    f"""WITH {_MM} SELECT o_orderkey, CASE v WHEN 0 THEN '2.0.1' WHEN 1 THEN '2.0.0-beta3' ELSE '1.4.22' END AS version,
+CASE v WHEN 0 THEN 'a' || o_custkey || ',b' WHEN 1 THEN ',' ELSE '' END AS channels, CAST(o_custkey AS BIGINT) AS height, CAST(32 AS BIGINT) AS width,
+CASE WHEN s = 0 OR z = 0 THEN 1.0::DOUBLE ELSE z * 0.25::DOUBLE END AS z_step, CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS t_step FROM Y""",
+)
+def acquisition_summary(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    version = F.when(k % 3 == 0, "2.0.1").when(k % 3 == 1, "2.0.0-beta3").otherwise("1.4.22")
+    named = F.when(k % 3 == 0, F.concat(F.lit(',"ChNames":["a'), c, F.lit('","b"]'))).otherwise("")
+    steps = F.when(k % 2 == 1, F.concat(F.lit(',"Interval_ms":500.0,"z-step_um":'), ((k % 7) * 0.25).cast("string"))).otherwise("")
+    text = F.concat(F.lit('{"Summary":{"Channels":2,"Width":32,"MicroManagerVersion":"'), version, F.lit('","Height":'), c, named, steps, F.lit("}}"))
+    out = acquisitions.acquisition_summary(table(spark, d, "orders").select("o_orderkey", text.alias("text")), ["o_orderkey"], "text")
+    return out.withColumn("channels", F.array_join("channels", ","))
+
+
+@query(
+    "stage_positions",
+    """SELECT c_custkey, CAST(p AS INTEGER) AS position, 'L' || p AS label, 'XY' AS device, CAST(c_custkey + p AS DOUBLE) AS first, CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 3 END AS INTEGER) AS n
+FROM customer, range(0, 2) r(p) WHERE c_custkey % 3 = 2""",
+)
+def stage_positions(spark, d):
+    """Stage positions of later versions (two axes) and of beta ones (three), of those acquisitions that have more than one."""
+    k = F.col("c_custkey")
+    later = lambda p: F.format_string('{"Label":"L%d","DevicePositions":[{"Device":"XY","Position_um":[%d,7.5]}]}', F.lit(p), k + p)
+    beta = lambda p: F.format_string('{"label":"L%d","gridRow":0,"gridCol":0,"subpositions":[{"stageName":"XY","x":%d,"y":2,"z":1}]}', F.lit(p), k + p)
+    listed = F.when(k % 2 == 0, F.concat_ws(",", later(0), later(1))).otherwise(F.concat_ws(",", beta(0), beta(1)))
+    text = F.concat(F.lit('{"Summary":{"MicroManagerVersion":"'), F.when(k % 2 == 0, "2.0.1").otherwise("2.0 beta"), F.lit('","Positions":'), (k % 3).cast("string"), F.lit(',"StagePositions":['), listed, F.lit("]}}"))
+    out = acquisitions.stage_positions(table(spark, d, "customer").select("c_custkey", text.alias("text")), ["c_custkey"], "text")
+    return out.select("c_custkey", "position", "label", "device", F.col("values")[0].alias("first"), F.size("values").alias("n"))

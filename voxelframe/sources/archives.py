@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelframe.operators.windows import last_entries
@@ -17,9 +17,18 @@ def pack_order(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unpack(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """The last entry of each name; folders and names that lead out of the archive are left out."""
-    safe = entries.filter(~F.endswith("name", F.lit("/")) & ~F.startswith("name", F.lit("/")) & ~F.array_contains(F.split("name", "/"), ".."))
-    return last_entries(safe, [*keys, "name"], ["ordinal"])
+    """The last entry of each name, without folders; a name that leads out of the archive raises when it is read."""
+    slashed = F.translate("name", "\\", "/")
+    outside = F.startswith(slashed, F.lit("/")) | F.array_contains(F.split(slashed, "/"), "..") | slashed.rlike("^[A-Za-z]:")
+    checked = F.when(outside, F.raise_error(F.concat(F.lit("unsafe name in archive: "), "name"))).otherwise(F.col("name"))
+    files = entries.withColumn("name", checked).filter(~F.endswith("name", F.lit("/")))
+    return last_entries(files, [*keys, "name"], ["ordinal"])
+
+
+def comment_fields(comment: Column) -> Column:
+    """struct(version, json_first) of an archive's comment; nulls where it is no such comment."""
+    parsed = F.from_json(comment, "ome struct<version: string, zipFile: struct<centralDirectory: struct<jsonFirst: boolean>>>")
+    return F.struct(parsed["ome"]["version"].alias("version"), parsed["ome"]["zipFile"]["centralDirectory"]["jsonFirst"].alias("json_first"))
 
 
 def summary(entries: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ partitioned by shard, so a selection reads only the folders and row groups it to
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +45,42 @@ def to_cells(chunks: DataFrame, chunk: Mapping[str, int]) -> DataFrame:
     return rows.select(*[out[a] for a in axes], "value")
 
 
-def write(chunks: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    chunks.repartition("shard").sortWithinPartitions(*[c for c in chunks.columns if c.endswith("_chunk")]).write.mode(mode).partitionBy("shard").parquet(path)
+#: Ways to open a store, and what writing to it does.
+MODES = {"r+": "append", "a": "append", "w": "overwrite", "w-": "errorifexists"}
+
+
+def write(chunks: DataFrame, path: str, mode: str = "w-") -> None:
+    """Write chunk rows to a store opened by ``mode`` (``r+``, ``a``, ``w``, ``w-``).
+
+    Only what is named like a store may be replaced: its path holds ``.zarr`` or ends in ``.ozx``;
+    at any other path ``w`` is ``w-``.
+    Rows are dealt by shard and chunk, so a shard is as many tasks' work as its chunks need.
+    """
+    if mode not in MODES:
+        raise ValueError(f"a store can't be written in mode {mode!r}")
+    store = ".zarr" in path or path.endswith(".ozx")
+    how = MODES[mode] if store or mode != "w" else MODES["w-"]
+    keys = [c for c in chunks.columns if c.endswith("_chunk")]
+    chunks.repartitionByRange("shard", *keys).sortWithinPartitions("shard", *keys).write.mode(how).partitionBy("shard").parquet(path)
+
+
+def create_zeros(levels: DataFrame, images: DataFrame, scale: Sequence[float]) -> DataFrame:
+    """Level records with one more for each image (image, shape, dtype): metadata only, as chunks that aren't there read as fill.
+
+    An image that has levels takes shapes of as many axes only; others raise when they are read.
+    """
+    last = levels.groupBy("image").agg(F.max("level").alias("last"), F.first(F.size("shape")).alias("rank"))
+    rank = F.coalesce("rank", F.lit(len(scale)))
+    bad = F.raise_error(F.concat(F.lit("a shape has another number of axes than the image: "), F.col("image").cast("string"))).cast("array<bigint>")
+    fine = (F.size("shape") == rank) & F.forall("shape", lambda n: n > 0)
+    new = images.join(last, "image", "left").select(
+        "image",
+        (F.coalesce("last", F.lit(-1)) + 1).cast("long").alias("level"),
+        F.when(fine, F.col("shape").cast("array<bigint>")).otherwise(bad).alias("shape"),
+        "dtype",
+        F.lit([float(s) for s in scale]).alias("scale"),
+    )
+    return levels.select("image", "level", "shape", "dtype", "scale").unionByName(new)
 
 
 def read(spark: SparkSession, path: str, chunk: Mapping[str, int], region: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:

@@ -21,6 +21,17 @@ def infer_format(path: Column, has_index: Column) -> Column:
     )
 
 
+def reader(path: Column, has_index: Column, kind: Column) -> Column:
+    """The reader that opens a path: of the kind asked for, else of the format that it is; no such format raises.
+
+    A kind that the path's name contradicts raises too.
+    """
+    found = infer_format(path, has_index)
+    unknown = F.raise_error(F.concat(F.lit("no reader for "), path)).cast("string")
+    other = F.raise_error(F.concat(path, F.lit(" isn't "), kind)).cast("string")
+    return F.when(kind.isNotNull() & found.isNotNull() & (kind != found), other).otherwise(F.coalesce(kind, found, unknown))
+
+
 def may_overwrite(path: Column) -> Column:
     """Only paths that are named like stores may be replaced."""
     return F.contains(path, F.lit(".zarr")) | path.rlike(r"\.ozx$")
