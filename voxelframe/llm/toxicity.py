@@ -119,8 +119,9 @@ class ToxicityModel:
         count, known = Counter(words(text)), self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        for w in count.keys() - known.keys():
-            known[w] = self.word(w)
+        for w in count:
+            if w not in known:
+                known[w] = self.word(w)
         return math.fsum(map(operator.mul, map(known.__getitem__, count), count.values())) / max(1, count.total())
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -214,8 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
                 count = Counter(words(text or ""))
                 if len(known) > CACHE_ENTRIES:
                     known.clear()
-                for w in count.keys() - known.keys():
-                    known[w] = model.ratio(w)
+                for w in count:
+                    if w not in known:
+                        known[w] = model.ratio(w)
                 r, n = np.array([known[w] for w in count]), np.array(list(count.values()), dtype=float)
                 found.append([(n * np.logaddexp(math.log1p(-c), math.log(c) + r)).sum() / max(1, n.sum()) for c in CHANCES])
             columns = np.array(found).reshape(-1, len(CHANCES)).T
