@@ -472,6 +472,91 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(got, [brute(w.encode()) for w in words], rtol=1e-9)
 
 
+def test_long_words_are_the_same_one_by_one(monkeypatch):
+    own = lattice.Lattice(piece.PieceModel(MODEL))
+    words = [w.encode() for w in ("the", "onthing", "é", "xqzzjk", "日本語", "a" * 70, "\x00\x01", "inthonerationless" * 9)]
+    count = np.arange(1.0, len(words) + 1)
+    log_p, expected = own.log_probability(words), own.expected(words, count)
+    monkeypatch.setattr(lattice, "LONG_WORD", 4)
+    assert np.allclose(own.log_probability(words), log_p, rtol=1e-9)
+    assert np.allclose(own.expected(words, count), expected, rtol=1e-7, atol=1e-9)
+
+
+def test_a_word_of_a_megabyte_is_scored_in_bounded_memory():
+    import tracemalloc
+
+    own = lattice.Lattice(piece.PieceModel(MODEL))
+    word = bytes(np.random.default_rng(1).integers(97, 123, 1 << 20, dtype=np.uint8))
+    total = np.zeros(len(own.log_p))
+    tracemalloc.start()
+    whole = own.long_word(word[: 1 << 14], total)
+    grown = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert math.isfinite(whole) and grown < 64 << 14
+    sizes = np.zeros(len(total))
+    for p, i in [(p, i) for p, i in piece.PieceModel(MODEL).vocab.items() if i in set(own.used.tolist())]:
+        sizes[i] = len(p.replace("▁", "").encode())
+    sizes[list(piece.PieceModel(MODEL).byte_of)] = 1
+    assert abs((total * sizes).sum() - (1 << 14)) < 1e-3  # the expected pieces cover the word
+    assert math.isfinite(own.log_probability([word])[0])
+
+
+def test_lattice_score_is_that_of_its_formula(spark):
+    """The mixture, discount, end and one refit, by enumerating all segmentations of short words."""
+    texts = ["The cat the dog", "a cat on a mat", "", None, "dog dog catx", "zq the end on", "on on", "mat"]
+    ids = list(range(len(texts)))
+    held = [zlib.crc32(str(k).encode()) % 10 == 0 for k in ids]
+    ids += [k for k in range(8, 300) if zlib.crc32(str(k).encode()) % 10 == 0][:2]
+    texts, held = [*texts, "the unknown catdog", "xyz mat"], [*held, True, True]
+    model = piece.PieceModel(MODEL)
+    own = lattice.Lattice(model)
+    starts, inner = collections.defaultdict(list), collections.defaultdict(list)
+    for i in own.used.tolist():
+        p = model.pieces[i]
+        if i in model.byte_of:
+            inner[bytes([model.byte_of[i]])].append(i)
+        elif p.startswith("▁"):
+            starts[p[1:].encode()].append(i)
+        else:
+            inner[p.encode()].append(i)
+
+    def segmentations(word, first=True):
+        if not word and not first:
+            yield ()
+        pool = starts if first else inner
+        for j in range(0 if first else 1, len(word) + 1):
+            for i in pool.get(word[:j], ()):
+                for rest in segmentations(word[j:], False):
+                    yield (i, *rest)
+
+    def summed(word, p, expected=None):
+        parts = [(s, math.prod(p[i] for i in s)) for s in segmentations(word)]
+        whole = math.fsum(x for _, x in parts)
+        if expected is not None:
+            for s, x in parts:
+                for i in s:
+                    expected[i] += x / whole
+        return whole
+
+    split = lambda t: (t or "").translate(AZ).encode().split()
+    count = collections.Counter(w for t, h in zip(texts, held, strict=True) if not h for w in split(t))
+    ends = sum(not h for h in held)
+    n, types = sum(count.values()) + ends, len(count) + 1
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+    expected = np.zeros(len(model.pieces))
+    for w in count:
+        summed(w, own.by_score, expected)
+    weight = own.by_score * lattice.PRIOR + expected
+    weight /= weight.sum()
+    got = {r["doc_id"]: r for r in lattice.score(documents(spark, list(zip(ids, texts, strict=True))), MODEL, refits=1).collect()}
+    for k, t, h in zip(ids, texts, held, strict=True):
+        want = math.log10((ends - d) / n)
+        for w in split(t):
+            want += math.log10(max(count[w] - d, 0) / n + d * types / n * summed(w, weight))
+        assert got[k]["held_out"] == h and abs(got[k]["score"] - want) < 1e-7
+
+
 def test_lattice_expectations_are_derivatives():
     own = lattice.Lattice(piece.PieceModel(MODEL))
     words, count = [b"onthing", b"the", b"theone"], np.array([2.0, 3.0, 1.0])

@@ -4,9 +4,11 @@ A word's probability is the sum over all its segmentations into the pieces of an
 vocabulary: a forward recursion in log space over the lattice of pieces, bytes included, so that
 every word has a path. The first piece of a word is one of those that the vocabulary marks as a
 word's start; together, start and inner pieces have probability one, which makes the
-probabilities of all words sum to one. The vocabulary's own scores (ranks) give the pieces'
-first weights; passes of expectation over the words seen in training refit them. Each word counts
-once there, as each hands the same discount to the lattice.
+probabilities of all words sum to one. The vocabulary's own scores give the pieces' weights: in
+the public file they are merge ranks, and by Zipf's law a weight falls as one over its rank.
+Passes of expectation over the words seen in training move the weights from there, the scores
+standing as ``PRIOR`` words' worth of pieces beside what training expects. Each word counts once,
+as each hands the same discount to the lattice.
 
 A word seen in training is also one whole unit of the lattice: with discount D it has
 (c - D) / N on top of the segmentations' share, D * types / N.
@@ -14,6 +16,8 @@ A word seen in training is also one whole unit of the lattice: with discount D i
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -31,8 +35,10 @@ HOT_WORDS = 150_000
 FLUSH_WORDS = 300_000
 #: Cells of one lattice chunk: words times bytes.
 CELLS = 400_000
-#: Expected count that every piece has besides what training gives it.
-PRIOR = 0.05
+#: Words longer than this are gone through one by one, byte by byte, in memory of a few numbers a byte.
+LONG_WORD = 1024
+#: Pieces that the vocabulary's scores stand for besides those that training expects.
+PRIOR = 2000.0
 LOG10 = np.log(10.0)
 
 
@@ -74,10 +80,12 @@ class Lattice:
             while self.keys[s] >= 0:
                 s += 1
             self.keys[s], self.next[s] = key, node
-        # The vocabulary's scores are ranks: by Zipf's law, first weights fall as one over the rank.
-        rank = {i: r for r, i in enumerate(sorted(used, key=lambda i: (i in model.byte_of, i)))}
+        self.step, self.ends = step, ends
+        # Bytes have no score of their own and come after all that have one.
+        last = len(model.rank)
         weight = np.zeros(len(model.pieces))
-        weight[self.used] = [1 / (rank[i] + 2.7) for i in used]
+        weight[self.used] = [1 / (model.rank.get(i, last) + 2.7) for i in used]
+        self.by_score = weight / weight.sum()
         self.set_weights(weight)
 
     def set_weights(self, weight: np.ndarray) -> None:
@@ -107,7 +115,8 @@ class Lattice:
         a = 0
         while a < len(order):
             b = a + 1
-            while b < len(order) and (b - a + 1) * (size[order[b]] + 1) <= CELLS and size[order[b]] <= size[order[a]] * 1.3 + 4:
+            long = size[order[a]] > LONG_WORD
+            while b < len(order) and (b - a + 1) * (size[order[b]] + 1) <= CELLS and size[order[b]] <= size[order[a]] * 1.3 + 4 and (size[order[b]] > LONG_WORD) == long:
                 b += 1
             yield order[a:b]
             a = b
@@ -148,16 +157,63 @@ class Lattice:
             reach(self.INNER, i, alpha[i])
         return alpha, size, alpha[size, np.arange(len(words))]
 
+    def long_word(self, word: bytes, total: np.ndarray | None = None, times: float = 1.0) -> float:
+        """A word's log probability in plain steps; with ``total``, its expected pieces are added there."""
+        size, step, ends, log_p = len(word), self.step.get, self.ends.get, self.log_p
+
+        def edges(root: int, i: int):
+            node = root
+            for j in range(i, size):
+                node = step(node * 257 + word[j])
+                if node is None:
+                    return
+                for p in ends(node, ()):
+                    yield j + 1, p, float(log_p[p])
+
+        def add(a: float, b: float) -> float:
+            return b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+        alpha = array("d", [-math.inf]) * (size + 1)
+        if self.bare >= 0:
+            alpha[0] = float(log_p[self.bare])
+        for j, _, lp in edges(self.START, 0):
+            alpha[j] = add(alpha[j], lp)
+        for i in range(size):
+            if alpha[i] > -math.inf:
+                for j, _, lp in edges(self.INNER, i):
+                    alpha[j] = add(alpha[j], alpha[i] + lp)
+        whole = alpha[size]
+        if total is not None and whole > -math.inf:
+            beta = array("d", [-math.inf]) * (size + 1)
+            beta[size] = 0.0
+            for i in range(size - 1, -1, -1):
+                for j, p, lp in edges(self.INNER, i):
+                    if beta[j] > -math.inf:
+                        beta[i] = add(beta[i], beta[j] + lp)
+                        total[p] += math.exp(min(0.0, alpha[i] + beta[j] + lp - whole)) * times
+            for j, p, lp in edges(self.START, 0):
+                total[p] += math.exp(min(0.0, beta[j] + lp - whole)) * times
+            if self.bare >= 0:
+                total[self.bare] += math.exp(min(0.0, float(log_p[self.bare]) + beta[0] - whole)) * times
+        return whole
+
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words))
         for own in self.chunks(words):
-            out[own] = self.forward([words[k] for k in own.tolist()])[2]
+            if len(words[own[0]]) > LONG_WORD:
+                out[own] = [self.long_word(words[k]) for k in own.tolist()]
+            else:
+                out[own] = self.forward([words[k] for k in own.tolist()])[2]
         return out
 
     def expected(self, words: list[bytes], count: np.ndarray) -> np.ndarray:
         """Expected pieces in the words, each word ``count`` times."""
         total = np.zeros(len(self.log_p))
         for own in self.chunks(words):
+            if len(words[own[0]]) > LONG_WORD:
+                for k in own.tolist():
+                    self.long_word(words[k], total, float(count[k]))
+                continue
             edges: list = []
             alpha, size, whole = self.forward([words[k] for k in own.tolist()], edges)
             times = count[own]
@@ -255,8 +311,7 @@ def score(docs: DataFrame, model: bytes, refits: int = 2, hot_words: int = HOT_W
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["piece", "n"])
 
         found = words.filter("c > 0").select("word").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        weight = np.zeros(len(weight))
-        weight[lattice.used] = PRIOR
+        weight = lattice.by_score * PRIOR
         weight[found["piece"].to_numpy()] += found["n"].to_numpy()
         lattice.set_weights(weight)
     given = spark.sparkContext.broadcast(weight)
