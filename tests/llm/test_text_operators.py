@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -256,6 +257,44 @@ def test_kneser_ney_ratios():
     assert toxicity.kneser_ney(pd.DataFrame({"gram": [], "toxic": [], "ordinary": []})) == ({}, {})
 
 
+REFERENCES = {
+    "This file is licensed under the MIT License.": "MIT",
+    "The source code is released under the terms of the Apache License, Version 2.0": "Apache-2.0",
+    "Distributed under the BSD 3-Clause License": "BSD-3-Clause",
+    "This project is available under the GNU Lesser General Public License v2.1": "LGPL-2.1",
+    "# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+    "// SPDX-License-Identifier: (MIT)": "MIT",
+    "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */": "GPL-2.0-only WITH Linux-syscall-note",
+    " * SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0",
+    "licensed under the mithril": "",
+}
+
+
+def test_licences_by_reference(spark):
+    out = {r["doc_id"]: r["licenses"] for r in license.scan(documents(spark, [f"words before\n{t}\nwords after" for t in REFERENCES])).collect()}
+    assert [out[k] for k in range(len(REFERENCES))] == list(REFERENCES.values())
+
+
+def test_licences_as_distributed(spark):
+    """Whole texts, by this module's sentences and by rules made from the texts themselves."""
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    if not all(os.path.exists(f"{folder}/{f}") for f in files.values()):
+        pytest.skip("needs the distribution's licence texts")
+    texts = {name: open(f"{folder}/{f}").read() for name, f in files.items()}
+    sentences, rules = license.rules_of(texts)
+    commented = ["\n".join(f"# {line}" for line in t.splitlines()) for t in texts.values()]
+    rows = documents(spark, [*texts.values(), *commented, "x" * 1_000_000, *list(texts.values())[:1], "words\n\n" * 10_000 + texts["GPL-3.0"]])
+    out = {r["doc_id"]: r for r in license.scan(rows, sentences, rules).collect()}
+    for k, name in enumerate([*texts, *texts]):
+        assert name in out[k]["licenses"].split(",")
+    assert out[12]["licenses"] == "" and out[13]["licenses"] == out[0]["licenses"] and "GPL-3.0" in out[14]["licenses"]
+    plain = {r["doc_id"]: r["licenses"] for r in license.scan(rows).collect()}
+    for k, name in enumerate(texts):
+        if name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0"):
+            assert name in plain[k].split(",")
+
+
 def test_kneser_ney_is_that_of_its_formula():
     """All probabilities by plain loops over the training words, and that they sum to one."""
     rng = random.Random(4)
