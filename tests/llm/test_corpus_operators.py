@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 from voxelframe.llm import decontam, graph, jaccard, lattice, piece, queries, shard, vptree  # noqa: E402
@@ -614,6 +615,40 @@ def test_shards(spark, hot):
     assert max(sizes) - min(sizes) <= 0.05 * sum(sizes) / 24 + 20_008
 
 
+@pytest.mark.parametrize("copies", [[300], [100, 90, 80], [40] * 30, [3000, 20]])
+def test_equal_texts_share_a_shard(spark, copies):
+    """All copies of a text are in one shard unless they exceed it, and sizes are near equal still."""
+    rng = random.Random(len(copies))
+    texts = [" ".join(rng.choices(["some", "words", "of", "many", "texts"], k=rng.randint(1, 40))) + f" {k}" for k in range(4000)]
+    for k, n in enumerate(copies):
+        texts += [f"a text that is there often {k} " * 5] * n
+    texts += ["two"] * 2 + [None] * 3 + [""] * 3
+    rng.shuffle(texts)
+    rows = documents(spark, [(k if k % 5 else None, t) for k, t in enumerate(texts)]).withColumn("size", F.lit("other"))
+    out = shard.assign(rows).collect()
+    assert len(out) == len(texts)
+    total = sum(r["size"] for r in out)
+    held, where = collections.Counter(), collections.defaultdict(set)
+    slots = collections.defaultdict(list)
+    for r in out:
+        held[r["shard"]] += r["size"]
+        where[r["text_crc32"], r["size"]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    weight = collections.Counter()
+    for t in texts:
+        weight[zlib.crc32((t or "").encode()), len((t or "").encode()) + 8] += len((t or "").encode()) + 8
+    for key, shards in where.items():
+        assert len(shards) == 1 or weight[key] > total / 24
+    assert set(held) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(held.values()) - min(held.values()) <= 0.06 * total / 24
+
+
+def test_shards_of_rows_that_are_all_the_same(spark):
+    out = shard.assign(spark.createDataFrame([(None, "the same text")] * 2400, "doc_id long, text string")).collect()
+    held = collections.Counter(r["shard"] for r in out)
+    assert len(held) == 24 and max(held.values()) - min(held.values()) <= 50
+
+
 def test_shards_of_no_rows_and_of_one(spark):
     assert shard.assign(documents(spark, [])).count() == 0
     assert shard.assign(documents(spark, [(1, "a")])).first()["slot"] == 0

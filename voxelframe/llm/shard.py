@@ -2,13 +2,18 @@
 
 The sort key of a record is a hash of its text, so equal texts lie side by side. Keys are
 sampled with a probability proportional to the record's size, the sample's quantiles are the
-splitters of many small ranges, and ranges that came out too large are subdivided: by a second
-hash of the text first (equal texts stay together), then, where one text alone is too much, by
-record. Ranges are laid end to end and each shard takes an equal stretch of the bytes.
+splitters of many small ranges, and ranges that came out too large are subdivided by a second
+hash of the text, so that equal texts stay together. A text whose copies are much of a shard is
+placed by itself, the largest first, each into the emptiest shard; one that exceeds a shard is
+dealt by record. Then the ranges are laid end to end, and each shard takes as long a stretch of
+them as brings all shards to one level.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +21,13 @@ from voxelframe.llm.common import stored
 
 #: Bytes that a record counts for besides its text.
 OVERHEAD = 8
-#: Ranges for each shard at least; more where ranges would exceed RANGE_BYTES.
+#: Ranges for each shard. Their number depends on the shards alone, so that what is collected or
+#: sent to every task (splitters, ranges, large texts) has the same size for any input.
 RANGES_PER_SHARD = 64
-RANGE_BYTES = 256 << 20
 #: Sampled keys for each range, on average.
 SAMPLES_PER_RANGE = 24
-#: Copies of one text stay in one shard unless they are more than this part of it.
-WHOLE_PARTS = 16
+#: A text whose copies are more than this part of a shard is placed by itself.
+LARGE_PARTS = 16
 
 
 def _rank(key: Column, splitters: list[int]) -> Column:
@@ -42,7 +47,7 @@ def _rank(key: Column, splitters: list[int]) -> Column:
 
 
 def splitters(rows: DataFrame, total: int, ranges: int) -> list[int]:
-    """Quantile boundaries of a size-weighted key sample; ``rows`` has ``key``, ``doc_id`` and ``size``.
+    """Quantile boundaries of a size-weighted key sample; ``rows`` has ``key``, ``row`` and ``size``.
 
     A record is drawn as often as its size over the sampling step says, the fraction decided by
     a hash of the record, so that a retried task draws the same sample.
@@ -50,7 +55,7 @@ def splitters(rows: DataFrame, total: int, ranges: int) -> list[int]:
     if total <= 0 or ranges < 2:
         return []
     step = max(1.0, total / (ranges * SAMPLES_PER_RANGE))
-    chance = F.pmod(F.xxhash64("doc_id", "size", "key", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("row", "size", "key", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(F.col("size") / F.lit(step) + chance).cast("int")
     drawn = rows.withColumn("__times", times).filter("__times > 0").select("key", "__times")
     at = F.lit([k / ranges for k in range(1, ranges)])
@@ -60,63 +65,86 @@ def splitters(rows: DataFrame, total: int, ranges: int) -> list[int]:
     return sorted(set(bounds or []))
 
 
+def packed(large: list[tuple[int, int]], rest: int, shards: int) -> tuple[dict[int, int], list[float]]:
+    """Shards of large units, given as (unit, size), and how much of the rest each shard takes so that all come to one level."""
+    held, place = [0.0] * shards, {}
+    for unit, size in sorted(large, key=lambda x: (-x[1], x[0])):
+        at = min(range(shards), key=lambda s: (held[s], s))
+        held[at] += size
+        place[unit] = at
+    level, filled = 0.0, sorted(held)
+    for n in range(1, shards + 1):  # the n emptiest shards are filled up
+        level = (rest + sum(filled[:n])) / n
+        if n == shards or level <= filled[n]:
+            break
+    return place, [max(0.0, level - h) for h in held]
+
+
 def assign(docs: DataFrame, shards: int = 24, text: str = "text") -> DataFrame:
-    """Shard and slot of every record: sizes near equal, equal texts together where they fit.
+    """Shard and slot of every record: sizes near equal, equal texts together unless they exceed a shard.
 
     Columns: doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null).
-    A null text has the size of an empty one and its checksum. Repeated rows are records of
-    their own. Slots are gapless from 0 in each shard. A text whose copies are more than a
-    sixteenth of a shard is spread over neighbouring shards, by record.
+    A null text has the size of an empty one and its checksum, and goes with it. Repeated rows
+    are records of their own. Slots are gapless from 0 in each shard.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = stored(
-        docs.select(
-            "doc_id",
-            (F.octet_length(body) + OVERHEAD).cast("long").alias("size"),
-            F.crc32(body.cast("binary")).alias("text_crc32"),
-            F.xxhash64(body).alias("key"),
-            F.xxhash64(body, F.lit(5)).alias("key2"),
-        ),
-        "sizes",
+    rows = docs.select(
+        "doc_id",
+        (F.octet_length(body) + OVERHEAD).cast("long").alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.xxhash64(body).alias("key"),
+        F.xxhash64(body, F.lit(5)).alias("key2"),
     )
+    # Rows are told apart by a number, which stands once they are written.
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    ranges = max(shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES))
-    share = max(1.0, total / ranges)
+    ranges = shards * RANGES_PER_SHARD
+    share, whole = max(1.0, total / ranges), max(1.0, total / shards)
+    # No more than LARGE_PARTS * shards texts can be so large.
+    texts = rows.groupBy("key", "key2").agg(F.sum("size").alias("b"), F.count("*").alias("n")).filter(F.col("b") * LARGE_PARTS > whole)
+    texts = [r for r in texts.orderBy(F.desc("b"), "key", "key2").collect() if r["n"] > 1 or r["b"] <= whole]
     bounds = splitters(rows, total, ranges)
-    rows = rows.withColumn("r", _rank(F.col("key"), bounds))
-
-    def subdivided(rows: DataFrame, by: list[str], into: str, key: Column) -> DataFrame:
-        """Units of over twice a range's share get as many parts as they hold shares."""
-        large = rows.groupBy(*by).agg(F.sum("size").alias("b")).filter(F.col("b") > 2 * share).select(*by, F.ceil(F.col("b") / share).cast("long").alias("parts"))
-        # At most half as many as there are ranges, which RANGE_BYTES bounds: small enough to go to every task.
-        return rows.join(F.broadcast(large), by, "left").withColumn(into, F.when(F.col("parts").isNotNull(), F.pmod(key, F.col("parts"))).otherwise(F.lit(0)).cast("int")).drop("parts")
-
-    rows = subdivided(rows, ["r"], "r2", F.col("key2"))
-    rows = subdivided(rows, ["r", "r2"], "r3", F.xxhash64("doc_id", F.lit(7)))
-    unit = ["r", "r2", "r3"]
-    rows = stored(rows.select("doc_id", "size", "text_crc32", "key", *unit), "ranges")
-    # One row per range: their number is bounded by the input's bytes over a range's share.
-    units = rows.groupBy(*unit).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    line = Window.orderBy(*unit)
-    units = units.withColumn("start", F.coalesce(F.sum("b").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # Parts of one range stay in one shard, and so do copies, unless they are much of a shard.
-    whole = Window.partitionBy("r", "r2")
-    units = units.withColumn("group_b", F.sum("b").over(whole)).withColumn("group_start", F.min("start").over(whole))
-    small = F.col("group_b") * shards * WHOLE_PARTS <= total
-    middle = F.when(small, F.col("group_start") + F.col("group_b") / 2).otherwise(F.col("start") + F.col("b") / 2)
-    units = units.withColumn("shard", F.least(F.floor(middle * shards / F.lit(max(1, total))), F.lit(shards - 1)).cast("int"))
-    within = Window.partitionBy("shard").orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
-    units = units.select(*unit, "shard", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("before"))
-    # Within a range, slots go by key and record; ranges are small, so this window is too. There are
-    # a few units for each range, so they also go to every task.
-    order = Window.partitionBy(*unit).orderBy("key", "doc_id", "size", "text_crc32")
-    placed = rows.withColumn("n", F.row_number().over(order)).join(F.broadcast(units), unit)
-    return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("before") + F.col("n") - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    schema = "key long, key2 long, large int, parts long"
+    large = rows.sparkSession.createDataFrame([(r["key"], r["key2"], k, max(1, min(r["n"], int(r["b"] / share)))) for k, r in enumerate(texts)], schema)
+    rows = rows.join(F.broadcast(large), ["key", "key2"], "left")
+    # A large text is a unit, or several where one would be more than a range: they are numbered apart.
+    rows = rows.withColumn("r", F.coalesce(F.col("large") + ranges, _rank(F.col("key"), bounds)))
+    sizes = rows.filter("large is null").groupBy("r").agg(F.sum("size").alias("b")).filter(F.col("b") > 2 * share)
+    crowded = rows.sparkSession.createDataFrame([(r["r"], int(r["b"] / share) + 1) for r in sizes.collect()], "r int, crowd long")  # at most half of the ranges
+    rows = rows.join(F.broadcast(crowded), "r", "left")
+    part = F.when(F.col("large").isNotNull(), F.pmod(F.xxhash64("row", F.lit(7)), F.col("parts"))).when(F.col("crowd").isNotNull(), F.pmod("key2", F.col("crowd"))).otherwise(0)
+    unit = ["r", "part"]
+    rows = stored(rows.select("row", "doc_id", "size", "text_crc32", "key", "r", part.cast("int").alias("part")), "ranges")
+    # A few rows for each range and large text, whatever the input's size: they fit the driver and every task.
+    units = [(r["r"], r["part"], r["b"], r["n"]) for r in rows.groupBy(*unit).agg(F.sum("size").alias("b"), F.count("*").alias("n")).orderBy(*unit).collect()]
+    kept = {k + ranges for k, r in enumerate(texts) if r["b"] <= whole}
+    weight: dict[int, int] = {}
+    for r, _, b, _ in units:
+        if r in kept:
+            weight[r] = weight.get(r, 0) + b
+    place, room = packed(list(weight.items()), total - sum(weight.values()), shards)
+    ends = list(accumulate(room))
+    at, before, placed = 0, [0] * shards, []
+    for r, part, b, n in units:
+        if r in place:
+            shard = place[r]
+        else:
+            shard = min(shards - 1, bisect_right(ends, at + b / 2))
+            at += b
+        placed.append((r, part, shard, before[shard]))
+        before[shard] += n
+    placed = rows.sparkSession.createDataFrame(placed, "r int, part int, shard int, before long")
+    order = Window.partitionBy(*unit).orderBy("key", "row")
+    return (
+        rows.withColumn("n", F.row_number().over(order))
+        .join(F.broadcast(placed), unit)
+        .select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            F.lit("bytes").alias("law"),
+            "shard",
+            (F.col("before") + F.col("n") - 1).cast("long").alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"),
+        )
     )
