@@ -10,12 +10,39 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.operators.pool import METHODS
 
 
+def from_rows(df: DataFrame, row: str, array: str, value: Callable[[Column], Column], chunk: Mapping[str, int], sizes: Mapping[str, int], fill=0) -> DataFrame:
+    """Rows of arrays as 2-D chunk rows, cut and joined as slices: no row is made for a cell.
+
+    ``chunk`` and ``sizes`` have the row axis first. A row that is missing or short reads as the
+    fill value; chunks of the fill value alone aren't kept. ``value`` turns an element into a cell.
+    """
+    (y, height), (x, width) = chunk.items()
+    ny, nx = sizes[y], sizes[x]
+    cells = F.transform(array, value)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit((nx - 1) // width)), lambda k: F.struct(k.cast("long").alias("k"), F.slice(cells, k * width + 1, F.lit(width)).alias("values")))
+    one = df.filter(F.col(array).isNotNull()).select(F.floor(F.col(row) / height).cast("long").alias(f"{y}_chunk"), (F.col(row) % height).cast("int").alias("at"), F.explode(pieces).alias("piece"))
+    # A chunk is bounded by its shape, so its rows may meet in one row.
+    held = one.groupBy(f"{y}_chunk", F.col("piece.k").alias(f"{x}_chunk")).agg(F.map_from_entries(F.collect_list(F.struct("at", "piece.values"))).alias("held"))
+    tall = F.least(F.lit(height), F.lit(ny) - F.col(f"{y}_chunk") * height).cast("int")
+    wide = F.least(F.lit(width), F.lit(nx) - F.col(f"{x}_chunk") * width).cast("int")
+    blank = F.lit(fill)
+
+    def line(k: Column) -> Column:
+        there = F.coalesce(F.try_element_at("held", k), F.array().cast("array<bigint>"))
+        return F.concat(there, F.array_repeat(blank.cast("bigint"), wide - F.size(there)))
+
+    values = F.flatten(F.transform(F.sequence(F.lit(0), tall - 1), line))
+    shard = F.concat_ws("_", F.col(f"{y}_chunk").cast("string"), F.col(f"{x}_chunk").cast("string"))
+    out = held.select(f"{y}_chunk", f"{x}_chunk", shard.alias("shard"), F.array(tall, wide).alias("shape"), values.alias("values"))
+    return out.filter(F.exists("values", lambda v: v != blank))
+
+
 def _blocks(a: np.ndarray, factors: Sequence[int]) -> np.ndarray:
     """Blocks along a last axis; sizes that aren't multiples are padded with the edge."""
     a = np.pad(a, [(0, -n % f) for n, f in zip(a.shape, factors, strict=True)], mode="edge")
@@ -92,8 +119,30 @@ def pool_chunks(chunks: DataFrame, chunk: Mapping[str, int], factors: Mapping[st
     return made.select(*keys, shard.alias("shard"), "shape", "values")
 
 
-def map_chunks(chunks: DataFrame, func: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Call ``func`` on every chunk that is held; it returns an array of the same shape."""
+def pyramid(chunks: DataFrame, chunk: Mapping[str, int], axes: Sequence[str], sizes: Mapping[str, int], levels: int, method: str = "mean", keep: Callable[[int, DataFrame], DataFrame] | None = None, fill=0) -> list[DataFrame]:
+    """The chunk rows of all levels, each pooled from the one before by two on ``axes``.
+
+    ``keep`` writes a level and returns what was written, so that the next level reads it and
+    nothing is made twice.
+    """
+    out, size = [chunks if keep is None else keep(0, chunks)], dict(sizes)
+    for level in range(1, levels):
+        made = pool_chunks(out[-1], chunk, {a: 2 for a in axes}, size, method, fill)
+        size = {a: -(-n // 2) if a in axes else n for a, n in size.items()}
+        out.append(made if keep is None else keep(level, made))
+    return out
+
+
+def map_chunks(chunks: DataFrame, func: Callable[[np.ndarray], np.ndarray], chosen: Mapping[str, Sequence[int]] | None = None, done: DataFrame | None = None) -> DataFrame:
+    """Call ``func`` on every chunk that is held; it returns an array of the same shape.
+
+    ``chosen`` names the chunk numbers to take on some axes, which reach the scan as filters;
+    ``done`` holds the chunks that are complete (``<axis>_chunk``) and aren't handed over again.
+    """
+    for axis, numbers in (chosen or {}).items():
+        chunks = chunks.filter(F.col(f"{axis}_chunk").isin(list(numbers)))
+    if done is not None:
+        chunks = chunks.join(done, [c for c in done.columns if c.endswith("_chunk")], "left_anti").select(*chunks.columns)
     kind = chunks.schema["values"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

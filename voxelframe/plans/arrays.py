@@ -115,6 +115,42 @@ def pyramid_chunks(spark, d):
     return C.fill_missing(arrays.to_cells(pooled, chunk), {a: -(-n // 2) for a, n in sizes.items()})
 
 
+def _image_chunks(spark, d, chunk):
+    sizes = image_sizes(spark, d)
+    cell = lambda v: (v.cast("double") * 1000).cast("long")
+    return chunks.from_rows(table(spark, d, "embeddings"), "vec_id", "embedding", cell, chunk, sizes), sizes
+
+
+@query("image_chunks", f"WITH {IMAGE_SQL} SELECT y, x, value FROM E")
+def image_chunks(spark, d):
+    """The image as chunk rows cut from its rows, and back."""
+    chunk = {"y": 100, "x": 24}
+    held, sizes = _image_chunks(spark, d, chunk)
+    return C.fill_missing(arrays.to_cells(held, chunk), sizes)
+
+
+@query("pyramid_chunk_levels", _cascade_sql(3))
+def pyramid_chunk_levels(spark, d):
+    """All levels from chunk rows: the same cells as the cascade on cells has."""
+    chunk = {"y": 128, "x": 32}
+    held, sizes = _image_chunks(spark, d, chunk)
+    out = None
+    for level, rows in enumerate(chunks.pyramid(held, chunk, ["y", "x"], sizes, 3)):
+        own = C.fill_missing(arrays.to_cells(rows, chunk), {a: -(-n // 2**level) for a, n in sizes.items()})
+        own = own.select(F.lit(level).alias("level"), "y", "x", "value")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("map_chunks", f"WITH {IMAGE_SQL} SELECT y, x, value * 2 + 1 AS value FROM E WHERE x < 48 AND NOT (y < 100 AND x >= 24)")
+def map_chunks(spark, d):
+    """A user function on the first two columns of chunks, one of which was done before."""
+    chunk = {"y": 100, "x": 24}
+    held, sizes = _image_chunks(spark, d, chunk)
+    done = spark.createDataFrame([(0, 1)], "y_chunk long, x_chunk long")
+    return arrays.to_cells(chunks.map_chunks(held, lambda a: a * 2 + 1, {"x": [0, 1]}, done), chunk)
+
+
 # -- selection ------------------------------------------------------------------------------
 
 
