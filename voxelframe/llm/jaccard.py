@@ -39,8 +39,10 @@ from voxelframe.llm.common import slices, stored
 from voxelframe.llm.graph import components
 from voxelframe.llm.wordarrays import SPACED, mixed, shingles, words
 
-#: A region of more shingles than this is made smaller before a task joins it.
-LARGE_REGION = 250_000
+#: A region of more shingles than this is measured against its centre by many tasks, which takes copies
+#: of one text out of it; what is more than LARGE_REGION then is made smaller still before a task joins it.
+DEALT_REGION = 250_000
+LARGE_REGION = 3_000_000
 #: Rounds of that, and parts that a large region's documents are dealt to in each.
 ROUNDS = 6
 PARTS = 64
@@ -241,22 +243,23 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 def shrink_regions(rows: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
     """Links of large regions' balls, and what is left of the regions (pivot, band, part, node, shingles).
 
-    ``rows`` has pivot, node and shingles, each document of a region once. Documents without
-    partners leave before the first round and after the last one. In a round every region's document is measured against
-    its centre; those within the radius are linked to it. Ball members that no document of the
-    shell can link with leave. Regions still large after the last round are cut into bands of set
-    size, each holding the sizes of the next one too: beyond that, sizes alone part two sets. Bands
-    that are still large are dealt to parts in which each two of their documents meet.
+    ``rows`` has pivot, node and shingles, each document of a region once. In a round every
+    region's document is measured against its centre; those within the radius are linked to it.
+    Ball members that no document of the shell can link with leave. One round is enough for most
+    regions; from those that stay large, documents without partners leave, and rounds go on.
+    Regions still large after the last round are cut into bands of set size, each holding the
+    sizes of the next one too: beyond that, sizes alone part two sets. Bands that are still large
+    are dealt to parts in which each two of their documents meet.
     """
     radius = 1 - percent / 100
     links: list[DataFrame] = []
     ready: list[DataFrame] = []
     shape = ["pivot", "band", "part", "node", "shingles"]
     whole = F.lit(0).cast("long").alias("part")
-    now = stored(without_lone(rows.select("pivot", "node", "shingles"), ["pivot"], percent), "linked")
-    now = now.join(now.groupBy("pivot").agg(F.min("node").alias("center")), "pivot")
+    centered = lambda df: df.join(df.groupBy("pivot").agg(F.min("node").alias("center")), "pivot")
+    now = centered(rows.select("pivot", "node", "shingles"))
     n, m = F.octet_length("shingles") / 8, F.octet_length("center_shingles") / 8
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         centers = now.filter("node = center").select("pivot", F.col("shingles").alias("center_shingles"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
         met = now.withColumn("part", F.pmod(F.xxhash64("node", F.lit(13)), F.lit(PARTS)).cast("int")).join(centers.hint("shuffle_hash"), ["pivot", "part"])
         met = met.withColumn("shared", _shared(F.col("shingles"), F.col("center_shingles"))).withColumn("union", (n + m - F.col("shared")).cast("long"))
@@ -272,6 +275,8 @@ def shrink_regions(rows: DataFrame, percent: int) -> tuple[list[DataFrame], Data
         now = kept.join(large, "pivot", "left_semi")
         if not large.head(1):
             break
+        if not k:
+            now = centered(stored(without_lone(now.drop("center"), ["pivot"], percent), "linked"))
     else:
         band = F.floor(F.log(F.octet_length("shingles") / 8) / float(np.log(100 / percent)) + 1e-9).cast("int")
         now = now.select("pivot", F.explode(F.array(band, band + 1)).alias("band"), "node", "shingles")
@@ -335,7 +340,7 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     sets = sets.mapInArrow(_region_sets(n), "node long, regions array<long>, shingles binary")
     sets = sets.select(F.explode("regions").alias("pivot"), F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"), "node", "shingles")
     links = []
-    large = met.groupBy("pivot").agg(F.sum("n").alias("size")).filter(F.col("size") > LARGE_REGION).select("pivot")
+    large = met.groupBy("pivot").agg(F.sum("n").alias("size")).filter(F.col("size") > min(DEALT_REGION, LARGE_REGION)).select("pivot")
     if large.head(1):
         sets = stored(sets.dropDuplicates(["pivot", "node"]), "sets")
         links, rest = shrink_regions(sets.join(large, "pivot", "left_semi"), percent)
