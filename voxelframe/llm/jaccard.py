@@ -43,7 +43,7 @@ from voxelframe.llm.wordarrays import SPACED, mixed, shingles, words
 #: of one text out of it; what is more than LARGE_REGION then is made smaller still before a task joins it.
 DEALT_REGION = 250_000
 LARGE_REGION = 3_000_000
-#: Rounds of that, and parts that a large region's documents are dealt to in each.
+#: Rounds of that, and parts that the holders of a frequent shingle are dealt to.
 ROUNDS = 6
 PARTS = 64
 #: Shingles of over so many of a thousand of about this many sampled documents are frequent: at most so many
@@ -243,8 +243,9 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 def shrink_regions(rows: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
     """Links of large regions' balls, and what is left of the regions (pivot, band, part, node, shingles).
 
-    ``rows`` has pivot, node and shingles, each document of a region once. In a round every
-    region's document is measured against its centre; those within the radius are linked to it.
+    ``rows`` has pivot, node and shingles; a region's pivot is one of its documents and the first
+    centre. In a round every region's document is measured against its centre; those within the
+    radius are linked to it.
     Ball members that no document of the shell can link with leave. One round is enough for most
     regions; from those that stay large, documents without partners leave, and rounds go on.
     Regions still large after the last round are cut into bands of set size, each holding the
@@ -256,27 +257,30 @@ def shrink_regions(rows: DataFrame, percent: int) -> tuple[list[DataFrame], Data
     ready: list[DataFrame] = []
     shape = ["pivot", "band", "part", "node", "shingles"]
     whole = F.lit(0).cast("long").alias("part")
-    centered = lambda df: df.join(df.groupBy("pivot").agg(F.min("node").alias("center")), "pivot")
-    now = centered(rows.select("pivot", "node", "shingles"))
+    now = rows.select("pivot", F.col("pivot").alias("center"), "node", "shingles")
     n, m = F.octet_length("shingles") / 8, F.octet_length("center_shingles") / 8
     for k in range(ROUNDS):
-        centers = now.filter("node = center").select("pivot", F.col("shingles").alias("center_shingles"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-        met = now.withColumn("part", F.pmod(F.xxhash64("node", F.lit(13)), F.lit(PARTS)).cast("int")).join(centers.hint("shuffle_hash"), ["pivot", "part"])
+        # What has a row for each region is written first, so that Spark sends it to all tasks where
+        # its size allows, and else joins by region, parting hot ones.
+        centers = stored(now.filter("node = center").select("pivot", F.col("shingles").alias("center_shingles")).dropDuplicates(["pivot"]), "centers")
+        met = now.join(centers, "pivot")
         met = met.withColumn("shared", _shared(F.col("shingles"), F.col("center_shingles"))).withColumn("union", (n + m - F.col("shared")).cast("long"))
         near, far = F.col("shared") * 100 >= F.col("union") * percent, 1 - F.col("shared") / F.col("union")
         met = stored(met.select("pivot", "center", "node", "shingles", near.alias("near"), far.alias("far")), "measured")
         links.append(met.filter("near and node <> center").select(F.col("node").alias("u"), F.col("center").alias("v")))
         rest = met.filter("not near").groupBy("pivot").agg(F.min("node").alias("next"), F.min(F.when(F.col("far") <= 2 * radius + 1e-9, F.col("far"))).alias("shell"))
-        kept = met.join(rest, "pivot").filter(~F.col("near") | (F.col("far") >= F.col("shell") - radius - 1e-9))
+        kept = met.join(stored(rest, "rest"), "pivot").filter(~F.col("near") | (F.col("far") >= F.col("shell") - radius - 1e-9))
         kept = stored(kept.select("pivot", F.col("next").alias("center"), "node", "shingles"), "kept")
         size = kept.groupBy("pivot").agg(F.sum(F.octet_length("shingles") / 8).alias("size"))
-        large = size.filter(F.col("size") > LARGE_REGION).select("pivot")
+        large = stored(size.filter(F.col("size") > LARGE_REGION).select("pivot"), "large")
         ready.append(kept.join(large, "pivot", "left_anti").select("pivot", F.lit(-1).alias("band"), whole, "node", "shingles"))
         now = kept.join(large, "pivot", "left_semi")
         if not large.head(1):
             break
         if not k:
-            now = centered(stored(without_lone(now.drop("center"), ["pivot"], percent), "linked"))
+            now = without_lone(now, ["pivot"], percent).drop("center")
+            now = stored(now, "linked")
+            now = now.join(stored(now.groupBy("pivot").agg(F.min("node").alias("center")), "first"), "pivot")
     else:
         band = F.floor(F.log(F.octet_length("shingles") / 8) / float(np.log(100 / percent)) + 1e-9).cast("int")
         now = now.select("pivot", F.explode(F.array(band, band + 1)).alias("band"), "node", "shingles")
@@ -340,9 +344,9 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     sets = sets.mapInArrow(_region_sets(n), "node long, regions array<long>, shingles binary")
     sets = sets.select(F.explode("regions").alias("pivot"), F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"), "node", "shingles")
     links = []
-    large = met.groupBy("pivot").agg(F.sum("n").alias("size")).filter(F.col("size") > min(DEALT_REGION, LARGE_REGION)).select("pivot")
+    large = stored(met.groupBy("pivot").agg(F.sum("n").alias("size")).filter(F.col("size") > min(DEALT_REGION, LARGE_REGION)).select("pivot"), "large")
     if large.head(1):
-        sets = stored(sets.dropDuplicates(["pivot", "node"]), "sets")
+        sets = stored(sets, "sets")
         links, rest = shrink_regions(sets.join(large, "pivot", "left_semi"), percent)
         sets = sets.join(large, "pivot", "left_anti").unionByName(rest)
 
