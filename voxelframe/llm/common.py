@@ -34,17 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut and lost executors cost nothing.
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A folder of the shared one that nothing else uses."""
+    return f"{shared_dir(spark)}/voxelframe/{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame, name: str, *parts: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by ``parts``, and read it again: lineage is cut and lost executors cost nothing.
 
     Parquet rather than ``checkpoint()``, so that later readers take only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxelframe/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    path = path or fresh_dir(spark, name)
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` wrote to ``path``; nothing may read it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column's decimal text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

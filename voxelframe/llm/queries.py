@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelframe.llm import chat, decontam, jaccard, lattice, license, piece, shard, toxicity, vptree, wordpiece
+from voxelframe.llm import chat, decontam, exponion, jaccard, lattice, lexical, license, piece, shard, streamdedup, toxicity, vptree, wordpiece
 from voxelframe.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -61,6 +61,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64, seed=2)
+
+
+def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamdedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
@@ -72,6 +84,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_exponion": op11_exponion,
+    "op12_stream_dedup": op12_stream_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 #: All pairs that share a shingle, then the smallest document reached from each by links.
 JACCARD_SQL = r"""
@@ -110,4 +125,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": JACCARD_SQL,
     "op7_chat_format": CHAT_SQL,
     "op8_license_scan": license.oracle_sql(),
+    "op11_exponion": exponion.oracle_sql(),
+    "op12_stream_dedup": streamdedup.ORACLE_SQL,
+    "op13_lexical_search": lexical.ORACLE_SQL,
 }
