@@ -31,6 +31,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Many small partitions would each reserve disk for logs.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 LOCATOR = "struct<doc_id:bigint,file:string,row:bigint>"
 ARRIVAL = f"digest string, at {LOCATOR}"
