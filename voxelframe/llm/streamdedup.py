@@ -31,8 +31,9 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    # Many small partitions would each reserve disk for logs.
+    # Many small partitions would each reserve disk for logs, and an eighth of a write buffer of memory.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
 }
 LOCATOR = "struct<doc_id:bigint,file:string,row:bigint>"
 ARRIVAL = f"digest string, at {LOCATOR}"
