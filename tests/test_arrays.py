@@ -1,6 +1,10 @@
 """Array operators against NumPy, on small random arrays."""
 
+import time
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -156,10 +160,155 @@ def test_chunks_pool_as_cells_do(spark, h, w, method, seed):
     assert (C.dense(A.to_cells(doubled, chunk), sizes) == a * 2).all()
 
 
-def test_chunks_must_hold_whole_blocks(spark):
-    chunks = A.to_chunks(frame(spark, np.ones((6, 6), dtype=int), "yx"), {"y": 6, "x": 6}, {"y": 3, "x": 6})
+@FEW
+@given(st.integers(1, 13), st.integers(1, 12), st.integers(1, 5), st.integers(1, 7), st.integers(1, 4), st.integers(1, 3), st.sampled_from([*sorted(EXPECTED), "stride"]), st.integers(0, 99))
+def test_blocks_over_chunk_borders_pool_as_cells_do(spark, h, w, cy, cx, fy, fx, method, seed):
+    a = np.random.default_rng(seed).integers(-2, 3, (h, w))
+    a[: h // 2] = 0  # chunks that aren't held
+    sizes, chunk = {"y": h, "x": w}, {"y": cy, "x": cx}
+    size = {"y": -(-h // fy), "x": -(-w // fx)}
+    pooled = K.pool_chunks(A.to_chunks(frame(spark, a, "yx"), sizes, chunk), chunk, {"y": fy, "x": fx}, sizes, method)
+    want = a[::fy, ::fx] if method == "stride" else EXPECTED[method](padded_blocks(a, fy, fx))
+    assert (C.dense(A.to_cells(pooled, chunk), size) == want).all()
+
+
+def test_shared_blocks_with_nan(spark):
+    a = np.array([[1.0, 2.0, np.nan, 4.0, 5.0, 6.0, 0.0]])
+    sizes, chunk = {"y": 1, "x": 7}, {"y": 1, "x": 3}
+    out = C.dense(A.to_cells(K.pool_chunks(A.to_chunks(frame(spark, a, "yx"), sizes, chunk), chunk, {"x": 2}, sizes), chunk), {"y": 1, "x": 4})
+    assert np.isnan(out[0, 1]) and out[0, [0, 2, 3]].tolist() == [1.5, 5.5, 0.0]
+
+
+@FEW
+@given(st.tuples(*[st.integers(1, 7)] * 3), st.tuples(*[st.integers(1, 4)] * 3), st.tuples(*[st.integers(1, 9)] * 3), st.integers(0, 99))
+def test_rechunking_keeps_every_cell(spark, shape, old, new, seed):
+    a = np.random.default_rng(seed).integers(0, 3, shape)
+    sizes, chunk, to = (dict(zip("zyx", x, strict=True)) for x in (shape, old, new))
+    out = K.rechunk(A.to_chunks(frame(spark, a, "zyx"), sizes, chunk), chunk, to, sizes)
+    assert (C.dense(A.to_cells(out, to), sizes) == a).all()
+    for r in out.collect():
+        assert r["shape"] == K.extents([r["z_chunk"], r["y_chunk"], r["x_chunk"]], new, shape)
+
+
+def planes(spark, shape):
+    """One chunk row for each plane of a ramp of 16-bit numbers."""
+    (z, y, x), axes = shape, ("t", "c", "z", "y", "x")
+
+    def ramp(batches):
+        for pdf in batches:
+            for k in pdf["id"]:
+                values = (np.arange(y * x, dtype=np.int64) + k * y * x).astype(np.uint16).astype(np.int32)
+                yield pd.DataFrame({**{f"{a}_chunk": [k if a == "z" else 0] for a in axes}, "shape": [[1, 1, 1, y, x]], "values": [values]})
+
+    schema = ", ".join(f"{a}_chunk long" for a in axes) + ", shape array<int>, values array<int>"
+    return spark.range(z).mapInPandas(ramp, schema), dict(zip(axes, (1, 1, 1, y, x), strict=True)), dict(zip(axes, (1, 1, z, y, x), strict=True))
+
+
+@pytest.mark.parametrize(("shape", "depth"), [((50, 512, 512), 50), ((50, 512, 512), 32), ((1187, 64, 64), 512)])
+def test_planes_become_volumes(spark, shape, depth):
+    chunks, chunk, sizes = planes(spark, shape)
+    to = sizes | {"z": depth}
+    plane = shape[1] * shape[2]
+
+    def digest(batches):
+        for batch in batches:
+            rows = [(k, s[2], bool((v == (np.arange(len(v), dtype=np.int64) + k * depth * plane).astype(np.uint16)).all())) for k, s, v in zip(batch["z_chunk"].to_pylist(), batch["shape"].to_pylist(), K.rows_of(batch["values"]), strict=True)]
+            yield pa.RecordBatch.from_pylist([{"z": z, "n": n, "same": same} for z, n, same in rows], pa.schema([("z", pa.int64()), ("n", pa.int32()), ("same", pa.bool_())]))
+
+    got = K.rechunk(chunks, chunk, to, sizes).mapInArrow(digest, "z long, n int, same boolean").collect()
+    assert {(r["z"], r["n"], r["same"]) for r in got} == {(k, min(depth, shape[0] - k * depth), True) for k in range(-(-shape[0] // depth))}
+
+
+def test_writing_a_chunk_takes_time_in_proportion_to_its_cells(spark):
+    def seconds(z):
+        sizes = {"z": z, "y": 256, "x": 256}
+        cells = C.grid(spark, sizes).withColumn("value", (F.col("z") * 7 + F.col("y") * 3 + F.col("x") + 1).cast("int"))
+        began = time.perf_counter()
+        row = A.to_chunks(cells, sizes, {"z": 16, "y": 256, "x": 256}).select("shape", F.size("values").alias("n"), F.col("values")[70_000].alias("v")).collect()
+        assert len(row) == 1 and row[0]["n"] == z * 65536 and row[0]["v"] == 7 + 3 * (4464 // 256) + 4464 % 256 + 1
+        return time.perf_counter() - began
+
+    seconds(2)
+    few, many = seconds(2), seconds(16)
+    assert many < 30 and many < 16 * max(few, 0.5)
+
+
+def test_chunks_refuse_cells_outside_and_twice(spark):
+    sizes, chunk = {"y": 2, "x": 2}, {"y": 2, "x": 1}
+    for bad in ([(0, 2, 1)], [(-1, 0, 1)], [(0, 0, 1), (0, 0, 2)]):
+        with pytest.raises(Exception, match="outside|twice"):
+            A.to_chunks(spark.createDataFrame(bad, "y long, x long, value long"), sizes, chunk).collect()
+    some = spark.createDataFrame([(0, 0, None), (1, 1, 2.5)], "y long, x long, value double")
+    assert [r["values"] for r in A.to_chunks(some, sizes, chunk, fill=0.5).collect()] == [[0.5, 2.5]]
+    words = spark.createDataFrame([(1, 0, "b")], "y long, x long, value string")
+    assert [r["values"] for r in A.to_chunks(words, sizes, chunk, fill="-").collect()] == [["-", "b"]]
+    assert A.to_chunks(some.limit(0), sizes, chunk).collect() == []
+
+
+def test_rows_become_chunks_with_any_fill(spark):
+    rows = spark.createDataFrame([(0, [1.5, 2.5, 9.0]), (2, [4.0]), (2, [4.0]), (3, None), (7, [1.0]), (1, [])], "r long, a array<double>")
+    sizes, chunk = {"y": 4, "x": 2}, {"y": 2, "x": 2}
+    out = K.from_rows(rows, "r", "a", lambda v: v, chunk, sizes, 0.5)
+    assert C.dense(A.to_cells(out, chunk), sizes, 0.5).tolist() == [[1.5, 2.5], [0.5, 0.5], [4.0, 0.5], [0.5, 0.5]]
+
+
+@FEW
+@given(st.integers(-8, 8), st.integers(-8, 12), st.integers(1, 3), st.lists(st.integers(-6, 5), max_size=7), st.integers(1, 9), st.integers(1, 7))
+def test_selection_of_chunks_is_numpys(spark, start, stop, step, picks, cy, cx):
+    a = np.arange(1, 49).reshape(8, 6)
+    sizes, chunk = {"y": 8, "x": 6}, {"y": cy, "x": cx}
+    held = A.to_chunks(frame(spark, a, "yx"), sizes, chunk)
+    out, goal, size = K.select(held, chunk, sizes, y=slice(start, stop, step), x=picks)
+    want = a[start:stop:step][:, picks]
+    assert size == {"y": want.shape[0], "x": want.shape[1]}
+    assert (C.dense(A.to_cells(out, goal), size) == want).all() if want.size else out.count() == 0
+
+
+def test_a_chunk_selection_drops_axes_and_refuses_what_is_outside(spark):
+    a = np.arange(1, 25).reshape(2, 3, 4)
+    sizes, chunk = {"t": 2, "y": 3, "x": 4}, {"t": 1, "y": 2, "x": 3}
+    held = A.to_chunks(frame(spark, a, "tyx"), sizes, chunk)
+    out, goal, size = K.select(held, chunk, sizes, t=-1, x=[3, 0, 3])
+    assert (C.dense(A.to_cells(out, goal), size) == a[-1][:, [3, 0, 3]]).all()
+    for bad in ({"t": 2}, {"y": [0, -4]}, {"t": 0, "y": 0, "x": 0}):
+        with pytest.raises((IndexError, ValueError)):
+            K.select(held, chunk, sizes, **bad)
+
+
+def test_selection_and_emptiness_reach_the_scan(spark, tmp_path):
+    a = np.zeros((8, 8), dtype=int)
+    a[2:4, 4:] = [[0, 5, 0, -1], [0, 0, 3, 0]]
+    a[6:, :4] = 9
+    sizes, chunk, path = {"y": 8, "x": 8}, {"y": 2, "x": 4}, str(tmp_path / "a")
+    A.write(K.with_range(A.to_chunks(frame(spark, a, "yx"), sizes, chunk, fill=-7)), path)
+    held = spark.read.parquet(path)
+    assert held.count() == 8 and K.not_empty(held).count() == 2
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = K.not_empty(K.touched(held, chunk, sizes, y=[2, 7, 3], x=slice(4, 8)))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "In(y_chunk, [1,3])" in pushed and "GreaterThanOrEqual(x_chunk,1)" in pushed
+    assert "LessThan(low,0)" in pushed and "GreaterThan(high,0)" in pushed
+    out, goal, size = K.select(K.not_empty(held), chunk, sizes, y=[7, 2, 3], x=slice(2, 7))
+    assert (C.dense(A.to_cells(out, goal), size) == a[[7, 2, 3], 2:7]).all()
+
+
+def test_empty_blocks_are_told_by_ranges(spark):
+    nan = float("nan")
+    a = np.zeros((5, 2, 1, 4))
+    a[0] = 1  # full
+    a[1, 0] = 1  # channel 1 is all zero, and not held
+    a[2, 0], a[2, 1] = 1, nan  # channel 1 is all NaN
+    a[3, 0], a[3, 1, 0] = 2, [nan, nan, 0, 0]  # NaN in one chunk, zeros in one that isn't held
+    a[4, 0], a[4, 1, 0] = [0, 0, 0, 3], [nan, 0, -1, 0]
+    sizes, chunk = dict(zip("tcyx", a.shape, strict=True)), {"t": 1, "c": 1, "y": 1, "x": 2}
+    held = A.to_chunks(frame(spark, a, "tcyx"), sizes, chunk)
+    kept = K.drop_empty(K.with_range(held), chunk, sizes, ["t"], "c")
+    assert {r["t_chunk"] for r in kept.collect()} == {0, 3, 4}
+    same = C.drop_empty(frame(spark, a, "tcyx"), ["t"], "c")
+    assert {r["t"] for r in same.collect()} == {0, 3, 4}
     with pytest.raises(ValueError):
-        K.pool_chunks(chunks, {"y": 3, "x": 6}, {"y": 2}, {"y": 6, "x": 6})
+        K.drop_empty(K.with_range(held), chunk | {"c": 2}, sizes, ["t"], "c")
 
 
 def test_stored_chunks_are_pruned(spark, tmp_path):

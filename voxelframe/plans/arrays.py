@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions import names
 from voxelframe.operators import cells as C
-from voxelframe.operators import chunks, coords, images, pool, volumes
+from voxelframe.operators import chunks, coords, images, pool, units, volumes
 from voxelframe.plans.inputs import IMAGE_SQL, MOVIE_SQL, channels, image, image_sizes, movie, movie_sizes, table
 from voxelframe.plans.registry import query
 from voxelframe.sources import arrays
+from voxelframe.sources.scratch import fresh_dir
 
 # -- pooling --------------------------------------------------------------------------------
 
@@ -115,10 +116,10 @@ def pyramid_chunks(spark, d):
     return C.fill_missing(arrays.to_cells(pooled, chunk), {a: -(-n // 2) for a, n in sizes.items()})
 
 
-def _image_chunks(spark, d, chunk):
+def _image_chunks(spark, d, chunk, shard=None):
     sizes = image_sizes(spark, d)
     cell = lambda v: (v.cast("double") * 1000).cast("long")
-    return chunks.from_rows(table(spark, d, "embeddings"), "vec_id", "embedding", cell, chunk, sizes), sizes
+    return chunks.from_rows(table(spark, d, "embeddings"), "vec_id", "embedding", cell, chunk, sizes, shard=shard), sizes
 
 
 @query("image_chunks", f"WITH {IMAGE_SQL} SELECT y, x, value FROM E")
@@ -151,6 +152,49 @@ def map_chunks(spark, d):
     return arrays.to_cells(chunks.map_chunks(held, lambda a: a * 2 + 1, {"x": [0, 1]}, done), chunk)
 
 
+@query("rechunk", f"WITH {IMAGE_SQL} SELECT y, x, value FROM E")
+def rechunk(spark, d):
+    """The image in chunks that don't divide the old ones, by slices of chunks."""
+    held, sizes = _image_chunks(spark, d, {"y": 100, "x": 24})
+    to = {"y": 64, "x": 40}
+    return C.fill_missing(arrays.to_cells(chunks.rechunk(held, {"y": 100, "x": 24}, to, sizes), to), sizes)
+
+
+for _method in ("mean", "median", "min", "max", "mode"):
+
+    def _shared(spark, d, method=_method):
+        """Blocks of 7 by 5 from chunks of 30 by 12: nearly every chunk shares blocks with its neighbours."""
+        chunk = {"y": 30, "x": 12}
+        held, sizes = _image_chunks(spark, d, chunk)
+        pooled = chunks.pool_chunks(held, chunk, {"y": 7, "x": 5}, sizes, method)
+        return C.fill_missing(arrays.to_cells(pooled, chunk), {"y": -(-sizes["y"] // 7), "x": -(-sizes["x"] // 5)})
+
+    query(f"pool_{_method}_chunk_borders", _pooled_sql(_method, 7, 5))(_shared)
+
+
+@query(
+    "chunk_selection",
+    f"WITH {IMAGE_SQL} SELECT CAST(a.o AS BIGINT) AS y, (x - 10) // 3 AS x, value FROM E JOIN (VALUES (0, 150), (1, 7), (2, 33), (3, 7)) a(o, i) ON y = a.i WHERE x >= 10 AND (x - 10) % 3 = 0",
+)
+def chunk_selection(spark, d):
+    """An orthogonal selection that reads chosen chunks alone, of a stored array."""
+    chunk, store = {"y": 20, "x": 24}, fresh_dir(spark, "image.zarr")
+    held, sizes = _image_chunks(spark, d, chunk, {"y": 2000, "x": 72})
+    arrays.write(chunks.with_range(held), store)
+    out, goal, size = chunks.select(spark.read.parquet(store), chunk, sizes, y=[150, 7, 33, 7], x=slice(10, None, 3))
+    return C.fill_missing(arrays.to_cells(out, goal), size)
+
+
+@query("skip_empty_chunks", f"WITH {IMAGE_SQL}, B AS (SELECT y // 20 AS cy, x // 4 AS cx, min(value) AS low, max(value) AS high FROM E GROUP BY 1, 2) SELECT cy, cx, low, high FROM B WHERE high > 370 OR low < -370")
+def skip_empty_chunks(spark, d):
+    """Chunks by the ranges stored with them: no cell is opened for those without a large value."""
+    chunk, store = {"y": 20, "x": 4}, fresh_dir(spark, "image.zarr")
+    held, _ = _image_chunks(spark, d, chunk, {"y": 2000, "x": 64})
+    arrays.write(chunks.with_range(held), store)
+    large = chunks.not_empty(spark.read.parquet(store)).filter("high > 370 or low < -370")
+    return large.select(F.col("y_chunk").alias("cy"), F.col("x_chunk").alias("cx"), "low", "high")
+
+
 # -- selection ------------------------------------------------------------------------------
 
 
@@ -412,6 +456,27 @@ def process_positions(spark, d):
     return volumes.process_positions(blocks, scaled, ["t"], {"y": 50, "x": image_sizes(spark, d)["x"]}, {"t": [(0, 1), (2, 0), (1, 5)]}, done)
 
 
+@query("process_units", f"WITH {IMAGE_SQL} SELECT r AS run, o AS t, y % 50 AS y, x, value * 3 + i AS value FROM E JOIN (VALUES (0, 1, 1), (2, 0, 1), (1, 5, 2)) P(i, o, r) ON y // 50 = i")
+def process_units(spark, d):
+    """Blocks of rows as times of a position: two are written by a first run, and a second that is to write three makes the third."""
+    sizes, chunk = image_sizes(spark, d), {"t": 1, "c": 1, "z": 1, "y": 50, "x": 24}
+    whole = {"y": -(-sizes["y"] // 50) * 50, "x": sizes["x"]}
+    cell = lambda v: (v.cast("double") * 1000).cast("long")
+    held = chunks.from_rows(table(spark, d, "embeddings"), "vec_id", "embedding", cell, {"y": 50, "x": 24}, whole)
+    one = F.lit(0).cast("long")
+    source = held.select(F.lit("A/1/0").alias("position"), F.col("y_chunk").alias("t_chunk"), one.alias("c_chunk"), one.alias("z_chunk"), one.alias("y_chunk"), "x_chunk", F.concat(F.array_repeat(F.lit(1), 3), "shape").alias("shape"), "values")
+    size = {"t": whole["y"] // 50, "c": 1, "z": 1, "y": 50, "x": sizes["x"]}
+    store, pairs = fresh_dir(spark, "mapped"), [(0, 1), (2, 0), (1, 5)]
+    scaled = lambda volume, input_time_index: volume * 3 + input_time_index
+    for some in (pairs[:2], pairs):
+        units.process(source, store, scaled, chunk, size, times=some, out_sizes=size | {"t": max(6, size["t"])}, resume=True)
+    made = units.read(spark, store)
+    cells = arrays.to_cells(made, chunk).join(made.select(F.col("t_chunk").alias("t"), "run").distinct(), "t")
+    # Rows beyond the image's last were padded to whole blocks.
+    inside = F.when(F.col("t") == 1, 0).when(F.col("t") == 0, 100).otherwise(50) + F.col("y") < sizes["y"]
+    return cells.filter(inside).select("run", "t", "y", "x", "value")
+
+
 @query(
     "create_zeros",
     "WITH G AS (SELECT label AS image, count(*) AS n FROM embeddings GROUP BY 1) SELECT image, CAST(0 AS BIGINT) AS level, n AS height, CAST(64 AS BIGINT) AS width, 1.0::DOUBLE AS scale FROM G"

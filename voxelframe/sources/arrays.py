@@ -6,31 +6,67 @@ partitioned by shard, so a selection reads only the folders and row groups it to
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelframe.operators.chunks import element, extents, lists, shard_name
+
 
 def to_chunks(cells: DataFrame, sizes: Mapping[str, int], chunk: Mapping[str, int], shard: Mapping[str, int] | None = None, fill=0) -> DataFrame:
-    """Cells as chunk rows: ``<axis>_chunk``, ``shard``, ``shape``, ``values``. Chunks of the fill value alone aren't kept."""
+    """Cells as chunk rows: ``<axis>_chunk``, ``shard``, ``shape``, ``values``. Chunks of the fill value alone aren't kept.
+
+    A cell outside the array, or one given twice, is an error; null reads as the fill value.
+    Cells are gathered by chunk in each Arrow batch, so that what is shuffled is a row for each
+    batch and chunk, and are put to their places in one step: time is linear in cells.
+    """
     axes = list(sizes)
-    index = [F.floor(F.col(a) / chunk[a]).cast("long").alias(f"{a}_chunk") for a in axes]
-    place = F.lit(0).cast("long")
-    for a in axes:
-        extent = F.least(F.lit(chunk[a]), F.lit(sizes[a]) - F.floor(F.col(a) / chunk[a]) * chunk[a])
-        place = place * extent + F.col(a) % chunk[a]
-    rows = cells.select(*index, place.cast("int").alias("place"), "value")
+    width, size = [chunk[a] for a in axes], [sizes[a] for a in axes]
     keys = [f"{a}_chunk" for a in axes]
-    # A chunk is bounded by its shape, so its cells may meet in one row.
-    held = rows.filter(F.col("value") != fill).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("held"))
-    extents = F.array(*[F.least(F.lit(chunk[a]), F.lit(sizes[a]) - F.col(f"{a}_chunk") * chunk[a]).cast("int") for a in axes])
-    count = F.aggregate("shape", F.lit(1), lambda a, x: a * x)
-    kind = cells.schema["value"].dataType
-    values = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(fill).cast(kind)))
-    parts = shard or chunk
-    name = F.concat_ws("_", *[F.floor(F.col(f"{a}_chunk") * chunk[a] / parts[a]).cast("long").cast("string") for a in axes])
-    return held.withColumn("shape", extents).select(*keys, name.alias("shard"), "shape", values.alias("values"))
+    held = cells.filter(F.col("value") != fill)
+    kind, arrow = element(held.select(F.array("value").alias("values")))
+    index = ", ".join(f"{k} long" for k in keys)
+    counts = [-(-n // w) for n, w in zip(size, width, strict=True)]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number, place = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for a, w, n, c in zip(axes, width, size, counts, strict=True):
+                at = np.asarray(batch.column(a))
+                if at.min() < 0 or at.max() >= n:
+                    raise ValueError(f"a cell outside axis {a} of size {n}")
+                number = number * c + at // w
+                place = place * np.minimum(w, n - at // w * w) + at % w
+            order = np.argsort(number, kind="stable")
+            own, first = np.unique(number[order], return_index=True)
+            ends = pa.array(np.append(first, batch.num_rows).astype(np.int32))
+            at = np.unravel_index(own, counts)
+            values = pa.ListArray.from_arrays(ends, batch.column("value").take(pa.array(order)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in at), pa.ListArray.from_arrays(ends, pa.array(place[order].astype(np.int32))), values], [*keys, "places", "values"])
+
+    def scatter(key: tuple, table: pa.Table) -> pa.Table:
+        at = [k.as_py() for k in key]
+        shape = extents(at, width, size)
+        place = np.asarray(table["places"].combine_chunks().flatten())
+        values = table["values"].combine_chunks().flatten()
+        source = np.full(int(np.prod(shape)), -1, dtype=np.int64)
+        source[place] = np.arange(len(place))
+        if np.count_nonzero(source >= 0) < len(place):
+            raise ValueError(f"a cell of chunk {at} is given twice")
+        dense = pc.fill_null(values.take(pa.array(source, mask=source < 0)), pa.scalar(fill).cast(values.type))
+        whole = pa.ListArray.from_arrays(pa.array([0, len(dense)], pa.int32()), dense)
+        return pa.table([*(pa.array([k], pa.int64()) for k in at), lists([np.array(shape)], pa.int32()), whole], [*keys, "shape", "values"])
+
+    gathered = held.select(*axes, "value").mapInArrow(gather, f"{index}, places array<int>, values array<{kind}>")
+    # A chunk is bounded by its shape, so its cells may meet in one task.
+    made = gathered.groupBy(*keys).applyInArrow(scatter, f"{index}, shape array<int>, values array<{kind}>")
+    return made.select(*keys, shard_name(keys, {a: chunk[a] for a in axes}, shard).alias("shard"), "shape", "values")
 
 
 def to_cells(chunks: DataFrame, chunk: Mapping[str, int]) -> DataFrame:
