@@ -595,6 +595,40 @@ def test_lattice_scores(spark):
     assert one["train_tokens"] == 0 and one["base_score"] == 0 and one["score"] < 0
 
 
+@pytest.mark.parametrize("hot", [150_000, 0])
+def test_lattice_tells_texts_apart_whatever_their_ids(spark, hot):
+    import xxhash
+
+    seen, pair = {}, None
+    while pair is None:  # two texts of one 32-bit hash
+        text = f"t{len(seen)} w"
+        mark = xxhash.xxh32_intdigest(text.encode())
+        pair = (seen[mark], text + "") if mark in seen else None
+        seen[mark] = text
+    texts = ["a b", "a b c d e", "a b", None, "", "c " * 40, *pair, pair[1] + " more of it"]
+    learn = [k for k in range(400) if zlib.crc32(str(k).encode()) % 10]
+    want = sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in lattice.score(documents(spark, list(zip(learn, texts, strict=False))), MODEL, hot_words=hot).collect())
+    for ids in ([None] * len(texts), [learn[0]] * len(texts), [None, None, learn[1]] * 3):
+        got = lattice.score(documents(spark, list(zip(ids, texts, strict=True))).repartition(3), MODEL, hot_words=hot).collect()
+        assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in got) == want
+        assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(ids)
+
+
+@pytest.mark.parametrize("refits", [0, 1])
+def test_lattice_weights_are_the_scores_unless_refits_are_asked_for(spark, refits):
+    rows = [(k, t) for k, t in zip([k for k in range(400) if zlib.crc32(str(k).encode()) % 10], ["on the onthing", "the mat"], strict=False)]
+    own, n, types, d = lattice.Lattice(piece.PieceModel(MODEL)), 7, 5, 0.5
+    count = {b"on": 1, b"the": 2, b"onthing": 1, b"mat": 1}
+    d = min(0.9, max(0.1, 3 / (3 + 2 * 1)))
+    if refits:
+        own.set_weights(own.by_score * lattice.PRIOR + own.expected(list(count), np.ones(4)))
+    words = dict(zip(count, np.exp(own.log_probability(list(count))), strict=True))
+    got = {r["doc_id"]: r["score"] for r in lattice.score(documents(spark, rows), MODEL, refits=refits).collect()}
+    for k, t in rows:
+        want = math.log10((2 - d) / n) + sum(math.log10((count[w] - d) / n + d * types / n * words[w]) for w in t.encode().split())
+        assert abs(got[k] - want) < 1e-7
+
+
 @pytest.mark.parametrize("hot", [0, 2000])
 def test_shards(spark, hot):
     rng = random.Random(hot)

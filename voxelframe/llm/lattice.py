@@ -5,10 +5,10 @@ vocabulary: a forward recursion in log space over the lattice of pieces, bytes i
 every word has a path. The first piece of a word is one of those that the vocabulary marks as a
 word's start; together, start and inner pieces have probability one, which makes the
 probabilities of all words sum to one. The vocabulary's own scores give the pieces' weights: in
-the public file they are merge ranks, and by Zipf's law a weight falls as one over its rank.
-Passes of expectation over the words seen in training move the weights from there, the scores
-standing as ``PRIOR`` words' worth of pieces beside what training expects. Each word counts once,
-as each hands the same discount to the lattice.
+the public file they are merge ranks, and by Zipf's law a weight falls as one over its rank. On
+request, passes of expectation over the words seen in training move the weights from there, the
+scores standing as ``PRIOR`` words' worth of pieces beside what training expects; each word counts
+once, as each hands the same discount to the lattice.
 
 A word seen in training is also one whole unit of the lattice: with discount D it has
 (c - D) / N on top of the segmentations' share, D * types / N.
@@ -22,7 +22,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,14 +274,16 @@ def _count(batches):
         yield flush()
 
 
-def score(docs: DataFrame, model: bytes, refits: int = 2, hot_words: int = HOT_WORDS) -> DataFrame:
+def score(docs: DataFrame, model: bytes, refits: int = 0, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Learns from rows whose crc32(doc_id) modulo 10 isn't 0 (a null doc_id learns too). Tokens are
     words and one end; null and empty texts have the end alone. ``score`` is the log10
     probability of the text: of its words, as above, and of its end, (c - D) / N like a word's.
-    Repeated rows count, and are scored, as often as they come. ``hot_words`` changes only the
-    way that scores reach texts, not what they are.
+    Every row is a text of its own, whatever its doc_id: repeated rows count, and are scored, as
+    often as they come. With ``refits`` weights are those of so many passes of expectation, not the
+    vocabulary's scores alone. ``hot_words`` changes only the way that scores reach texts, not
+    what they are.
     """
     spark = docs.sparkSession
     blob = spark.sparkContext.broadcast(model)  # some hundred KB
@@ -342,55 +343,54 @@ def score(docs: DataFrame, model: bytes, refits: int = 2, hot_words: int = HOT_W
         get = hot.value.get
         for batch in batches:
             for part in slices(batch):
-                ids, marks, words, times, tokens, known, base, log_p, head = [], [], [], [], [], [], [], [], []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                numbers = part.column("row").to_pylist()
+                rows, words, times, head = [], [], [], []
+                for number, text in zip(numbers, part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     own = Counter(split(text))
-                    mark = xxhash.xxh32_intdigest(text or b"")
                     n, k, b, s = end
                     n += own.total()
-                    rest = []
                     for w, c in own.items():
                         hit = get(w)
                         if hit is None:
-                            rest.append((w, c))
+                            rows.append(number)
+                            words.append(w)
+                            times.append(c)
                         else:
                             k += c * hit[0]
                             b += c * hit[1]
                             s += c * hit[2]
-                    head.append((doc, mark, n, k, b, s))
-                    ids += [doc] * len(rest)
-                    marks += [mark] * len(rest)
-                    words += [r[0] for r in rest]
-                    times += [r[1] for r in rest]
-                doc, mark, tokens, known, base, log_p = zip(*head, strict=True)
+                    head.append((n, k, b, s))
+                tokens, known, base, log_p = zip(*head, strict=True)
                 none, m = len(words), len(head)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*doc, *ids], pa.int64()),
-                        pa.array([*mark, *marks], pa.int64()),
-                        pa.array([b" %d %d" % (d or 0, x) for d, x in zip(doc, mark, strict=True)] + words, pa.binary()),
+                        pa.array(numbers + rows, pa.int64()),
+                        pa.concat_arrays([part.column("doc_id"), pa.nulls(none, pa.int64())]),
+                        # No word holds a space, so a text's own row meets none.
+                        pa.array([b" %d" % x for x in numbers] + words, pa.binary()),
                         pa.array([1] * m + times, pa.int32()),
                         *(pa.array([*x, *[None] * none], t) for x, t in ((tokens, pa.int64()), (known, pa.int64()), (base, pa.float64()), (log_p, pa.float64()))),
                     ],
-                    ["doc_id", "mark", "word", "times", "n_tokens", "n_known", "base", "log_p"],
+                    ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base", "log_p"],
                 )
 
-    rows = docs.select("doc_id", "text").mapInArrow(spread, "doc_id long, mark long, word binary, times int, n_tokens long, n_known long, base double, log_p double")
+    # Texts are told apart by a number, which stands once it is written with what they hold.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = stored(numbered.mapInArrow(spread, "row long, doc_id long, word binary, times int, n_tokens long, n_known long, base double, log_p double"), "texts")
     # A text's own row has a key that is no word, so it passes the join by itself, like any other key.
     met = rows.join(judged.select("word", "c", F.col("base").alias("word_base"), F.col("log_p").alias("word_log_p")), "word", "left")
-    total = met.groupBy("doc_id", "mark").agg(
-        F.count("n_tokens").alias("copies"),
+    one = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("n_known", F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
         F.sum(F.coalesce("base", F.col("word_base") * F.col("times"))).alias("base"),
         F.sum(F.coalesce("log_p", F.col("word_log_p") * F.col("times"))).alias("log_p"),
     )
-    one = total.select("doc_id", *((F.col(c) / F.col("copies")).alias(c) for c in ("n_tokens", "n_known", "base", "log_p")), F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return one.select(
         "doc_id",
         F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out"),
-        F.round("n_tokens").cast("long").alias("n_tokens"),
-        F.round("n_known").cast("long").alias("n_known"),
+        "n_tokens",
+        "n_known",
         F.lit(int(n)).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"),
         F.col("log_p").alias("score"),
