@@ -113,6 +113,23 @@ def test_tiles(spark):
         C.read_tile(e, 3, 0, (2, 4), sizes)
 
 
+def test_tiles_of_a_stack(spark):
+    a = np.arange(1, 109).reshape(2, 6, 9)
+    sizes = {"t": 2, "y": 6, "x": 9}
+    e = frame(spark, a, "tyx")
+    assert (C.dense(C.read_tile(e, 1, 1, (2, 4), sizes, t=-1), {"y": 2, "x": 4}) == a[1, 2:4, 4:8]).all()
+    out = a.copy()
+    out[1, 4:6, 0:4] = -1
+    assert (C.dense(C.write_tile(e, frame(spark, np.full((2, 4), -1), "yx"), 2, 0, (2, 4), sizes, t=1), sizes) == out).all()
+    with pytest.raises(IndexError):
+        C.write_tile(e, frame(spark, np.full((2, 4), -1), "yx"), 2, 0, (2, 4), sizes, t=2)
+    tiles = C.make_tiles(frame(spark, a[0], "yx"), (2, 3))
+    cells, size = C.join_tiles(tiles, (3, 3), (2, 3))
+    assert size == {"y": 6, "x": 9} and (C.dense(cells, size) == a[0]).all()
+    with pytest.raises(Exception, match="outside the grid"):
+        C.join_tiles(tiles, (3, 2), (2, 3))[0].collect()
+
+
 def test_missing_cells_read_as_fill(spark):
     e = spark.createDataFrame([(0, 1, 5), (1, 0, None)], "y long, x long, value long")
     assert C.dense(C.fill_missing(e, {"y": 2, "x": 2}, 7), {"y": 2, "x": 2}).tolist() == [[7, 5], [7, 7]]

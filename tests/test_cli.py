@@ -30,3 +30,18 @@ def test_rename_wells(spark, tmp_path):
     (tmp_path / "map.csv").write_text("B/03,D/4\n")
     cli.main(["rename-wells", str(tmp_path / "wells"), str(tmp_path / "map.csv"), str(tmp_path / "out")], spark)
     assert {r["path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"D/4", "C/1"}
+
+
+def test_plates_are_expanded_to_their_positions(spark, tmp_path):
+    from voxelframe import cli
+
+    plate = tmp_path / "plate.zarr"
+    for p in ("A/10/0", "A/2/0", "B/1/1", "B/1/0"):
+        (plate / p).mkdir(parents=True)
+        (plate / p / "image.json").write_text("{}")
+    names = [p.split("plate.zarr/")[1] for p in cli.expand(spark, [str(plate)])]
+    assert names == ["A/2/0", "A/10/0", "B/1/0", "B/1/1"]
+    one = str(plate / "B/1/0")
+    assert cli.expand(spark, [one, one + "/"]) == [one, one]
+    with pytest.raises(FileNotFoundError):
+        cli.expand(spark, [str(tmp_path / "none")])

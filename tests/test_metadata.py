@@ -32,6 +32,13 @@ def longs(*values):
         ("Pos-5-000", None),
         ("A-Site_0", None),
         ("", None),
+        ("A1_Site-0", None),
+        ("A1_Site_0", None),
+        ("Pos_5_000-005", None),
+        ("Pos-5_000_005", None),
+        ("1_Pos001", None),
+        ("1-Pos001-005", ("0", "1", "001000")),
+        ("1-Pos001x_5", ("0", "1", "001000")),
     ],
 )
 def test_well_labels(spark, label, want):
@@ -241,6 +248,74 @@ def test_sites_are_paired_by_their_order(spark):
     b = spark.createDataFrame([(-7 * k, f"f{k}") for k in range(49, -1, -1)], "j long, field string")
     out = {r["position"]: r["field"] for r in I.pair_sites(a, b, ["k"], ["j"]).collect()}
     assert out == {f"p{k}": f"f{49 - k}" for k in range(50)}
+    for few, many in ((a.limit(49), b), (a, b.limit(3))):
+        with pytest.raises(Exception, match="no partner"):
+            I.pair_sites(few, many, ["k"], ["j"]).collect()
+    assert I.pair_sites(a.limit(0), b.limit(0), ["k"], ["j"]).collect() == []
+
+
+def test_ordinals_of_many_rows(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("k"), (F.col("id") % 7).alias("other"))
+    got = windows.ordinals(rows.repartition(7), ["k"]).orderBy("k").select("ordinal").collect()
+    assert [r[0] for r in got] == list(range(20_000))
+
+
+def test_broken_lines_are_set_apart(spark):
+    from voxelframe.operators import images as I
+
+    lines = [(0, '{"a":1,"b":"x"}'), (1, '{"a":1,"b":'), (2, '{"a":"no"}'), (3, ""), (4, None), (5, "{}"), (6, '[1]'), (7, '{"a":null,"c":[1]}'), (0, '{"a":1,"b":"x"}')]
+    fine, broken = I.parted(spark.createDataFrame(lines, "k int, line string"), "line", "a long, b string")
+    assert sorted((r["k"], r["metadata"]["a"], r["metadata"]["b"]) for r in fine.collect()) == [(0, 1, "x"), (0, 1, "x"), (5, None, None), (7, None, None)]
+    assert sorted((r["k"], r["line"]) for r in broken.collect() if r["line"] is not None) == [(1, '{"a":1,"b":'), (2, '{"a":"no"}'), (3, ""), (6, "[1]")]
+    assert fine.count() + broken.count() == len(lines)
+
+
+def test_chunks_asked_for_by_sizes(spark):
+    def ask(sizes, shape, item=2, most=500_000_000):
+        return one(spark, shapes.chosen_chunk(longs(*sizes), longs(*shape), F.lit(item), most))[0]
+
+    got = ask((1, 1, 8, 600, 100), (5, 2, 4, 512, 512))
+    assert (got["chunk"], got["clamped"]) == ([1, 1, 4, 512, 100], [2, 3])
+    got = ask((1, 1, 1187, 256, 256), (1, 1, 1187, 256, 256), most=40_000_000)
+    assert got["chunk"] == [1, 1, 297, 256, 256] and got["clamped"] == [2]
+    with pytest.raises(Exception, match="five sizes"):
+        ask((1, 8, 8), (1, 1, 8, 8, 8))
+
+
+def test_axes_by_name_and_indices_by_request(spark):
+    axes = F.array(*[F.lit(a) for a in "TCZYX"])
+    assert [one(spark, shapes.axis_index(axes, F.lit(a)))[0] for a in ("t", "Z", "x")] == [0, 2, 4]
+    with pytest.raises(Exception, match="no such axis"):
+        one(spark, shapes.axis_index(axes, F.lit("q")))
+    none, no_list = F.lit(None).cast("long"), F.lit(None).cast("array<long>")
+    assert one(spark, shapes.as_indices(F.lit(3), no_list, none, none))[0] == [3]
+    assert one(spark, shapes.as_indices(none, longs(5, 0, 5), none, none))[0] == [5, 0, 5]
+    assert one(spark, shapes.as_indices(none, no_list, F.lit(2), F.lit(7), 2))[0] == [2, 4, 6]
+    fits = lambda a, b: not one(spark, shapes.shape_mismatch(longs(*a), longs(*b)))[0]
+    assert fits((1, 2), (1, 2)) and not fits((1, 2), (1, 3)) and not fits((1, 2), (1, 2, 1))
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_axes_are_written_and_read_with_the_table(spark, tmp_path, n):
+    from voxelframe.operators import coords
+
+    names_ = "tczyx"[-n:]
+    about = {a: {"kind": "channel"} if a == "c" else {"kind": "time", "unit": "second", "scale": 2.5} if a == "t" else {"unit": "micrometer", "scale": 0.25 * (k + 1), "translation": -1.5} for k, a in enumerate(names_)}
+    extra = {"by": "me", "nested": {"k": [1, 2.5, None, "é"]}}
+    cells = spark.createDataFrame([(*([k] * n), k * 10) for k in range(3)], ", ".join(f"{a} long" for a in names_) + ", value long")
+    coords.with_axes(cells, about, extra).write.parquet(str(tmp_path / "a"))
+    back = spark.read.parquet(str(tmp_path / "a"))
+    axes, attributes = coords.axes_of(back)
+    assert attributes == extra and list(axes) == list(names_)
+    for a in names_:
+        want = {"unit": None, "scale": 1.0, "translation": 0.0, "kind": "space"} | about[a]
+        assert axes[a] == want
+    row = coords.labelled(back.filter(F.col("x") == 2)).first()
+    assert all(row[f"{a}_coord"] == 2 * axes[a]["scale"] + axes[a]["translation"] for a in names_)
+    assert coords.axes_of(back.filter("x > 0").select("x", "value"))[0] == {"x": axes["x"]}
+    with pytest.raises(ValueError, match="no unit"):
+        coords.with_axes(cells, {"x": {"unit": "second"}})
+    assert coords.axes_of(cells) == ({}, {})
 
 
 def test_create_or_append(spark):

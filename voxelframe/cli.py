@@ -30,6 +30,27 @@ def write_meta(spark: SparkSession, store: str, meta: dict) -> None:
     out.close()
 
 
+def expand(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The stores that paths name: a store itself, or for a plate all its positions (row/column/field), in natural order.
+
+    A path that is neither raises.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    out = []
+    for path in paths:
+        path = path.rstrip("/")
+        files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(hadoop.Path(f"{path}/image.json")):
+            out.append(path)
+            continue
+        found = [f.getPath().getParent().toString() for f in files.globStatus(hadoop.Path(f"{path}/*/*/*/image.json")) or []]
+        if not found:
+            raise FileNotFoundError(f"{path} is neither a store nor a plate of stores")
+        natural = lambda p: [(x.isdigit(), int(x) if x.isdigit() else 0, x) for x in p.split("/")[-3:]]
+        out += sorted(found, key=natural)
+    return out
+
+
 def info(spark: SparkSession, store: str) -> str:
     meta = read_meta(spark, store)
     lines = [f"{store}: {len(meta['levels'])} level(s), chunk {meta['chunk']}, scale {meta['scale']}"]
@@ -98,7 +119,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         convert(spark, given.source, given.store, given.row, given.array, {"y": y, "x": x})
     elif given.command == "rename-wells":
         rename_wells(spark, given.wells, given.mapping, given.out)
-    for store in getattr(given, "stores", []):
+    for store in expand(spark, getattr(given, "stores", [])):
         if given.command == "info":
             print(info(spark, store))
         elif given.command == "compute-pyramid":

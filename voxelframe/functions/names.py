@@ -60,21 +60,25 @@ def display_window(channel: Column) -> Column:
 def well_label(label: Column) -> Column:
     """struct(row, column, field) of a plate acquisition's position label; null for labels of no known kind.
 
-    A label is parted at dashes and underscores. Its second part tells the kind: ``Site`` comes
-    after a row letter and a column number, a grid position ``Pos<n>`` after a column number; a
-    label that begins with ``Pos`` goes on with the column and two numbers. Where there are no
-    row letters the row is 0, and a field of two numbers is both of them, the second 000 if left out.
+    A label is parted at dashes and underscores, each of which has its place. The second part tells
+    the kind: ``-Site_`` comes after a row letter and a column number, a grid position ``-Pos<n>``
+    after a column number, ``_`` before a second number; a label that begins with ``Pos-`` goes on
+    with the column, ``-`` and two numbers with ``_`` between. Where there are no row letters the
+    row is 0, and a field of two numbers is both of them, the second 000 if left out.
     """
+    signs = F.regexp_replace(label, "[^-_]", "")
     parts = F.split(label, "[-_]")
     part = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)), F.lit(""))
     digits = lambda text: F.regexp_extract(text, "^[0-9]*", 0)
     made = lambda row, column, field: F.struct(row.alias("row"), column.alias("column"), field.alias("field"))
     number = lambda text: text.rlike("^[0-9]+$")
     letter, column = F.left(part(1), F.lit(1)), F.substr(part(1), F.lit(2))
-    site = (part(2) == "Site") & letter.between("A", "Z") & number(column) & (digits(part(3)) != "")
-    grid = F.startswith(part(2), F.lit("Pos")) & number(part(1)) & (digits(F.substr(part(2), F.lit(4))) != "")
-    stage = (part(1) == "Pos") & number(part(2)) & number(part(3)) & (digits(part(4)) != "")
-    second = F.coalesce(F.nullif(digits(part(3)), F.lit("")), F.lit("000"))
+    site = (part(2) == "Site") & letter.between("A", "Z") & number(column) & (digits(part(3)) != "") & F.startswith(signs, F.lit("-_"))
+    grid = F.startswith(part(2), F.lit("Pos")) & number(part(1)) & (digits(F.substr(part(2), F.lit(4))) != "") & F.startswith(signs, F.lit("-"))
+    stage = (part(1) == "Pos") & number(part(2)) & number(part(3)) & (digits(part(4)) != "") & F.startswith(signs, F.lit("--_"))
+    # A second number only goes on where the first one ended.
+    whole = part(2).rlike("^Pos[0-9]+$") & F.startswith(signs, F.lit("-_"))
+    second = F.when(whole & (digits(part(3)) != ""), digits(part(3))).otherwise("000")
     return (
         F.when(site, made(letter, column, digits(part(3))))
         .when(stage, made(F.lit("0"), part(2), F.concat(part(3), digits(part(4)))))
@@ -88,6 +92,16 @@ def normal_path(path: Column) -> Column:
     return F.when(~F.array_contains(parts, ".."), F.array_join(parts, "/"))
 
 
+def plane_key(key: Column) -> Column:
+    """A sort key of metadata keys: those with a dash come after all others."""
+    return F.struct(F.contains(key, F.lit("-")).alias("dashed"), key.alias("key"))
+
+
+def channel_name(name: Column, index: Column) -> Column:
+    """A channel's name, or its number where it has none."""
+    return F.coalesce(name, index.cast("string"))
+
+
 def valid_name(name: Column) -> Column:
     return name.rlike(r"^[\p{L}\p{N}]+$")
 

@@ -53,6 +53,21 @@ def default_shards(shape: Column, chunks: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(1).cast("long"), 2), F.slice(ratio, 3, 3))
 
 
+def chosen_chunk(sizes: Column, shape: Column, item: Column, most: int = MAX_CHUNK_BYTES) -> Column:
+    """struct(chunk, clamped) of a conversion asked for by sizes: Z halved until it fits the byte limit, all cut to the shape.
+
+    ``clamped`` lists the axes on which the chunk is smaller than asked for, to be warned of. Other
+    numbers of sizes than five raise.
+    """
+    refused = F.raise_error(F.concat(F.lit("chunks need five sizes: "), F.to_json(sizes))).cast("array<bigint>")
+    own = F.when(F.size(sizes) == 5, sizes.cast("array<bigint>")).otherwise(refused)
+    plane = F.try_element_at(own, F.lit(4)) * F.try_element_at(own, F.lit(5)) * item
+    z = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.try_element_at(own, F.lit(3)), lambda z, _: F.when((z > 1) & (z * plane > most), F.ceil(z / 2)).otherwise(z))
+    limited = clamp(F.transform(own, lambda c, k: F.when(k == 2, z).otherwise(c)), shape)
+    smaller = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: F.try_element_at(limited, k + 1) < F.try_element_at(own, k + 1))
+    return F.struct(limited.alias("chunk"), smaller.alias("clamped"))
+
+
 def requested_chunk(request: Column, shape: Column, item: Column) -> Column:
     """Chunks of a conversion: ``XY`` one plane, ``XYZ`` or nothing one volume within the byte limit; null for others."""
     volume = limited_chunk(shape, item)
@@ -78,3 +93,19 @@ def flat_index(indices: list[Column], sizes: list[int]) -> Column:
     for i, n in zip(indices, sizes, strict=True):
         out = out * n + i
     return out
+
+
+def axis_index(axes: Column, asked: Column) -> Column:
+    """The place of an axis in a list, whatever its case; one that isn't there raises."""
+    at = F.array_position(F.transform(axes, F.lower), F.lower(asked))
+    return F.when(at > 0, at - 1).otherwise(F.raise_error(F.concat(F.lit("no such axis: "), asked)).cast("long"))
+
+
+def as_indices(one: Column, listed: Column, start: Column, stop: Column, step: int = 1) -> Column:
+    """The indices that a request names: one number, else a list as it is, else a range."""
+    return F.coalesce(F.when(one.isNotNull(), F.array(one.cast("long"))), listed.cast("array<bigint>"), slice_indices(start.cast("long"), stop.cast("long"), step))
+
+
+def shape_mismatch(shape: Column, wanted: Column) -> Column:
+    """Whether data of a shape doesn't fit an array; a rank that differs never does."""
+    return (F.size(shape) != F.size(wanted)) | F.exists(F.arrays_zip(shape.alias("a"), wanted.alias("b")), lambda p: ~p["a"].eqNullSafe(p["b"]))

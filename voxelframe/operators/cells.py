@@ -122,14 +122,21 @@ def tile_region(row: int, column: int, tile: tuple[int, int], sizes: Mapping[str
     return (y >= row * tile[0]) & (y < (row + 1) * tile[0]) & (x >= column * tile[1]) & (x < (column + 1) * tile[1])
 
 
-def read_tile(cells: DataFrame, row: int, column: int, tile: tuple[int, int], sizes: Mapping[str, int]) -> DataFrame:
-    out = cells.filter(tile_region(row, column, tile, sizes))
+def read_tile(cells: DataFrame, row: int, column: int, tile: tuple[int, int], sizes: Mapping[str, int], **others: Index) -> DataFrame:
+    """The cells of one tile, numbered within it; ``others`` choose on the axes before it, as in ``select``."""
+    out = (select(cells, sizes, **others) if others else cells).filter(tile_region(row, column, tile, sizes))
     return out.withColumn("y", F.col("y") - row * tile[0]).withColumn("x", F.col("x") - column * tile[1])
 
 
-def write_tile(cells: DataFrame, data: DataFrame, row: int, column: int, tile: tuple[int, int], sizes: Mapping[str, int]) -> DataFrame:
+def write_tile(cells: DataFrame, data: DataFrame, row: int, column: int, tile: tuple[int, int], sizes: Mapping[str, int], **others: int) -> DataFrame:
+    """Cells with one tile replaced by ``data`` (y, x, value); ``others`` say where on the axes before it."""
     moved = data.withColumn("y", F.col("y") + row * tile[0]).withColumn("x", F.col("x") + column * tile[1])
-    return overwrite(cells, moved, ["y", "x"], tile_region(row, column, tile, sizes))
+    where = tile_region(row, column, tile, sizes)
+    for axis, k in others.items():
+        if not 0 <= k < sizes[axis]:
+            raise IndexError(f"index {k} on axis {axis} of size {sizes[axis]}")
+        moved, where = moved.withColumn(axis, F.lit(k).cast("long")), where & (F.col(axis) == k)
+    return overwrite(cells, moved, [*others, "y", "x"], where)
 
 
 def make_tiles(cells: DataFrame, tile: tuple[int, int]) -> DataFrame:
@@ -144,6 +151,15 @@ def make_tiles(cells: DataFrame, tile: tuple[int, int]) -> DataFrame:
     )
 
 
+def join_tiles(tiles: DataFrame, grid: tuple[int, int], tile: tuple[int, int]) -> tuple[DataFrame, dict[str, int]]:
+    """The image that a grid of tiles makes, from cells numbered as by ``make_tiles``, and its sizes; a tile outside the grid raises."""
+    inside = (F.col("tile_row") < grid[0]) & (F.col("tile_column") < grid[1]) & (F.col("y") < tile[0]) & (F.col("x") < tile[1])
+    outside = F.raise_error(F.concat(F.lit("a cell outside the grid, of tile "), F.concat_ws("/", F.col("tile_row").cast("string"), F.col("tile_column").cast("string")))).cast("boolean")
+    rows = tiles.filter(F.when(inside, F.lit(True)).otherwise(outside))
+    cells = rows.select((F.col("tile_row") * tile[0] + F.col("y")).alias("y"), (F.col("tile_column") * tile[1] + F.col("x")).alias("x"), "value")
+    return cells, {"y": grid[0] * tile[0], "x": grid[1] * tile[1]}
+
+
 def drop_empty(cells: DataFrame, block: Sequence[str], channel: str) -> DataFrame:
     """Blocks of which no channel is all zero or all NaN; a mixture of the two isn't empty."""
     floating = cells.schema["value"].dataType.typeName() in ("float", "double")

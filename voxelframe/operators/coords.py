@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,33 @@ def with_coordinates(cells: DataFrame, scales: dict[str, tuple[float, float]]) -
     return cells
 
 
+def with_axes(cells: DataFrame, axes: dict[str, dict], attributes: dict | None = None) -> DataFrame:
+    """Cells whose axes carry what is known of them (``kind``, ``unit``, ``scale``, ``translation``), and ``value`` the array's attributes.
+
+    They are the columns' metadata, so they stay through selections and are written and read with
+    the table. A unit that isn't one of the axis's kind raises.
+    """
+    for axis, about in axes.items():
+        unit, kind = about.get("unit"), about.get("kind", "space")
+        if unit is not None and ((kind == "space" and unit not in SPACE_UNITS) or (kind == "time" and unit not in TIME_UNITS)):
+            raise ValueError(f"{unit!r} is no unit of {kind}")
+        own = {"kind": kind, "unit": unit, "scale": float(about.get("scale", 1.0)), "translation": float(about.get("translation", 0.0))}
+        cells = cells.withMetadata(axis, {"axis": {k: v for k, v in own.items() if v is not None}})
+    return cells.withMetadata("value", {"attributes": json.dumps(attributes)}) if attributes is not None else cells
+
+
+def axes_of(cells: DataFrame) -> tuple[dict[str, dict], dict]:
+    """What a table's columns carry: each axis's kind, unit, scale and translation, and the array's attributes."""
+    found = {f.name: {"unit": None} | f.metadata["axis"] for f in cells.schema.fields if "axis" in f.metadata}
+    about = next((f.metadata["attributes"] for f in cells.schema.fields if f.name == "value" and "attributes" in f.metadata), "{}")
+    return found, json.loads(about)
+
+
+def labelled(cells: DataFrame) -> DataFrame:
+    """Cells with the coordinates that their axes' metadata give."""
+    return with_coordinates(cells, {a: (x["scale"], x["translation"]) for a, x in axes_of(cells)[0].items()})
+
+
 def coordinate_blocks(n: Column, block: int = 10_000) -> Column:
     """Numbers of the blocks of at most ``block`` indices that ``n`` indices make: no row holds an axis whole."""
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).otherwise(F.array().cast("array<bigint>"))

@@ -72,8 +72,11 @@ def label(labels: DataFrame, name: str) -> DataFrame:
 
 
 def pair_sites(positions: DataFrame, fields: DataFrame, position_order: list[str], field_order: list[str]) -> DataFrame:
-    """Positions and fields paired by their place in their own order; what has no partner is left out."""
-    return ordinals(positions, position_order, "__n").join(ordinals(fields, field_order, "__n"), "__n").drop("__n")
+    """Positions and fields paired by their place in their own order; where one has more than the other, reading raises."""
+    a, b = ordinals(positions, position_order, "__n"), ordinals(fields, field_order, "__n")
+    both = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), "__n", "full_outer")
+    alone = F.raise_error(F.concat(F.lit("no partner for site "), F.col("__n").cast("string"))).cast("boolean")
+    return both.filter(F.when(F.col("__a") & F.col("__b"), F.lit(True)).otherwise(alone)).drop("__n", "__a", "__b")
 
 
 def frame_metadata(planes: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,6 +84,23 @@ def frame_metadata(planes: DataFrame, metadata: DataFrame, keys: list[str]) -> D
     return planes.join(metadata, keys, "left")
 
 
+def parted(lines: DataFrame, text: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of JSON as two tables: those that can be read, as ``metadata``, and the broken ones as they are.
+
+    A line is broken where it is no whole JSON object or a field isn't of its type. An acquisition
+    that crashed leaves such lines; they are kept for a look, and don't stop the others.
+    """
+    row = F.from_json(F.col(text), f"{schema}, __broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"})
+    known = lines.withColumn("__row", row)
+    broken = F.coalesce(F.col("__row.__broken").isNotNull(), F.lit(True)) | F.col("__row").isNull()
+    return known.filter(~broken).withColumn("metadata", F.col("__row").dropFields("__broken")).drop("__row", text), known.filter(broken).drop("__row")
+
+
+def refused_keys(attributes: DataFrame, key: str) -> DataFrame:
+    """Attributes whose key belongs to the format: rows here can't be written as users' own."""
+    return attributes.filter(F.col(key).isin(*RESERVED_KEYS))
+
+
 def equal_fields(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Fields that are the same in two stores: those whose root and key are in both."""
     return one.select(*keys).intersect(other.select(*keys))
@@ -95,7 +115,7 @@ def merge_attributes(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def plane_metadata(planes: DataFrame, keys: list[str]) -> DataFrame:
     """One JSON text per image: planes named t/c/z, keys with a dash after the others."""
-    ordered = sorted(keys, key=lambda k: ("-" in k, k))
+    ordered = sorted(keys, key=lambda k: ("-" in k, k))  # as names.plane_key
     name = F.concat_ws("/", F.col("t").cast("string"), F.col("c").cast("string"), F.col("z").cast("string"))
     entry = F.struct(F.col("t"), F.col("c"), F.col("z"), name.alias("name"), F.to_json(F.struct(*[F.col(k) for k in ordered])).alias("json"))
     parts = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat(F.lit('"'), e["name"], F.lit('":'), e["json"]))

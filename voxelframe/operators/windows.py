@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.sources.scratch import fresh_dir
+
 
 def differences(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Each row's value less that of the row before it in its group; null for the first."""
@@ -51,9 +53,27 @@ def _one(df: DataFrame, keys: list[str], pick: Callable, order: list[str]) -> Da
     return one.select(*keys, "__row.*").select(*df.columns)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "n") -> DataFrame:
+    """Number the rows of each group from 1 in an order."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def distinct_indices(df: DataFrame, index: str) -> DataFrame:
+    """Each index once, in order."""
+    return df.select(index).distinct().orderBy(index)
+
+
 def ordinals(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """Number all rows from 0 in an order, without bringing them to one task: ranges are counted, then numbered within."""
+    """Number all rows from 0 in an order, without bringing them to one task.
+
+    Rows are dealt to ranges, sorted within them and written once, so that the ranges' sizes and
+    the places in them are of one dealing; then each range begins where those before it end.
+    """
+    spark = df.sparkSession
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    path = fresh_dir(spark, "ordinals")
+    parts.write.parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
     parts = parts.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("n"))
     # One row for each partition.

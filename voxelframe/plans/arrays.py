@@ -239,6 +239,38 @@ def tile_write(spark, d):
     return C.write_tile(image(spark, d), tile, 1, 2, (48, 10), image_sizes(spark, d))
 
 
+_STACK = "T AS (SELECT y // 100 AS t, y % 100 AS y, x, value FROM E)"
+
+
+def _stack(spark, d):
+    """The image's rows as times of a hundred rows each."""
+    sizes = image_sizes(spark, d)
+    cells = image(spark, d).select(F.floor(F.col("y") / 100).cast("long").alias("t"), (F.col("y") % 100).alias("y"), "x", "value")
+    return cells, {"t": -(-sizes["y"] // 100), "y": 100, "x": sizes["x"]}
+
+
+@query("tile_read_time", f"WITH {IMAGE_SQL}, {_STACK} SELECT y - 48 AS y, x - 20 AS x, value FROM T WHERE t = 1 AND y // 48 = 1 AND x // 10 = 2")
+def tile_read_time(spark, d):
+    cells, sizes = _stack(spark, d)
+    return C.read_tile(cells, 1, 2, (48, 10), sizes, t=1)
+
+
+@query("tile_write_time", f"WITH {IMAGE_SQL}, {_STACK} SELECT t, y, x, CASE WHEN t = 1 AND y // 48 = 1 AND x // 10 = 2 THEN y - 48 + x - 20 ELSE value END AS value FROM T")
+def tile_write_time(spark, d):
+    cells, sizes = _stack(spark, d)
+    tile = C.grid(spark, {"y": 48, "x": 10}).withColumn("value", F.col("y") + F.col("x"))
+    return C.write_tile(cells, tile, 1, 2, (48, 10), sizes, t=1)
+
+
+@query("tiled_image", f"WITH {IMAGE_SQL} SELECT y, x, value FROM E, S WHERE y < ny // 48 * 48 AND x < nx // 10 * 10")
+def tiled_image(spark, d):
+    """The image of all whole tiles, put together from them."""
+    sizes = image_sizes(spark, d)
+    grid = C.tile_grid(sizes, {"y": 48, "x": 10})
+    tiles = C.make_tiles(image(spark, d), (48, 10)).filter((F.col("tile_row") < grid["y"]) & (F.col("tile_column") < grid["x"]))
+    return C.join_tiles(tiles, (grid["y"], grid["x"]), (48, 10))[0]
+
+
 @query("make_tiles", f"WITH {IMAGE_SQL} SELECT y // 48 AS tile_row, x // 10 AS tile_column, y % 48 AS y, x % 10 AS x, value FROM E")
 def make_tiles(spark, d):
     return C.make_tiles(image(spark, d), (48, 10))

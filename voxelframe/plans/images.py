@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelframe.functions import names
+from voxelframe.functions import names, shapes
 from voxelframe.operators import cells as C
 from voxelframe.operators import coords
 from voxelframe.operators import images as I
 from voxelframe.plans.inputs import IMAGE_SQL, MOVIE_SQL, channels, image, image_sizes, movie, table
 from voxelframe.plans.registry import query
 from voxelframe.sources import acquisitions
+from voxelframe.sources.scratch import fresh_dir
 
 
 @query("color_to_hex", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '00FF00' WHEN 1 THEN 'FF00FF' WHEN 2 THEN 'FFA500' ELSE 'FFFFFF' END AS hex FROM nation")
@@ -111,26 +112,31 @@ def collate_positions(spark, d):
     return I.collate(movie(spark, d), "c", known)
 
 
-@query("hcs_sites", "SELECT s.s_name AS position, c.c_name AS field FROM (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) s JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_custkey % 3 > 0) c USING (n)")
+@query("hcs_sites", "SELECT s.s_name AS position, c.s_name AS field FROM (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) s JOIN (SELECT s_name, row_number() OVER (ORDER BY s_acctbal, s_suppkey DESC) AS n FROM supplier) c USING (n)")
 def hcs_sites(spark, d):
-    """Names and fields paired by their place in the order of keys, one of which has gaps."""
-    s = table(spark, d, "supplier").select(F.col("s_name").alias("position"), "s_suppkey")
-    c = table(spark, d, "customer").filter("c_custkey % 3 > 0").select(F.col("c_name").alias("field"), "c_custkey")
-    return I.pair_sites(s, c, ["s_suppkey"], ["c_custkey"]).select("position", "field")
+    """Names and fields paired by their place, each in an order of its own; there must be as many of either."""
+    s = table(spark, d, "supplier")
+    fields = s.select(F.col("s_name").alias("field"), "s_acctbal", (-F.col("s_suppkey")).alias("back"))
+    return I.pair_sites(s.select(F.col("s_name").alias("position"), "s_suppkey"), fields, ["s_suppkey"], ["s_acctbal", "back"]).select("position", "field")
 
 
 @query("as_indices", "SELECT n_nationkey, CAST(i AS BIGINT) AS i FROM nation, LATERAL (SELECT unnest(CASE n_nationkey % 3 WHEN 0 THEN [n_regionkey] WHEN 1 THEN [0, n_regionkey + 1] ELSE range(n_regionkey, 6) END) AS i)")
 def as_indices(spark, d):
     k, r = F.col("n_nationkey") % 3, F.col("n_regionkey").cast("long")
-    asked = F.when(k == 0, F.array(r)).when(k == 1, F.array(F.lit(0).cast("long"), r + 1)).otherwise(F.sequence(r, F.lit(5).cast("long")))
+    asked = shapes.as_indices(F.when(k == 0, r), F.when(k == 1, F.array(F.lit(0).cast("long"), r + 1)), r, F.lit(6))
     return table(spark, d, "nation").select("n_nationkey", F.explode(asked).alias("i"))
 
 
 @query("to_xarray", f"WITH {MOVIE_SQL} SELECT t, c, value, t * 3600.0::DOUBLE AS t_coord, event_type AS c_coord FROM V JOIN N USING (c)")
 def to_xarray(spark, d):
-    """A labelled table: values with the coordinates of both axes."""
-    listed = F.array(*[F.lit(n) for n in channels(spark, d)])
-    return coords.with_coordinates(movie(spark, d), {"t": (3600.0, 0.0)}).withColumn("c_coord", F.element_at(listed, (F.col("c") + 1).cast("int")))
+    """A labelled table: its axes' scales and units are written with it, and coordinates are made of what is read back."""
+    listed = channels(spark, d)
+    about = {"t": {"kind": "time", "unit": "second", "scale": 3600.0}, "c": {"kind": "channel"}}
+    path = fresh_dir(spark, "labelled")
+    coords.with_axes(movie(spark, d), about, {"channels": listed}).write.parquet(path)
+    cells = spark.read.parquet(path)
+    names_of = F.array(*[F.lit(n) for n in coords.axes_of(cells)[1]["channels"]])
+    return coords.labelled(cells).select("t", "c", "value", "t_coord", F.element_at(names_of, (F.col("c") + 1).cast("int")).alias("c_coord"))
 
 
 @query("fov_equality", "SELECT c_nationkey AS root, c_custkey AS key FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey = s_suppkey")

@@ -11,7 +11,7 @@ from voxelframe.operators import hierarchy as H
 from voxelframe.operators import images as I
 from voxelframe.plans.inputs import MOVIE_SQL, PLATE_SQL, channels, movie, movie_sizes, plate, table
 from voxelframe.plans.registry import query
-from voxelframe.sources import acquisitions, archives
+from voxelframe.sources import acquisitions, archives, stores
 
 # -- hierarchy ------------------------------------------------------------------------------
 
@@ -152,9 +152,11 @@ def metadata_precedence(spark, d):
     return H.metadata_to_write(sources, existing).select("position", "key", "source")
 
 
-@query("reserved_keys", "SELECT DISTINCT event_type AS key FROM events WHERE event_type IN ('ome', 'multiscales', 'omero', 'labels', 'version')")
+@query("reserved_keys", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'ome' WHEN 1 THEN 'omero' ELSE 'version' END AS key FROM customer WHERE c_custkey % 5 IN (0, 1, 3)")
 def reserved_keys(spark, d):
-    return table(spark, d, "events").select(F.col("event_type").alias("key")).intersect(spark.createDataFrame([(k,) for k in H.RESERVED_KEYS], "key string"))
+    """Attributes that users may not write, among others that they may."""
+    listed = F.array(*[F.lit(k) for k in ("ome", "omero", "Omero", "version", "notes")])
+    return I.refused_keys(table(spark, d, "customer").select("c_custkey", F.element_at(listed, (F.col("c_custkey") % 5 + 1).cast("int")).alias("key")), "key")
 
 
 @query("rename_well", "SELECT n_name AS old_path, CASE WHEN n_regionkey = 0 THEN 'B/' || n_nationkey ELSE n_name END AS path FROM nation")
@@ -258,14 +260,14 @@ def natural_sort(spark, d):
 
 @query("lex_sort_keys", "SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS n FROM supplier")
 def lex_sort_keys(spark, d):
-    w = Window.partitionBy("s_nationkey").orderBy("s_name")
-    return table(spark, d, "supplier").select("s_nationkey", "s_name", F.row_number().over(w).cast("long").alias("n"))
+    return windows.numbered(table(spark, d, "supplier").select("s_nationkey", "s_name"), ["s_nationkey"], ["s_name"])
 
 
-@query("plane_key_order", "SELECT o_orderpriority, row_number() OVER (ORDER BY contains(o_orderpriority, '-'), o_orderpriority) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders)")
+@query("plane_key_order", "SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY contains(o_orderpriority, '-'), o_orderpriority) AS n FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)")
 def plane_key_order(spark, d):
-    keys = table(spark, d, "orders").select("o_orderpriority").distinct()
-    return keys.withColumn("n", F.row_number().over(Window.orderBy(F.contains("o_orderpriority", F.lit("-")), "o_orderpriority")).cast("long"))
+    """The metadata keys of each plane, those with a dash after the others."""
+    keys = table(spark, d, "orders").select("o_custkey", "o_orderpriority").distinct()
+    return windows.numbered(keys, ["o_custkey"], [names.plane_key(F.col("o_orderpriority"))])
 
 
 # -- plans of work --------------------------------------------------------------------------
@@ -331,7 +333,7 @@ def unit_name(spark, d):
 
 @query("distinct_indices", "SELECT DISTINCT l_suppkey AS i FROM lineitem")
 def distinct_indices(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i")).distinct()
+    return windows.distinct_indices(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i")), "i")
 
 
 # -- names ----------------------------------------------------------------------------------
@@ -494,7 +496,7 @@ def missing_axes(spark, d):
 def axis_index(spark, d):
     axes = F.array(*[F.lit(a) for a in "tczyx"])
     asked = F.element_at(F.array(*[F.lit(a) for a in "TcZyX"]), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    return table(spark, d, "nation").select("n_nationkey", (F.array_position(axes, F.lower(asked)) - 1).alias("i"))
+    return table(spark, d, "nation").select("n_nationkey", shapes.axis_index(axes, asked).alias("i"))
 
 
 @query("valid_units", "SELECT n_nationkey, n_nationkey % 4 IN (0, 3) AS fine FROM nation")
@@ -517,10 +519,16 @@ def page_index(spark, d):
     return movie(spark, d).select("t", "c", shapes.flat_index([F.col("t"), F.col("c")], [sizes["t"], sizes["c"]]).alias("page"))
 
 
-@query("channel_fallback", f"WITH {MOVIE_SQL} SELECT CAST(c AS BIGINT) AS c, CASE WHEN c % 2 = 0 THEN event_type ELSE CAST(c AS VARCHAR) END AS name FROM N")
+@query(
+    "channel_fallback",
+    "SELECT image, i AS \"index\", CASE WHEN i % 2 = 0 THEN name ELSE CAST(i AS VARCHAR) END AS name FROM (SELECT image, name, CAST(row_number() OVER (PARTITION BY image ORDER BY name) - 1 AS BIGINT) AS i"
+    " FROM (SELECT DISTINCT c_nationkey AS image, c_mktsegment AS name FROM customer))",
+)
 def channel_fallback(spark, d):
-    rows = [(k, n if k % 2 == 0 else None) for k, n in enumerate(channels(spark, d))]
-    return spark.createDataFrame(rows, "c long, given string").select("c", F.coalesce("given", F.col("c").cast("string")).alias("name"))
+    """Channels of which every second has no name."""
+    rows = windows.numbered(table(spark, d, "customer").select(F.col("c_nationkey").alias("image"), F.col("c_mktsegment").alias("name")).distinct(), ["image"], ["name"])
+    index = F.col("n") - 1
+    return rows.select("image", index.alias("index"), names.channel_name(F.when(index % 2 == 0, F.col("name")), index).alias("name"))
 
 
 # -- acquisitions ---------------------------------------------------------------------------
@@ -596,3 +604,68 @@ def stage_positions(spark, d):
     text = F.concat(F.lit('{"Summary":{"MicroManagerVersion":"'), F.when(k % 2 == 0, "2.0.1").otherwise("2.0 beta"), F.lit('","Positions":'), (k % 3).cast("string"), F.lit(',"StagePositions":['), listed, F.lit("]}}"))
     out = acquisitions.stage_positions(table(spark, d, "customer").select("c_custkey", text.alias("text")), ["c_custkey"], "text")
     return out.select("c_custkey", "position", "label", "device", F.col("values")[0].alias("first"), F.size("values").alias("n"))
+
+
+@query(
+    "version_walk",
+    """WITH R AS (SELECT r_regionkey AS store, r_regionkey % 3 AS kind FROM region), C AS (SELECT n_regionkey AS store, min(n_nationkey) AS k FROM nation WHERE n_nationkey % 3 = 1 GROUP BY 1
+), W AS (SELECT n_regionkey AS store, n_nationkey AS k, s_suppkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, s_suppkey) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 1)
+SELECT R.store, CASE kind WHEN 0 THEN '0.5' WHEN 1 THEN coalesce('0.' || C.k, '0.5') ELSE coalesce('0.' || W.s_suppkey, 'unknown') END AS version
+FROM R LEFT JOIN C ON R.store = C.store LEFT JOIN W ON R.store = W.store AND W.n = 1""",
+)
+def version_walk(spark, d):
+    """Versions of stores: some tell it at the root, series in a child, others two levels down in a well."""
+    nation = table(spark, d, "nation")
+    root = table(spark, d, "region").select(F.col("r_regionkey").alias("store"), F.lit("").alias("path"), (F.col("r_regionkey") % 3).alias("k"))
+    told = F.when(F.col("k") == 0, '{"ome":{"version":"0.5"}}').when(F.col("k") == 1, '{"bioformats2raw.layout":3}').otherwise("{}")
+    root = root.select("store", "path", F.lit(0).alias("depth"), F.lit(3).alias("format"), told.alias("attributes"))
+    key = F.col("n_nationkey")
+    version = lambda k: F.concat(F.lit('{"multiscales":[{},{"version":"0.'), k.cast("string"), F.lit('"}]}'))
+    child = nation.select(F.col("n_regionkey").alias("store"), key.cast("string").alias("path"), F.lit(1).alias("depth"), F.lit(3).alias("format"), F.when(key % 3 == 1, version(key)).otherwise("{}").alias("attributes"))
+    s = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == key)
+    told = F.when(F.col("s_suppkey") % 2 == 1, F.concat(F.lit('{"well":{"version":"0.'), F.col("s_suppkey").cast("string"), F.lit('"}}'))).otherwise("{}")
+    wells = s.select(F.col("n_regionkey").alias("store"), F.concat_ws("/", key.cast("string"), F.col("s_suppkey").cast("string")).alias("path"), F.lit(2).alias("depth"), F.lit(3).alias("format"), told.alias("attributes"))
+    return stores.versions(root.unionByName(child).unionByName(wells), ["store"])
+
+
+_LINES = """L AS (SELECT event_id, user_id, event_type, CASE event_id % 5 WHEN 0 THEN 'cut' WHEN 1 THEN 'text' END AS fault FROM events)"""
+
+
+def _metadata_lines(spark, d):
+    """A metadata line of each event; a fifth are cut off, and another have text for a number."""
+    k = F.col("event_id")
+    whole = F.concat(F.lit('{"Channel":"'), F.col("event_type"), F.lit('","Frame":'), F.when(k % 5 == 1, '"none"').otherwise(k.cast("string")), F.lit("}"))
+    return table(spark, d, "events").select("event_id", F.when(k % 5 == 0, F.substr(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole).alias("line"))
+
+
+_WHOLE = """'{"Channel":"' || event_type || '","Frame":' || CASE fault WHEN 'text' THEN '"none"' ELSE CAST(event_id AS VARCHAR) END || '}'"""
+
+
+@query("broken_lines", f"WITH {_LINES}, W AS (SELECT event_id, fault, {{_WHOLE}} AS w FROM L WHERE fault IS NOT NULL) SELECT event_id, CASE fault WHEN 'cut' THEN left(w, length(w) - 3) ELSE w END AS line FROM W".replace("{_WHOLE}", _WHOLE))
+def broken_lines(spark, d):
+    """What is set apart of metadata lines that can't be read."""
+    return I.parted(_metadata_lines(spark, d), "line", "Channel string, Frame long")[1]
+
+
+@query("planes_with_broken_metadata", f"WITH {_LINES} SELECT event_id, CASE WHEN fault IS NULL THEN event_type END AS channel, CASE WHEN fault IS NULL THEN event_id END AS frame FROM L")
+def planes_with_broken_metadata(spark, d):
+    """Every plane stays, with nulls where its metadata line is broken."""
+    fine, _ = I.parted(_metadata_lines(spark, d), "line", "Channel string, Frame long")
+    planes = table(spark, d, "events").select("event_id")
+    return I.frame_metadata(planes, fine.select("event_id", F.col("metadata.Channel").alias("channel"), F.col("metadata.Frame").alias("frame")), ["event_id"])
+
+
+_ASKED = f"(SELECT p_partkey, z AS nz, y AS ny, x AS nx, p_partkey % 60 + 1 AS z, 700 AS y, 300 AS x FROM {_SHAPE})"
+
+
+@query(
+    "convert_chunk_sizes",
+    f"SELECT p_partkey, CAST(least(z, nz) AS BIGINT) AS z, CAST(least(y, ny) AS BIGINT) AS y, CAST(least(x, nx) AS BIGINT) AS x, (z > nz)::INT + (y > ny)::INT + (x > nx)::INT AS n_clamped FROM {_ASKED}",
+)
+def convert_chunk_sizes(spark, d):
+    """Chunks asked for by five sizes, and on how many axes they were cut to the shape."""
+    one = F.lit(1).cast("long")
+    asked = F.array(one, one, (F.col("p_partkey") % 60 + 1).cast("long"), F.lit(700).cast("long"), F.lit(300).cast("long"))
+    got = _shape(spark, d).select("p_partkey", shapes.chosen_chunk(asked, F.col("shape"), F.lit(4)).alias("g"))
+    at = lambda k: F.col("g.chunk")[k]
+    return got.select("p_partkey", at(2).alias("z"), at(3).alias("y"), at(4).alias("x"), F.size("g.clamped").alias("n_clamped"))
