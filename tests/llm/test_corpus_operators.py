@@ -278,6 +278,72 @@ def test_decontamination_recall_at_the_least_similarity(edits):
         assert levenshtein_inside(items[i][1], decontam.normal(texts[t])) <= d <= 0.2 * len(items[i][1])
 
 
+def like_items(kind, n, rng, vocabulary):
+    """Items of one kind in normal form: of some tens of bytes, or of one template."""
+    if kind == "template":
+        name = lambda k: "".join(rng.choices("abcdefghij", k=k))
+        texts = [f"question {name(rng.randint(4, 14))} what is the capital city of the province of {name(9)} in the country named {name(7)} and why" for _ in range(n)]
+    else:
+        low, high = kind
+        texts = []
+        while len(texts) < n:
+            text = " ".join(rng.choices(vocabulary, k=12))[: rng.randint(low, high)].strip()
+            if low <= len(text):
+                texts.append(text)
+    return [(k, t.encode()) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("kind, n", [((20, 27), 120), ((21, 36), 120), ((36, 65), 120), ("template", 40)])
+def test_recall_of_short_and_templated_items(kind, n):
+    """A fifth of the bytes edited: the copy is at least so near, by the exact distance, and found by nine in ten."""
+    rng, numbers = random.Random(str(kind)), np.random.default_rng(5)
+    vocabulary = ["of", "the", "and", "is"] + ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(500)]
+    items = like_items(kind, n, rng, vocabulary)
+    index = decontam.Index(items, 0.8, 0.95)
+    texts, want = [], []
+    while len(want) < 300:
+        i = rng.randrange(n)
+        item = items[i][1]
+        copy = decontam.edited(item, len(item) // 5, numbers)
+        text = decontam.normal(f"{' '.join(rng.choices(vocabulary, k=rng.randint(0, 40)))} {copy.decode()} {' '.join(rng.choices(vocabulary, k=30))}")
+        if decontam.best_match(item, text)[0] <= 0.2 * len(item):
+            texts.append(text.decode())
+            want.append(i)
+    found = {(t, i): d for t, k, d, _ in index.search(pa.array(texts)) for i in index.ids[k]}
+    assert sum((t, i) in found for t, i in enumerate(want)) >= 0.9 * len(want)
+    for (t, i), d in rng.sample(sorted(found.items()), 20):
+        assert levenshtein_inside(items[i][1], decontam.normal(texts[t])) <= d <= 0.2 * len(items[i][1])
+
+
+def test_runs_of_four_bytes_are_left_by_the_least_similarity():
+    numbers = np.random.default_rng(1)
+    for n in range(decontam.SHORT, 200, 3):
+        item = bytes(numbers.integers(97, 123, n, dtype=np.uint8))
+        every = np.arange(n // 5) * n // (n // 5) + 2  # the places that leave the shortest runs
+        copy = bytearray(item)
+        for k in every.tolist():
+            copy[min(k, n - 1)] = 48
+        assert np.isin(decontam.grams(np.frombuffer(bytes(copy), np.uint8), 4), decontam.grams(np.frombuffer(item, np.uint8), 4)).any()
+
+
+def test_many_items_of_one_template_are_verified_once_each(monkeypatch):
+    """Texts that hold an item of 200 of one template: a pair of text and item is compared once for each stretch."""
+    import time
+
+    rng = random.Random(8)
+    items = like_items("template", 200, rng, [])
+    index = decontam.Index(items, 0.8, 0.95)
+    texts = [f"some words before {items[k * 9][1].decode()} and some after" for k in range(20)]
+    calls, real = [], decontam.best_match
+    monkeypatch.setattr(decontam, "best_match", lambda item, text: calls.append((item, text)) or real(item, text))
+    began = time.perf_counter()
+    found = {(t, index.ids[i][0]): d for t, i, d, _ in index.search(pa.array(texts))}
+    assert time.perf_counter() - began < 15
+    assert all(found[t, t * 9] == 0 for t in range(20)) and len(calls) == len(set(calls)) <= 20 * 200
+    every = {(t, k) for t, text in enumerate(texts) for k, item in items if real(item, decontam.normal(text))[0] <= 0.2 * len(item)}
+    assert set(found) <= every and len(found) >= 0.9 * len(every)
+
+
 def test_short_items_are_found_as_words():
     items = [(k, t.encode()) for k, t in enumerate(["no", "a b", "twelve bytes", "nineteen bytes long", "12345678", "x"])]
     index = decontam.Index(items, 0.8, 0.95)

@@ -9,14 +9,22 @@ window are compared with its neighbourhood by exact edit distance, bit-parallel.
 
 Windows of every size at every byte are out of reach, so windows are laid where a document has
 enough runs of bytes in common with an item on nearly one diagonal, the runs of the beginning
-giving the window's. How many are enough, and how many repeats are needed, is found for items of
-like length on edited copies of the items at the least similarity, each step being allowed to
-lose its half of what the recall allows. Nothing caps the repeats but what they are for: samples
-of fewer positions agree more often, and those of none leave all to the verification.
+giving the window's. How long the runs are, how many are enough, and how many repeats are needed,
+is found for items of like length on edited copies of the items at the least similarity, each
+step being allowed to lose a third of what the recall allows: runs are the longest with which
+enough copies have one. With as many edits as the least similarity allows, a run of four bytes is
+always left, so the shortest runs lose nothing. Runs that most items of like length have, such as
+those of a template, are left out where the rest is enough. Nothing caps the repeats but what they
+are for: samples of fewer positions agree more often, and those of none leave all to the
+verification.
+
+Windows that begin close to one another are one window for all items of like length, and what the
+buckets say of one text and item is joined to stretches, each of which is verified once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +36,13 @@ from pyspark.sql import functions as F
 from voxelframe.llm.common import slices, stored
 from voxelframe.llm.wordarrays import PLAIN
 
-#: Bytes of a run, the least number for which items have few runs in common with one another.
-RUNS = (8, 10, 12, 16)
-SHARED = 6.0
+#: Bytes of a run, and whether runs that more than half of like items have count: the first that is enough.
+RUNS = ((8, False), (8, True), (7, True), (6, True), (5, True), (4, True))
+#: Of fewer like items, no run is one that most have.
+FEW_ITEMS = 8
 #: Runs count together if their diagonals differ by no more than this.
 DRIFT = 16
-#: Windows of one cluster of runs begin at least so many bytes apart.
+#: Windows for items of like length begin at least so many bytes apart, and differ in length as much.
 STEP = 8
 #: Random walks, and positions of one sample: the most that need no more repeats than this a walk.
 WALKS = 6
@@ -80,16 +89,13 @@ def normal(text: str) -> bytes:
 
 
 def grams(line: np.ndarray, q: int) -> np.ndarray:
-    """A hash of each run of ``q`` bytes (of 8 at least), eight bytes at a time."""
+    """A hash of each run of ``q`` bytes, of eight at most; different runs have different hashes."""
     n = len(line) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    line = np.ascontiguousarray(line)
-    word = lambda k: np.ndarray((n,), np.dtype("<u8"), line.data, k, (1,))
-    h = word(0) * _MIX
-    for k in range(8, q, 8):
-        h = (h ^ (h >> np.uint64(29)) ^ word(min(k, q - 8))) * _MIX
-    return h
+    line = np.concatenate([line, np.zeros(8 - q, np.uint8)]) if q < 8 else np.ascontiguousarray(line)
+    word = np.ndarray((n,), np.dtype("<u8"), line.data, 0, (1,))
+    return (word & np.uint64((1 << 8 * q) - 1) if q < 8 else word) * _MIX
 
 
 def quads(text: bytes) -> np.ndarray:
@@ -230,6 +236,32 @@ class Like:
         return pair // len(self.texts), pair % len(self.texts)
 
 
+class Runs:
+    """The runs of one length of some items."""
+
+    def __init__(self, q: int, own: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.q = q
+        gram = np.concatenate([np.empty(0, np.uint64), *(h for _, h, _ in own)])
+        order = np.argsort(gram, kind="stable")
+        self.gram = gram[order]
+        self.item = np.repeat([k for k, _, _ in own], [len(h) for _, h, _ in own]).astype(np.int64)[order]
+        self.at = np.concatenate([np.empty(0, np.int64), *(at for _, _, at in own)])[order]
+        self.filter = np.zeros(1 << _BITS, dtype=bool)
+        self.filter[gram >> np.uint64(64 - _BITS)] = True
+
+    def hits(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items that have a run of the line, where in them it begins, and where in the line."""
+        h = grams(line, self.q)
+        maybe = np.flatnonzero(self.filter[h >> np.uint64(64 - _BITS)])
+        h = h[maybe]
+        lo = np.searchsorted(self.gram, h, "left")
+        there = np.flatnonzero(self.gram[np.minimum(lo, len(self.gram) - 1)] == h) if len(self.gram) else lo[:0]
+        maybe, lo = maybe[there], lo[there]
+        n = np.searchsorted(self.gram, h[there], "right") - lo
+        which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else lo
+        return self.item[which], self.at[which], np.repeat(maybe, n)
+
+
 class Index:
     """One block of items: their runs of bytes, and buckets for each class of like length."""
 
@@ -243,42 +275,28 @@ class Index:
         self.shorts = int(np.searchsorted(self.size, SHORT))
         self.short = self._words()
         rng = np.random.default_rng(seed)
-        long = texts[self.shorts :]
-        self.q = next((q for q in RUNS if self._shared(long, q) <= SHARED), RUNS[-1])
-        own = [grams(np.frombuffer(t, np.uint8), self.q) for t in long]
-        gram = np.concatenate([np.empty(0, np.uint64), *own])
-        order = np.argsort(gram, kind="stable")
-        self.gram = gram[order]
-        self.gram_item = np.repeat(np.arange(self.shorts, len(texts)), [len(o) for o in own])[order]
-        self.gram_at = np.concatenate([np.empty(0, np.int64), *(np.arange(len(o)) for o in own)])[order]
-        self.filter = np.zeros(1 << _BITS, dtype=bool)
-        self.filter[gram >> np.uint64(64 - _BITS)] = True
         # An edit changes four runs of four bytes at most: fewer left than this, and an item is too far.
         self.quads = [quads(t) for t in texts]
         self.kept = self.size - 3 - 4 * self._edits(np.arange(len(texts)))
         self.least = np.ones(len(texts), dtype=np.int64)
         self.likes: list[tuple[int, Like]] = []
         self.like = np.zeros(len(texts), dtype=np.int64)
-        walks = self.walks = Walks(int(1.5 * self.size[-1]) + 1 if len(long) else 0, rng)
+        walks = self.walks = Walks(int(1.5 * self.size[-1]) + 1 if len(texts) > self.shorts else 0, rng)
+        runs: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         a = self.shorts
         while a < len(texts):
             b = int(np.searchsorted(self.size, self.size[a] * LIKE, "right"))
             self.like[a:b] = len(self.likes)
             self.likes.append((a, Like(texts[a:b], walks)))
-            self._try(a, b, 1 - (1 - recall) / 2, rng)
+            q, own = self._try(a, b, 1 - (1 - recall) / 3, rng)
+            runs.setdefault(q, []).extend((k, h, at) for k, (h, at) in enumerate(own, a))
             a = b
+        self.tables = [Runs(q, own) for q, own in runs.items()]
 
     def _edits(self, item):
         """The most edits that an item may be away."""
         return ((1 - self.similarity) * self.size[item] + 1e-9).astype(np.int64)
 
-    @staticmethod
-    def _shared(texts: list[bytes], q: int) -> float:
-        """Other items' runs that one run of an item equals, on average."""
-        own = [grams(np.frombuffer(t, np.uint8), q) for t in texts]
-        count = np.unique(np.concatenate([np.empty(0, np.uint64), *own]), return_counts=True)[1].astype(float)
-        return float((count**2).sum() / max(1.0, count.sum()) - 1)
-
     def _words(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Short items by the number of bytes that they are looked up by: hashes and items."""
         out: dict[int, list[tuple[int, int]]] = {}
@@ -286,55 +304,74 @@ class Index:
             out.setdefault(min(8, len(t)), []).append((int.from_bytes(t[:8].ljust(8, b"\0"), "little"), k))
         return {n: (np.array([h for h, _ in sorted(own)], np.uint64), np.array([k for _, k in sorted(own)])) for n, own in out.items()}
 
-    def _try(self, a: int, b: int, recall: float, rng: np.random.Generator) -> None:
-        """How many runs make a window, and how many repeats find its item, on edited copies of items a to b."""
+    def _try(self, a: int, b: int, recall: float, rng: np.random.Generator) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which runs, how many of them make a window, and how many repeats find its item, on edited copies of items a to b.
+
+        Returns the length of the runs and each item's runs that count, with their places.
+        """
         own = self.likes[-1][1]
         trial = rng.integers(a, b, min(TRIALS, max(4, 200_000 // own.width)))
         copies = [edited(self.texts[k], int(self._edits(k)), rng) for k in trial.tolist()]
-        # Each copy stands by itself: what is about it in a document can only add runs.
-        gap = b"\0" * 32
-        line = np.frombuffer(gap + gap.join(copies) + gap, np.uint8)
-        begin = len(gap) + np.concatenate([[0], np.cumsum([len(c) + len(gap) for c in copies])])
-        item, at, pos = self._hits(line)
-        copy = np.searchsorted(begin, pos, "right") - 1
-        mine = item == trial[np.minimum(copy, len(trial) - 1)]
-        diagonal, at, copy = (pos - at)[mine], at[mine], copy[mine]
-        most = np.zeros(len(trial), dtype=np.int64)
-        for k in range(len(trial)):
-            d = np.sort(diagonal[copy == k])
-            if len(d):
-                most[k] = (np.searchsorted(d, d + DRIFT, "right") - np.arange(len(d))).max()
-        self.least[a:b] = max(1, int(np.quantile(most, 1 - recall, method="lower")))
-        # The windows of copies that have so many runs, as a search would lay them.
+        flat = lambda t: np.frombuffer(t, np.uint8)
+        for q, common in RUNS:
+            held = [grams(flat(t), q) for t in self.texts[a:b]]
+            if not common and b - a >= FEW_ITEMS:
+                gram, items = np.unique(np.concatenate([np.unique(h) for h in held]), return_counts=True)
+                most_have = gram[2 * items > b - a]
+                keep = [~np.isin(h, most_have) for h in held]
+            else:
+                keep = [np.ones(len(h), dtype=bool) for h in held]
+            runs = [(h[k], np.flatnonzero(k)) for h, k in zip(held, keep, strict=True)]
+            # Each copy stands by itself: what is about it in a document can only add runs.
+            most, start = np.zeros(len(trial), dtype=np.int64), np.zeros(len(trial), dtype=np.int64)
+            for n, (k, copy) in enumerate(zip(trial.tolist(), copies, strict=True)):
+                h, at = runs[k - a]
+                order = np.argsort(h, kind="stable")
+                h, at, there = h[order], at[order], grams(flat(copy), q)
+                lo, hi = np.searchsorted(h, there, "left"), np.searchsorted(h, there, "right")
+                count = hi - lo
+                which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else lo
+                if not len(which):
+                    continue
+                diagonal, at = np.repeat(np.arange(len(there)), count) - at[which], at[which]
+                d = np.sort(diagonal)
+                size = np.searchsorted(d, d + DRIFT, "right") - np.arange(len(d))
+                most[n] = size.max()
+                near = np.flatnonzero((diagonal >= d[size.argmax()]) & (diagonal <= d[size.argmax()] + DRIFT))
+                start[n] = diagonal[near[np.argmin(at[near])]]
+            least = int(np.quantile(most, 1 - recall, method="lower"))
+            if least:
+                break
+        # What the shortest runs may still miss is for the repeats to make up, as far as they can.
+        self.least[a:b] = max(1, least)
+        missed = float((most < self.least[a]).mean())
         windows, of = [], []
-        for k in np.flatnonzero(most >= self.least[a]).tolist():
-            here = np.flatnonzero(copy == k)
-            start = int(diagonal[here[np.argmin(at[here])]])
-            windows.append(line[max(int(begin[k]), start) : min(start + len(self.texts[trial[k]]), int(begin[k + 1]) - len(gap))].tobytes())
-            of.append(int(trial[k]) - a)
+        for n in np.flatnonzero(most >= self.least[a]).tolist():
+            first = max(0, int(start[n]))
+            windows.append(copies[n][first : int(start[n]) + len(self.texts[trial[n]])])
+            of.append(int(trial[n]) - a)
         equal = np.empty((0, WALKS))
         if windows:
             mine, theirs = own.embedded([own.texts[k] for k in of]), own.embedded(windows)
             equal = (mine == theirs).mean(axis=0).T
-        own.choose(equal, recall, rng)
+        own.choose(equal, min(1.0, recall + max(0.0, missed - (1 - recall))), rng)
+        return q, runs
 
-    def _hits(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Items that have a run of the line, where in them it begins, and where in the line."""
-        h = grams(line, self.q)
-        maybe = np.flatnonzero(self.filter[h >> np.uint64(64 - _BITS)])
-        h = h[maybe]
-        lo = np.searchsorted(self.gram, h, "left")
-        there = np.flatnonzero(self.gram[np.minimum(lo, len(self.gram) - 1)] == h) if len(self.gram) else lo[:0]
-        maybe, lo = maybe[there], lo[there]
-        n = np.searchsorted(self.gram, h[there], "right") - lo
-        which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else lo
-        return self.gram_item[which], self.gram_at[which], np.repeat(maybe, n)
+    def _hits(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Items that have a run of the line, where in them it begins, where in the line it begins and ends."""
+        found = [(*table.hits(line), table.q) for table in self.tables]
+        join = lambda k: np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)])
+        pos = join(2)
+        return join(0), join(1), pos, pos + np.repeat([f[3] for f in found], [len(f[0]) for f in found]).astype(np.int64)
 
     def _windows(self, line: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """(item, start, text) of the windows that have enough runs of an item; starts may lie outside the text."""
-        item, at, pos = self._hits(line)
+        """(item, start, text) of the windows that have enough runs of an item; starts may lie outside the text.
+
+        Of windows for like items that begin and end close to one another there is one.
+        """
+        item, at, pos, end = self._hits(line)
         text = np.searchsorted(begins, pos, "right") - 1
-        inside = pos + self.q <= begins[text + 1]
+        inside = end <= begins[text + 1]
         item, at, pos, text = item[inside], at[inside], pos[inside], text[inside]
         if not len(item):
             return np.empty((0, 3), dtype=np.int64)
@@ -350,8 +387,8 @@ class Index:
         np.add.at(held, enough, 1)
         np.add.at(held, ahead[enough] + 1, -1)
         mine = np.flatnonzero(np.cumsum(held[:-1]) > 0)
-        key, item, at, pos, text = key[mine], item[mine], at[mine], pos[mine], text[mine]
-        place = np.stack([item, text, (pos - at) // STEP])
+        item, at, pos, text = item[mine], at[mine], pos[mine], text[mine]
+        place = np.stack([self.like[item], text, (pos - at) // STEP, self.size[item] // STEP])
         order = np.lexsort((at, *place[::-1]))
         place = place[:, order]
         first = np.r_[True, (place[:, 1:] != place[:, :-1]).any(axis=0)]
@@ -406,8 +443,8 @@ class Index:
     def _verify(self, line: np.ndarray, begins: np.ndarray, windows: np.ndarray, best: dict) -> None:
         """Embed windows, meet items in buckets, and keep the best place of each item that is near enough."""
         windows = windows[np.argsort(-windows[:, 0], kind="stable")]  # long items come first
-        there = np.zeros(1 << 16, dtype=bool)
         length = np.array([like.length for _, like in self.likes], dtype=np.int64)[self.like[windows[:, 0]]]
+        met = [np.empty((0, 4), dtype=np.int64)]  # text, item, and where it may be
         a = 0
         while a < len(windows):
             b = min(len(windows), a + max(1, WINDOW_CELLS // int(length[a])))
@@ -419,27 +456,37 @@ class Index:
             for number in np.unique(like_of).tolist():
                 offset, like = self.likes[number]
                 own = np.flatnonzero(like_of == number)
-                widest = like.width + int(self._edits(offset + len(like.texts) - 1))
-                near, seen = None, -1
-                for w, k in zip(*(x.tolist() for x in like.candidates(whole[: like.length, :, own])), strict=True):
-                    w, i = int(own[w]), offset + k
-                    t, s = int(part[w, 2]), int(start[w])
-                    low, high = int(floor[w]), int(ceiling[w])
-                    if w != seen:
-                        if near is not None:
-                            there[near] = False
-                        near, seen = quads(line[max(low, s - widest + like.width) : min(high, s + widest)].tobytes()), w
-                        there[near] = True
-                    if best.get((t, i), (1, 0))[0] == 0 or np.count_nonzero(there[self.quads[i]]) < self.kept[i]:
-                        continue
-                    most = int(self._edits(i))
-                    x = max(low, s - most)
-                    distance, end = best_match(self.texts[i], line[x : min(high, s + int(self.size[i]) + most)].tobytes())
-                    if distance <= most and distance < best.get((t, i), (most + 1, 0))[0]:
-                        best[t, i] = distance, x + end - low
-                if near is not None:
-                    there[near] = False
+                window, k = like.candidates(whole[: like.length, :, own])
+                window, item = own[window], offset + k
+                reach = self._edits(item) + STEP
+                low = np.maximum(floor[window], start[window] - reach)
+                high = np.minimum(ceiling[window], start[window] + self.size[item] + reach)
+                met.append(np.column_stack([part[window, 2], item, low, high]))
             a = b
+        pair = np.concatenate(met)
+        if not len(pair):
+            return
+        pair = pair[np.lexsort((pair[:, 2], pair[:, 1], pair[:, 0]))]
+        # Places of one text and item that touch are one stretch: each begins where none before reaches.
+        group = np.cumsum(np.r_[True, (pair[1:, :2] != pair[:-1, :2]).any(axis=1)])
+        far = np.maximum.accumulate(pair[:, 3] + (group << 40)) - (group << 40)
+        first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (pair[1:, 2] > far[:-1])])
+        there, marked = np.zeros(1 << 16, dtype=bool), None
+        for k, last in zip(first.tolist(), np.r_[first[1:], len(pair)].tolist(), strict=True):
+            t, i, low, high = int(pair[k, 0]), int(pair[k, 1]), int(pair[k, 2]), int(far[last - 1])
+            if best.get((t, i), (1, 0))[0] == 0:
+                continue
+            if marked is None or marked[0] != (low, high):
+                if marked is not None:
+                    there[marked[1]] = False
+                marked = (low, high), quads(line[low:high].tobytes())
+                there[marked[1]] = True
+            if np.count_nonzero(there[self.quads[i]]) < self.kept[i]:
+                continue
+            most = int(self._edits(i))
+            distance, end = best_match(self.texts[i], line[low:high].tobytes())
+            if distance <= most and distance < best.get((t, i), (most + 1, 0))[0]:
+                best[t, i] = distance, low + end - int(begins[t])
 
 
 SCHEMA = "doc_id long, item_id long, distance long, similarity double, end long"
@@ -463,12 +510,25 @@ def blocks(benchmark: DataFrame) -> Iterator[pd.DataFrame]:
             yield own.sort_values(["item_id", "item"], key=lambda c: c if c.name == "item_id" else c.map(bytes))
 
 
+class _Built:
+    """The index that a worker made last: its next task of the same block takes it."""
+
+    held: tuple[str, Index | None] = ("", None)
+
+
 def _indexes(benchmark: DataFrame, similarity: float, recall: float):
     """For each block of items, what gives a worker its index."""
     for own in blocks(benchmark):
         items = [(None if pd.isna(i) else int(i), bytes(t)) for i, t in zip(own["item_id"], own["item"], strict=True)]
         held = benchmark.sparkSession.sparkContext.broadcast(items)  # about BLOCK_BYTES, or one item
-        yield lambda held=held: Index(held.value, similarity, recall)
+        mark = uuid.uuid4().hex
+
+        def index(held=held, mark=mark) -> Index:
+            if _Built.held[0] != mark:
+                _Built.held = (mark, Index(held.value, similarity, recall))
+            return _Built.held[1]
+
+        yield index
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
