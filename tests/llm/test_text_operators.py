@@ -267,6 +267,18 @@ REFERENCES = {
     "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */": "GPL-2.0-only WITH Linux-syscall-note",
     " * SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0",
     "licensed under the mithril": "",
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0,MIT",
+    "This crate is licensed under either of\n Apache License, Version 2.0 or the MIT license\n at your option.": "Apache-2.0,MIT",
+    "Dual licensed under the MIT and GPLv2 licenses": "",
+    "Dual licensed under the MIT license and GPLv2": "GPL-2.0,MIT",
+    "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": "Apache-2.0",
+    "License: MIT": "MIT",
+    "released under the terms of the GPLv3": "GPL-3.0",
+    "released under the terms of the GNU GPL version 3.0": "GPL-3.0",
+    "SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT OR Apache-2.0",
+    "SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC": "(MIT OR Apache-2.0) AND ISC",
+    "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.": "GPL-2.0-only",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2.": "GPL-2.0-only",
 }
 
 
@@ -275,6 +287,44 @@ def test_licences_by_reference(spark):
     assert [out[k] for k in range(len(REFERENCES))] == list(REFERENCES.values())
 
 
+BSD = """Copyright (c) 2011, {holder}
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+THIRD = "3. Neither the name of {holder} nor the\n   names of its contributors may be used to endorse or promote products derived\n   from this software without specific prior written permission.\n"
+
+
+def test_bsd_licences_of_any_holder(spark):
+    holders = ["the copyright holder", "the University", "Example Inc.", "the\n   Some Long Named Institute of Things", "Example, Inc. and Others"]
+    texts = [BSD.format(holder="X", third=THIRD.format(holder=h)) for h in holders]
+    texts += [BSD.format(holder="X", third="3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n")]
+    texts += [BSD.format(holder="X", third="3. Neither the names of the authors nor of anyone else may be used to\n   endorse or promote products of any kind.\n")]
+    texts += [BSD.format(holder="X", third="")] * 2
+    texts += ["\n".join(f" * {line}" for line in t.splitlines()) for t in texts[:3]]
+    out = {r["doc_id"]: r["licenses"] for r in license.scan(documents(spark, texts)).collect()}
+    assert [out[k] for k in range(len(texts))] == ["BSD-3-Clause"] * 7 + ["BSD-2-Clause"] * 2 + ["BSD-3-Clause"] * 3
+
+
+def test_licences_of_repeated_rows_and_long_texts(spark):
+    long = "some words and more. " * 60_000 + "\nReleased under the MIT License.\n" + "words " * 1000
+    rows = spark.createDataFrame([(1, long, "x"), (1, long, "y"), (None, "License: MIT", "z"), (2, None, "w")], "doc_id long, text string, licenses string")
+    out = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["licenses"]) for r in license.scan(rows).collect())
+    assert out == [(False, 1, "MIT"), (False, 1, "MIT"), (False, 2, ""), (True, 0, "MIT")]
+
+
 def test_licences_as_distributed(spark):
     """Whole texts, by this module's sentences and by rules made from the texts themselves."""
     folder = "/usr/share/common-licenses"

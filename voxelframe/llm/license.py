@@ -36,7 +36,6 @@ SENTENCES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd_grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd_source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd_binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_endorse",
     "licensed under the bsd 3 clause license": "bsd3_ref",
     "licensed under the mozilla public license version 2.0": "mpl2_ref",
     "this source code form is subject to the terms of the mozilla public license v 2.0": "mpl2_ref",
@@ -68,6 +67,12 @@ SENTENCES = {
     "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0": "epl2_head",
 }
 
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+# Notices of one version alone.
+for _v in (2, 3):
+    for _said in (f"version {_v} as published by the free software foundation", f"version {_v} only as published by the free software foundation", f"as published by the free software foundation version {_v}", f"as published by the free software foundation version {_v} of the license"):
+        SENTENCES[f"{_GPL} {_said}"] = f"gpl{_v}_only"
+
 # What licences are called in sentences that refer to them, as patterns on the normal form.
 NAMES = (
     ("MIT", "mit", "(the )?(mit|expat)( license)?"),
@@ -75,13 +80,13 @@ NAMES = (
     ("BSD-3-Clause", "bsd3", "(the )?((bsd )?3 clause( bsd)?|(new|modified|revised) bsd)( license)?"),
     ("BSD-2-Clause", "bsd2", "(the )?((bsd )?2 clause( bsd)?|(simplified|freebsd) bsd)( license)?"),
     ("ISC", "isc", "(the )?isc( license)?"),
-    ("MPL-2.0", "mpl2", "(the )?(mozilla public license|mpl)( version)?( v)? ?2.0"),
-    ("AGPL-3.0", "agpl3", "(the )?(gnu )?(affero general public license|agpl)( version| v)? ?3(.0)?"),
-    ("LGPL-2.1", "lgpl21", "(the )?(gnu )?(lesser general public license|lgpl)( version| v)? ?2.1"),
-    ("LGPL-3.0", "lgpl3", "(the )?(gnu )?(lesser general public license|lgpl)( version| v)? ?3(.0)?"),
-    ("GPL-2.0", "gpl2", "(the )?(gnu )?(general public license|gpl)( version| v)? ?2(.0)?"),
-    ("GPL-3.0", "gpl3", "(the )?(gnu )?(general public license|gpl)( version| v)? ?3(.0)?"),
-    ("EPL-2.0", "epl2", "(the )?(eclipse public license|epl)( version| v)? ?2.0"),
+    ("MPL-2.0", "mpl2", "(the )?(mozilla public license|mpl)( version)?( ?v)? ?2.0"),
+    ("AGPL-3.0", "agpl3", "(the )?(gnu )?(affero general public license|agpl)( version| ?v)? ?3(.0)?"),
+    ("LGPL-2.1", "lgpl21", "(the )?(gnu )?(lesser general public license|lgpl)( version| ?v)? ?2.1"),
+    ("LGPL-3.0", "lgpl3", "(the )?(gnu )?(lesser general public license|lgpl)( version| ?v)? ?3(.0)?"),
+    ("GPL-2.0", "gpl2", "(the )?(gnu )?(general public license|gpl)( version| ?v)? ?2(.0)?"),
+    ("GPL-3.0", "gpl3", "(the )?(gnu )?(general public license|gpl)( version| ?v)? ?3(.0)?"),
+    ("EPL-2.0", "epl2", "(the )?(eclipse public license|epl)( version| ?v)? ?2.0"),
     ("BSL-1.0", "boost", "(the )?boost software license( version)? 1.0"),
     ("Zlib", "zlib", "(the )?zlib license"),
     ("Unlicense", "unlicense", "(the )?unlicense"),
@@ -92,17 +97,27 @@ NAMES = (
 )
 _REFERS = "^((this|the|all|our) ([a-z0-9]+ ){1,4}(is|are) )?(dual )?(licensed|released|distributed|available|published|provided|covered) (under|by) (the terms (and conditions )?of )?"
 
+# A sentence that refers to two licences or more names each of them.
+_ANY = "(" + "|".join(called for _, _, called in NAMES) + ")"
+SEVERAL = f"{_REFERS}(either( of)? |both )?{_ANY}( (or|and)( the)? {_ANY}){{1,3}}( at your (option|choice))?$".replace(".", "[.]")
+
 # Forms of sentences with a part of their own, as anchored patterns, tried in this order.
 PATTERNS = (
     ("^copyright( c)? [0-9]{4}.*$", "copyright"),
     ("^spdx license identifier mit$", "mit_ref"),
     ("^spdx license identifier apache 2.0$", "apache2_ref"),
     ("^spdx license identifier gpl 3.0( only| or later)?$", "gpl3_ref"),
+    # Any holder may be named, and whatever such a clause says else, a licence with it has three.
+    ("^neither the names? [a-z0-9.+ ]{1,400} endorse or promote [a-z0-9.+ ]{1,200}$", "bsd_endorse"),
+    ("^the names? of [a-z0-9.+ ]{1,200} may not be used to endorse or promote [a-z0-9.+ ]{1,200}$", "bsd_endorse"),
+    ("^(the )?apache license version 2.0 january 2004( https?)?( (www.)?apache.org licenses)?( license 2.0)?$", "apache2_title"),
     *((f"{_REFERS}{called.replace('.', '[.]')}$", f"{name}_ref") for _, name, called in NAMES),
+    *((f"^licen[sc]e (is )?{called.replace('.', '[.]')}$", f"{name}_ref") for _, name, called in NAMES),
     ("^spdx license identifier .*$", "spdx"),
 )
-#: The expression that an SPDX line gives, as it stands in the text.
-SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)"
+#: The expression that an SPDX line gives, as it stands in the text, and parentheses round the whole of one.
+SPDX = r"SPDX-License-Identifier:[ \t]*([(]*[A-Za-z0-9.+-]+[)]*(?:[ \t]+(?:OR|AND|WITH)[ \t]+[(]*[A-Za-z0-9.+-]+[)]*)*)"
+ROUND = "^[(]([^()]*)[)]$"
 
 # Licence rules, matched in this order.
 RULES = (
@@ -126,6 +141,8 @@ RULES = (
     ("LGPL-3.0-or-later", ("lgpl3_later",)),
     ("GPL-3.0-or-later", ("gpl3_later",)),
     ("GPL-2.0-or-later", ("gpl2_later",)),
+    ("GPL-2.0-only", ("gpl2_only",)),
+    ("GPL-3.0-only", ("gpl3_only",)),
     ("GPL-2.0", ("gpl2_preamble",)),
     ("GPL-3.0", ("gpl3_preamble",)),
     ("AGPL-3.0", ("agpl3_preamble",)),
@@ -134,13 +151,17 @@ RULES = (
     ("MPL-2.0", ("mpl2_ref", "mpl2_where")),
     ("EPL-2.0", ("epl2_head",)),
     *((licence, (f"{name}_ref",)) for licence, name, _ in NAMES),
+    ("Apache-2.0", ("apache2_title",)),
     ("MIT", ("mit_title",)),
 )
 
 #: Every known sentence holds one of these, so that others needn't be brought to normal form.
-CUES = "(licen|copyright|permi|warrant|redistribut|public domain)"
+CUES = "(licen|copyright|permi|warrant|redistribut|public domain|(released|distributed|available|published|provided|covered)[^a-z0-9]+(under|by)[^a-z0-9])"
 _SPACE = r"[ \t\n\r\f\x0B]+"
 
+#: Short forms whose point need not end a sentence.
+SHORT_FORMS = ("v", "inc", "ltd", "corp", "co")
+_INSIDE = "".join(f"(?<!(?<![a-z0-9.+]){w})" for w in SHORT_FORMS)
 #: What ends a sentence, and what may end one or stand inside it.
 END, LINE = "\x1e", "\n"
 
@@ -148,7 +169,8 @@ END, LINE = "\x1e", "\n"
 def known(sentences: dict[str, str]) -> str:
     """A pattern of known sentences between such ends, whatever lines they are wrapped to; the longest where several begin."""
     plain = lambda s: s.replace(".", "[.]").replace("+", "[+]").replace(" ", f"[ {LINE}]")
-    forms = (p[1:-1].replace(".*", f"[^{LINE}{END}]*").replace(" ?", " {0,1}").replace(" ", f"[ {LINE}]") for p, _ in PATTERNS)
+    # Inside a set of characters, another set is added to it.
+    forms = (p[1:-1].replace(".*", f"[^{LINE}{END}]*").replace(" ?", " {0,1}").replace(" ", f"[ {LINE}]") for p in (SEVERAL, *(p for p, _ in PATTERNS)))
     return f"(?<![^{LINE}{END}])(?:" + "|".join(map(plain, sorted(sentences, key=len, reverse=True))) + "|" + "|".join(forms) + f")(?![^{LINE}{END}])"
 
 
@@ -159,14 +181,14 @@ def normal(sentence: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """The normal form of a whole text: ``END`` at sentence ends and blank lines, ``LINE`` at other line ends, ';', ':' and 'v.'.
+    """The normal form of a whole text: ``END`` at sentence ends and blank lines, ``LINE`` at other line ends, ';', ':' and the points of short forms.
 
     A line of comment signs alone is blank.
     """
     kept = F.lower(F.regexp_replace(F.translate(text, END, " "), "\r\n?", "\n"))
     kept = F.regexp_replace(kept, "\n[^a-z0-9\n]*(?=\n)", END)
-    kept = F.regexp_replace(kept, f"([!?]|(?<!(?<![a-z0-9.+])v)[.]){_SPACE}", f"$1{END}")
-    kept = F.regexp_replace(kept, f"([;:]|v[.])(?={_SPACE})", f"$1{LINE}")
+    kept = F.regexp_replace(kept, f"([!?]|{_INSIDE}[.]){_SPACE}", f"$1{END}")
+    kept = F.regexp_replace(kept, f"([;:]|(?:{'|'.join(SHORT_FORMS)})[.])(?={_SPACE})", f"$1{LINE}")
     kept = F.regexp_replace(kept, f"[^a-z0-9.+{LINE}{END}]+", " ")
     kept = F.regexp_replace(kept, f"[.]+(?=[ {LINE}{END}]|$)", " ")
     kept = F.regexp_replace(kept, f"[ {LINE}]*+{END}[ {LINE}{END}]*+", END)
@@ -177,7 +199,7 @@ def segments(text: str) -> list[str]:
     """What ``lines`` makes of a text between sentence ends, each with single spaces: for texts on the driver."""
     kept = re.sub("\r\n?", "\n", text.replace(END, " ")).lower()
     kept = re.sub("\n[^a-z0-9\n]*(?=\n)", END, kept)
-    kept = re.sub(f"([!?]|(?<!(?<![a-z0-9.+])v)[.]){_SPACE}", rf"\1{END}", kept.replace("\x0c", " "))
+    kept = re.sub(f"([!?]|{_INSIDE}[.]){_SPACE}", rf"\1{END}", kept.replace("\x0c", " "))
     kept = re.sub(f"[^a-z0-9.+{END}]+", " ", kept)
     kept = re.sub(f"[.]+(?=[ {END}]|$)", " ", kept)
     return [" ".join(part.split()) for part in kept.split(END) if part.strip()]
@@ -198,7 +220,8 @@ def rules_of(texts: dict[str, str], least_words: int = 4) -> tuple[dict[str, str
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: tuple | None = None) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids and licenses, for every row.
 
-    ``sentence_ids`` are the identifiers in the text's order, joined by commas; ``licenses`` the
+    ``sentence_ids`` are the identifiers in the text's order, joined by commas, several for a
+    sentence that names several licences; ``licenses`` the
     licences whose rules matched and the expressions of SPDX lines, sorted, each once, joined by
     commas. Both are empty for texts without known sentences, null and empty texts among them.
     Repeated rows are kept. ``sentences`` and ``rules`` are this module's unless given, as by
@@ -208,9 +231,10 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: tuple
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(sentences.items())])
 
     def identify(sentence: Column) -> Column:
-        other = None
+        each = F.concat_ws(",", *[F.when(sentence.rlike(f" {called.replace('.', '[.]')}( or | and | at your |$)"), f"{name}_ref") for _, name, called in NAMES])
+        other = F.when(sentence.rlike(SEVERAL), each)
         for pattern, name in PATTERNS:
-            other = F.when(sentence.rlike(pattern), name) if other is None else other.when(sentence.rlike(pattern), name)
+            other = other.when(sentence.rlike(pattern), name)
         return F.coalesce(F.try_element_at(table, sentence), other)
 
     text = F.coalesce("text", F.lit(""))
@@ -219,7 +243,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: tuple
     cue = F.lower(text).rlike(CUES) if sentences is SENTENCES else F.lit(True)
     ids = F.filter(F.transform(F.regexp_extract_all(lines(text), F.lit(known(sentences)), F.lit(0)), lambda s: identify(F.translate(s, LINE, " "))), lambda x: x.isNotNull())
     said = F.when(F.contains(text, F.lit("SPDX-License-Identifier:")), F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))).otherwise(none)
-    said = F.transform(said, lambda e: F.regexp_replace(e, "[ \t]+", " "))
+    said = F.transform(said, lambda e: F.regexp_replace(F.regexp_replace(e, "[ \t]+", " "), ROUND, "$1"))
     found = docs.select("doc_id", F.when(cue, ids).otherwise(none).alias("ids"), said.alias("said"))
     listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(run) + ",").alias("run")) for name, run in rules if run])
 
@@ -245,7 +269,8 @@ def oracle_sql() -> str:
     """The same in DuckDB SQL for texts that hold each known sentence on one line."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = " ".join(f"WHEN {quoted(s)} THEN {quoted(i)}" for s, i in SENTENCES.items())
-    forms = " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(i)}" for p, i in PATTERNS)
+    each = ", ".join("CASE WHEN regexp_matches(s, {}) THEN {} END".format(quoted(f" {called.replace('.', '[.]')}( or | and | at your |$)"), quoted(f"{name}_ref")) for _, name, called in NAMES)
+    forms = f"WHEN regexp_matches(s, {quoted(SEVERAL)}) THEN concat_ws(',', {each}) " + " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(i)}" for p, i in PATTERNS)
     steps, left, names = [], "state0", []
     steps.append("state0 AS (SELECT doc_id, n, ids, said, ',' || coalesce(ids, '') || ',' AS l FROM ids)")
     columns = ""
@@ -268,7 +293,7 @@ WITH sentence AS (
 ), per_doc AS (
   SELECT rid, doc_id, count(id) AS n, string_agg(id, ',' ORDER BY pos) FILTER (WHERE id IS NOT NULL) AS ids FROM identified GROUP BY rid, doc_id
 ), ids AS (
-  SELECT d.doc_id, coalesce(p.n, 0) AS n, p.ids, d.said FROM (SELECT row_number() OVER () AS rid, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), {quoted(SPDX)}, 1), lambda e: regexp_replace(e, '[ \\t]+', ' ', 'g')) AS said FROM documents) d LEFT JOIN per_doc p ON d.rid = p.rid
+  SELECT d.doc_id, coalesce(p.n, 0) AS n, p.ids, d.said FROM (SELECT row_number() OVER () AS rid, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), {quoted(SPDX)}, 1), lambda e: regexp_replace(regexp_replace(e, '[ \\t]+', ' ', 'g'), {quoted(ROUND)}, '\\1')) AS said FROM documents) d LEFT JOIN per_doc p ON d.rid = p.rid
 ), {", ".join(steps)}
 SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(said, list_filter([{", ".join(names)}], lambda x: x IS NOT NULL)))), ','), '') AS licenses
