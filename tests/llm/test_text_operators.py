@@ -42,6 +42,30 @@ def test_long_runs_are_the_librarys(library, text):
     assert CODER._merge_long("▁" + text.replace(" ", "▁")) == library.encode(text) or not text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("theaonirs▁=_"), max_size=200), st.integers(1, 9), st.sampled_from([1, 3, 256]))
+def test_rounds_by_rank_are_the_librarys(library, text, times, window):
+    """Every segment by rank, whatever its length, through few places at a time."""
+    text = (text * times).strip(" ▁")
+    kept, piece.WINDOW = piece.WINDOW, window
+    try:
+        assert not text or CODER._merge_long("▁" + text.replace("▁", "_")) == library.encode(text.replace("▁", "_"))
+    finally:
+        piece.WINDOW = kept
+
+
+@pytest.mark.parametrize("letters, n", [("etaoinshrdlu", 300_000), ("the", 60_000), ("=", 100_000), ("漢字仮名", 20_000), ("thandon", 100_000)])
+def test_very_long_segments_take_time_in_proportion(library, letters, n):
+    import time
+
+    rng = random.Random(letters)
+    text = "".join(rng.choices(letters, k=n))
+    began = time.perf_counter()
+    ids = CODER.encode(text)
+    assert time.perf_counter() - began < 30 and CODER.decode(ids) == text
+    assert ids[: len(ids) // 2] == library.encode(text)[: len(ids) // 2]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 31_999), max_size=12))
 def test_any_ids_decode_as_the_librarys(library, ids):

@@ -6,6 +6,10 @@ segments of a slice of text are laid out as one flat array of symbols. A round l
 rank of every adjacent pair, takes the minimum of each segment, merges all its leftmost
 occurrences at once and compacts the arrays; segments without a pair leave the arrays.
 
+A segment may be of any length. In one of thousands of symbols many ranks are each the least once,
+so it has rounds of its own whose places are kept by rank: a round takes the places of the least
+rank, merges them at once, and files the pairs that this makes; it looks at no other symbol.
+
 A merge is made at all its places at once only where that equals merging one place after
 another: not for a piece that some better-ranked piece starts or ends with, or that shares its
 score, of which only the leftmost place merges in a round.
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from voxelframe.llm.common import slices
 
 NONE = np.int64(1 << 40)
-#: Segments of more symbols than this merge through a heap, one place at a time.
-LONG_SEGMENT = 400
+#: Segments of more symbols than this have rounds by rank.
+LONG_SEGMENT = 2000
+#: Places of one rank that such a round looks at.
+WINDOW = 256
 #: Segments that a worker remembers, in two generations.
 CACHE_ENTRIES = 250_000
 
@@ -111,7 +117,8 @@ class PieceModel:
                 if a is not None and b is not None:
                     pair[a * self.base + b] = i
                     risky.update(x for x in (a, b) if rank.get(x, -1) >= rank[i] and len(pieces) > x)
-        self.pair, self.rank = pair, rank
+        self.rank = rank
+        self.reach = 2 * max(map(len, self.vocab), default=1) + 2
         keys = np.array(sorted(pair), dtype=np.int64)
         self.keys, self.merged = keys, np.array([pair[k] for k in keys.tolist()], dtype=np.int64)
         self.ranks = np.array([rank[i] for i in self.merged.tolist()], dtype=np.int64)
@@ -252,30 +259,81 @@ class PieceModel:
         return out
 
     def _merge_long(self, text: str) -> list[int]:
-        """One very long segment: the best pair first, the leftmost of equals, through a heap."""
-        sym = self._symbols(text)
+        """One long segment in rounds: all leftmost places of the least rank at once.
+
+        A risky piece may start a better one, which comes before any further place. What that may
+        take in is bounded by the longest piece, so of its places those merge at once that have
+        no other so near on their left.
+        """
+        sym = np.array(self._symbols(text), dtype=np.int64)
         n = len(sym)
-        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-
-        def offer(a: int, b: int) -> None:
-            made = self.pair.get(sym[a] * self.base + sym[b])
-            if made is not None:
-                heapq.heappush(heap, (self.rank[made], a, b, sym[a], sym[b], made))
-
-        for k in range(n - 1):
-            offer(k, k + 1)
-        while heap:
-            _, a, b, left, right, made = heapq.heappop(heap)
-            if sym[a] != left or sym[b] != right or after[a] != b:
-                continue
-            sym[a], sym[b] = made, -1
-            after[a] = after[b]
-            if after[a] < n:
-                before[after[a]] = a
-                offer(a, after[a])
-            if before[a] >= 0:
-                offer(before[a], a)
-        return self._ids([s for s in sym if s >= 0], text)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n: none comes after
+        # By rank, new places and those known in order; pairs that are gone stay until they are met.
+        new: dict[int, list[np.ndarray]] = {}
+        known: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def file(at: np.ndarray) -> None:
+            """Put pairs that begin at some places under their ranks."""
+            at = at[after[at] < n]
+            found = self.look_up(sym[at] * self.base + sym[after[at]])
+            at, rank = at[found >= 0], self.ranks[found[found >= 0]]
+            for r in np.unique(rank).tolist():
+                if r not in new and r not in known:
+                    heapq.heappush(ranks, r)
+                new.setdefault(r, []).append(at[rank == r] if len(at) > 1 else at)
+
+        def file_all(at: np.ndarray) -> None:
+            """The same for many places of many ranks."""
+            found = self.look_up(sym[at] * self.base + sym[after[at]])
+            at, rank = at[found >= 0], self.ranks[found[found >= 0]]
+            order = np.argsort(rank, kind="stable")
+            own, first = np.unique(rank[order], return_index=True)
+            for r, part in zip(own.tolist(), np.split(at[order], first[1:]) if len(own) else (), strict=True):
+                new[r] = [part]
+                heapq.heappush(ranks, r)
+
+        file_all(np.arange(n - 1))
+        while ranks:
+            least = ranks[0]
+            if least in new:
+                known[least] = [np.unique(np.concatenate([*known.get(least, ()), *new.pop(least)]))]
+            parts = known[least]
+            at = parts.pop(0)
+            if len(at) > WINDOW:
+                parts.insert(0, at[WINDOW:])
+                at = at[:WINDOW]
+            if not parts:
+                del known[least]
+            at = at[(sym[at] >= 0) & (after[at] < n)]
+            found = self.look_up(sym[at] * self.base + sym[after[at]]) if len(at) else at
+            live = found >= 0
+            live[live] = self.ranks[found[live]] == least
+            at, made = at[live], self.merged[found[live]]
+            if len(at):
+                if self.risky[made].any():
+                    alone = np.r_[True, np.diff(at) >= self.reach]
+                    if len(at) > alone.sum():
+                        known.setdefault(least, []).insert(0, at[~alone])
+                    at, made = at[alone], made[alone]
+                else:
+                    # In a run of overlapping places every second one merges.
+                    joined = np.r_[False, after[at[:-1]] == at[1:]]
+                    start = np.maximum.accumulate(np.where(joined, 0, np.arange(len(at))))
+                    take = (np.arange(len(at)) - start) % 2 == 0
+                    at, made = at[take], made[take]
+                gone = after[at]
+                sym[at], sym[gone] = made, -1
+                after[at] = after[gone]
+                held = after[at] < n
+                before[after[at[held]]] = at[held]
+                touched = before[at]
+                file(np.unique(np.concatenate([touched[touched >= 0], at])))
+            if least not in known and least not in new:
+                # Better ranks may have come before it.
+                ranks.remove(least)
+                heapq.heapify(ranks)
+        return self._ids(sym[sym >= 0].tolist(), text)
 
     def encode(self, text: str) -> list[int]:
         parts = self.segments(text)
