@@ -41,7 +41,7 @@ from voxelframe.llm.wordarrays import SPACED, mixed, shingles, words
 
 #: A region of more shingles than this is measured against its centre by many tasks, which takes copies
 #: of one text out of it; what is more than LARGE_REGION then is made smaller still before a task joins it.
-DEALT_REGION = 250_000
+DEALT_REGION = 100_000
 LARGE_REGION = 3_000_000
 #: Rounds of that, and parts that the holders of a frequent shingle are dealt to.
 ROUNDS = 6
