@@ -1,6 +1,7 @@
 """Encoding, word pieces, chat formatting, licences, toxicity: against libraries, brute force or held-out rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import os
@@ -12,6 +13,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from voxelframe.llm import chat, license, piece, queries, toxicity, wordpiece  # noqa: E402
@@ -369,53 +371,115 @@ def test_licences_as_distributed(spark):
             assert name in plain[k].split(",")
 
 
-def test_kneser_ney_is_that_of_its_formula():
-    """All probabilities by plain loops over the training words, and that they sum to one."""
-    rng = random.Random(4)
-    texts = [("".join(rng.choices("abc", k=rng.randint(1, 6))), rng.randint(0, 5), rng.randint(0, 5)) for _ in range(60)]
+def models_by_loops(words):
+    """Probabilities of both classes' models by plain loops over (word, times in toxic, times in ordinary texts)."""
     n, d = toxicity.ORDER, toxicity.DISCOUNT
     grams = collections.defaultdict(lambda: [0, 0])
-    for w, toxic, ordinary in texts:
+    for w, toxic, ordinary in words:
         if toxic + ordinary:
             padded = toxicity._PAD + w + toxicity._END
             for k in range(len(w) + 1):
                 grams[padded[k : k + n]][0] += toxic
                 grams[padded[k : k + n]][1] += ordinary
     suffixes = {k: {g[-k:] for g in grams} for k in range(1, n + 1)}
+    letters = sorted({g[-1] for g in grams})
 
+    @functools.cache
     def shared(context, c):
         """The continuation probability after ``context``, which is shorter than the models' order."""
         k = len(context)
         below = shared(context[1:], c) if k else 1 / len(suffixes[1])
         count = {x: sum(g[1:] == context + x for g in suffixes[k + 2]) if k + 2 <= n else 0 for x in letters}
         total = sum(count.values())
-        return (max(count[c] - d, 0) + d * sum(v > 0 for v in count.values()) * below) / total if total else below
-
-    letters = sorted({g[-1] for g in grams})
+        return (max(count.get(c, 0) - d, 0) + d * sum(v > 0 for v in count.values()) * below) / total if total else below
 
     def p(kind, context, c):
         count = {x: grams[context + x][kind] if context + x in grams else 0 for x in letters}
         total, back = sum(count.values()), shared(context[1:], c)
-        return (max(count[c] - d, 0) + d * sum(v > 0 for v in count.values()) * back) / total if total else back
+        return (max(count.get(c, 0) - d, 0) + d * sum(v > 0 for v in count.values()) * back) / total if total else back
+
+    @functools.cache
+    def ratio(w):
+        padded, out = toxicity._PAD + w + toxicity._END, 0.0
+        for k in range(len(w) + 1):
+            context, c = padded[k : k + n - 1], padded[k + n - 1]
+            out += math.log(p(0, context, c) / p(1, context, c))
+        return out
+
+    return grams, letters, p, ratio
 
+
+def test_kneser_ney_is_that_of_its_formula():
+    """All probabilities by plain loops over the training words, and that they sum to one."""
+    rng = random.Random(4)
+    texts = [("".join(rng.choices("abc", k=rng.randint(1, 6))), rng.randint(0, 5), rng.randint(0, 5)) for _ in range(60)]
+    grams, letters, p, ratio = models_by_loops(texts)
     frame = pd.DataFrame({"gram": list(grams), "toxic": [v[0] for v in grams.values()], "ordinary": [v[1] for v in grams.values()]})
     model = toxicity.ToxicityModel(*toxicity.kneser_ney(frame))
     for context in {g[:-1] for g in list(grams)[:40]}:
         for kind in (0, 1):
             assert abs(sum(p(kind, context, c) for c in letters) - 1) < 1e-9
     for w in [w for w, _, _ in texts[:20]] + ["aabbc", "ccc", "abcabcab"]:
-        padded = toxicity._PAD + w + toxicity._END
-        want = 0.0
-        for k in range(len(w) + 1):
-            context, c = padded[k : k + n - 1], padded[k + n - 1]
-            own = [p(kind, context, c) for kind in (0, 1)]
-            want += math.log(own[0] / own[1])
-        assert abs(model.ratio(w) - want) < 1e-9
+        assert abs(model.ratio(w) - ratio(w)) < 1e-9
     model.chance = 0.01
     assert abs(model.difference("abc, ABC ccc") - (2 * model.word("abc") + model.word("ccc")) / 3) < 1e-12
     assert abs(model.word("abc") - math.log(0.99 + 0.01 * math.exp(model.ratio("abc")))) < 1e-12
 
 
+def test_the_whole_toxicity_score_is_that_of_its_definition(spark):
+    """Learning rows, models, chance and coefficients anew, by loops and another way to the least loss."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abe", k=rng.randint(1, 4))) for _ in range(25)]
+    rows, labels = [], []
+    for k in range(240):
+        own = rng.choices(vocabulary, k=rng.randint(0, 12))
+        if k % 3 == 0:
+            own += rng.choices(["bebad", "daba", "baddie"], k=rng.randint(0, 2))
+        rows.append((k, " ".join(own)))
+        labels.append((k, int(k % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    part = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)).alias("p")).collect()}
+    text, toxic = dict(rows), dict(labels)
+    learn = [k for k in text if zlib.crc32(str(k).encode()) % 5]
+    count = collections.defaultdict(lambda: [0, 0])
+    for k in learn:
+        if part[k] < toxicity.MODEL_TENTHS:
+            for w in text[k].split():
+                count[w][1 - toxic[k]] += 1
+    ratio = models_by_loops([(w, *c) for w, c in count.items()])[3]
+
+    def difference(t, chance):
+        own = t.split()
+        return sum(math.log(1 - chance + chance * math.exp(ratio(w))) for w in own) / max(1, len(own))
+
+    best = None
+    fitted = [k for k in learn if part[k] >= toxicity.MODEL_TENTHS]
+    y = np.array([toxic[k] for k in fitted], dtype=float)
+    for chance in toxicity.CHANCES:
+        x = np.array([difference(text[k], chance) for k in fitted])
+        scale = max(np.abs(x).mean(), 1e-9)
+        a, b = 0.0, 0.0
+        for _ in range(20_000):  # plain descent on the same penalised loss
+            p = 1 / (1 + np.exp(-(a * x / scale + b)))
+            a, b = a - 0.02 * (((p - y) * x / scale).sum() + 1e-2 * a), b - 0.02 * ((p - y).sum() + 1e-6 * b)
+        loss = np.logaddexp(0, np.where(y > 0, -1, 1) * (a * x / scale + b)).sum()
+        if best is None or loss < best[0] - 1e-9:
+            best = loss, chance, a / scale, b
+    _, chance, a, b = best
+    for k, t in text.items():
+        assert abs(got[k] - 1 / (1 + math.exp(-(a * difference(t, chance) + b)))) < 1e-4
+
+
+def test_more_grams_than_memory_has_are_learned_from_fewer_rows(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join("".join(rng.choices("abcdefghijklmnop", k=12)) for _ in range(20)) + (" moronic" if k % 2 else "")) for k in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    whole, bounded = toxicity.fit(docs, labels), toxicity.fit(docs, labels, most_grams=6000)
+    assert len(whole.seen) > 20_000 and 1000 < len(bounded.seen) <= 6000
+    assert bounded.scores(["plain moronic words", "plain words"])[0] > bounded.scores(["plain moronic words", "plain words"])[1]
+
+
 def test_toxicity_of_repeated_rows_and_long_texts(spark):
     docs = [(k, f"plain words are here {k}" if k % 3 else f"you are a moronic fool {k}") for k in range(150)]
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(150)], "doc_id long, toxic int")

@@ -31,6 +31,9 @@ ORDER = 5
 DISCOUNT = 0.75
 #: At most so many labelled rows are learned from: those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
+#: Distinct grams that are learned from, at most: what the driver and every task hold. Where the rows have more,
+#: fewer rows are learned from, again those with the smallest hash of doc_id.
+MOST_GRAMS = 2_000_000
 #: Tenths of the learning rows for the language models; the rest fits the coefficients.
 MODEL_TENTHS = 7
 #: Chances that are tried for a word of a toxic text to come from the toxic model.
@@ -185,9 +188,11 @@ def _count_grams(batches):
         yield flush()
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, most_grams: int = MOST_GRAMS) -> ToxicityModel:
     """Learn from labelled texts whose crc32(doc_id) modulo 5 isn't 0, at most ``train_rows`` of them.
 
+    Their distinct grams are ``most_grams`` at most; where they would be more, the sample is made
+    smaller until they aren't, so that the model's memory is bounded whatever the texts' length.
     Labels null, or of documents that aren't there, teach nothing; of several labels of one
     document the largest counts. Without labels of both kinds every text scores alike.
     """
@@ -200,10 +205,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     )
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10))
     # train_rows bounds what is broadcast; texts stay where they are. A row that is there twice teaches once.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").distinct().select("text", (F.col("toxic") == 1).alias("toxic"), part.alias("part"))
-    texts = stored(texts, "learning")
-    counted = texts.filter(F.col("part") < MODEL_TENTHS).select("text", "toxic").mapInArrow(_count_grams, "gram string, toxic long, ordinary long")
-    grams = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 33)  # 31 bits
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").distinct().select("text", (F.col("toxic") == 1).alias("toxic"), part.alias("part"), place.alias("place"))
+    texts, share = stored(texts, "learning"), 1.0
+    while True:
+        counted = texts.filter(F.col("part") < MODEL_TENTHS).select("text", "toxic").mapInArrow(_count_grams, "gram string, toxic long, ordinary long")
+        grams = stored(counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
+        found = grams.count()
+        if found <= most_grams:
+            break
+        share *= 0.8 * most_grams / found
+        texts = texts.filter(F.col("place") < int(share * (1 << 31)))
     model = ToxicityModel(*kneser_ney(grams.toPandas()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
