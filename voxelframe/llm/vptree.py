@@ -31,8 +31,9 @@ from voxelframe.llm.common import stored
 #: Vectors of a shard at most about this many, and bytes.
 SHARD_ROWS = 32_768
 SHARD_BYTES = 16 << 20
-#: Vectors of a cell on average, while there are no more cells than CELLS (a power of two).
-CELL_ROWS = 4096
+#: Vectors of a cell on average, while there are no more cells than CELLS (a power of two). Fewer than a shard's
+#: need no cells: a tree of their own tells more apart.
+CELL_ROWS = SHARD_ROWS
 CELLS = 256
 #: Vectors that the coarse trees are grown from, about; all vectors are then placed by them.
 SAMPLE_ROWS = 16_384
@@ -335,9 +336,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, relax: float = 1.6
                     cell[at] = grown_b.value[d].place(Points.of(data, e, scale_of[d]).lifted())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
-    placed = stored(once.mapInArrow(place, "vec_id long, d int, e int, data binary, row long, cell int"), "placed")
     # At most LENGTHS * CELLS rows; no other length has more vectors than a listed one.
-    count = placed.filter(F.col("d").isin(list(scale_of))).groupBy("d", "cell").count().collect()
+    if grown:
+        placed = stored(once.mapInArrow(place, "vec_id long, d int, e int, data binary, row long, cell int"), "placed")
+        count = placed.filter(F.col("d").isin(list(scale_of))).groupBy("d", "cell").count().collect()
+    else:
+        placed = once.withColumn("cell", F.lit(0))
+        count = [{"d": r["d"], "cell": 0, "count": r["n"]} for r in listed]
     limit = lambda d: max(1, min(shard_rows, SHARD_BYTES // (8 * d)))
     shards_of = {(r["d"], r["cell"]): -(-r["count"] // limit(r["d"])) for r in count}
     shards = spark.createDataFrame([(d, c, n) for (d, c), n in shards_of.items()], "d int, cell int, shards int")
@@ -371,7 +376,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, relax: float = 1.6
                     home[at] = grown_b.value[d].place(point)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], [*batch.schema.names, "cell"])
 
-    probes = queries.select("d", "e", "data", "salt").distinct().mapInArrow(settle, "d int, e int, data binary, salt int, cell int")
+    probes = queries.select("d", "e", "data", "salt").distinct()
+    probes = probes.mapInArrow(settle, "d int, e int, data binary, salt int, cell int") if grown else probes.withColumn("cell", F.lit(0))
     probes = stored(probes.withColumn("probe", F.monotonically_increasing_id()), "probes")
     # Queries of neighbouring cells go together, as they have other cells to visit in common.
     chunks, held, chunk = [], {}, 0
@@ -410,8 +416,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, relax: float = 1.6
     lowest = F.lit(float("-inf"))
     best = Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id", "row")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
-    found = stored(ranked(visit(probes.select("d", "cell", "chunk", "probe", "e", "data", lowest.alias("floor")))), "home")
+    found = ranked(visit(probes.select("d", "cell", "chunk", "probe", "e", "data", lowest.alias("floor"))))
     if grown:
+        found = stored(found, "home")
 
         def route(batches):
             for batch in batches:
