@@ -32,7 +32,7 @@ PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() els
 SCALE = 1_000_000
 STEP = -(-SCALE // 255)
 #: Bytes of text and documents of one shard, at most, but for a longer text alone.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SHARD_DOCS = 1 << 14
 #: Bytes of items that are searched in one pass over the index, about.
 BLOCK_BYTES = 2 << 20
