@@ -337,3 +337,24 @@ def test_readers(spark):
     for path, kind in (("x.doc", None), ("a.nd2", "zarr")):
         with pytest.raises(Exception, match="no reader|isn't"):
             pick(path, kind)
+
+
+def test_formats_are_told_by_what_lies_in_a_path(spark, tmp_path):
+    from voxelframe.sources import formats
+
+    files = {
+        "store": ["zarr.json", "0/zarr.json"], "old": [".zgroup"], "named.zarr": ["x"], "nd": ["NDTiff.index", "a.tif"], "below": ["sub/NDTiff.index"],
+        "cc": ["C0.index.txt", "C0.metadata.txt"], "ome": ["s/a.OME.TIF", "s/b.tif"], "tif": ["b.tiff"], "none": ["notes.md"], "deep": ["a/zarr.json"],
+    }
+    for folder, own in files.items():
+        for name in own:
+            (tmp_path / folder / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / folder / name).write_text("x")
+    for one_file in ("a.nd2", "b.ozx", "c.ome.tiff", "d.tif", "e.doc"):
+        (tmp_path / one_file).write_text("x")
+    roots = [*files, "a.nd2", "b.ozx", "c.ome.tiff", "d.tif", "e.doc"]
+    listed = formats.listing(spark, *(str(tmp_path / r) for r in roots), f"file://{tmp_path}/store")
+    got = {r["root"]: r["format"] for r in formats.infer_from_files(listed).collect()}
+    want = ["zarr", "zarr", "zarr", "ndtiff", None, "clearcontrol", "ome-tiff", "single-page-tiff", None, None, "nd2", "archive", "ome-tiff", "single-page-tiff", None]
+    assert [got[str(tmp_path / r)] for r in roots] == want and got[f"file://{tmp_path}/store"] == "zarr"
+    assert listed.filter("bytes != 1").count() == 0

@@ -23,6 +23,30 @@ def infer_format(spark, d):
     return table(spark, d, "part").select("p_partkey", formats.infer_format(path, F.col("p_partkey") % 7 == 3).alias("format"), formats.may_overwrite(path).alias("replaceable"))
 
 
+_FILES = "(SELECT p_partkey // 10 AS k, p_partkey % 10 AS j FROM part)"
+
+
+@query(
+    "infer_from_files",
+    "SELECT 'data/a' || k AS root, CASE k % 6 WHEN 0 THEN CASE WHEN bool_or(j = 3) THEN 'zarr' END WHEN 1 THEN CASE WHEN bool_or(j = 4) THEN 'ndtiff' ELSE 'single-page-tiff' END WHEN 2 THEN CASE WHEN bool_or(j % 2 = 1) THEN 'clearcontrol' END"
+    f" WHEN 3 THEN CASE WHEN bool_or(j = 7) THEN 'ome-tiff' ELSE 'single-page-tiff' END WHEN 4 THEN 'single-page-tiff' END AS format FROM {_FILES} GROUP BY k",
+)
+def infer_from_files(spark, d):
+    """Formats of folders by the files that lie in them."""
+    k, j = F.floor(F.col("p_partkey") / 10), F.col("p_partkey") % 10
+    other = lambda before, after: F.concat(F.lit(before), j.cast("string"), F.lit(after))
+    name = (
+        F.when(k % 6 == 0, F.when(j == 3, "zarr.json").otherwise(other("c/0/", "")))
+        .when(k % 6 == 1, F.when(j == 4, "NDTiff.index").otherwise(other("x_", ".TIF")))
+        .when(k % 6 == 2, F.when(j % 2 == 1, other("C", ".index.txt")).otherwise(other("C", ".metadata.txt")))
+        .when(k % 6 == 3, F.when(j == 7, "a.ome.tif").otherwise(other("b", ".tif")))
+        .when(k % 6 == 4, other("sub/b", ".tiff"))
+        .otherwise(other("notes", ".txt"))
+    )
+    root = F.concat(F.lit("data/a"), k.cast("string"))
+    return formats.infer_from_files(table(spark, d, "part").select(root.alias("root"), F.concat(root, F.lit("/"), name).alias("path")))
+
+
 @query("reader", "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'nd2' WHEN 1 THEN 'archive' WHEN 2 THEN 'zarr' WHEN 3 THEN 'ndtiff' WHEN 4 THEN 'ome-tiff' WHEN 5 THEN 'single-page-tiff' ELSE 'zarr' END AS reader FROM part")
 def reader(spark, d):
     """The reader of every path; where the name tells nothing the kind is asked for."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.functions import names
@@ -21,6 +21,57 @@ def infer_format(path: Column, has_index: Column) -> Column:
     )
 
 
+def listing(spark: SparkSession, *paths: str) -> DataFrame:
+    """(root, path, bytes) of every file below each path, or of the path itself; contents aren't read.
+
+    Spark passes over files with a leading dot, so a store's own ones are asked for at its top.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    out, dotted = None, []
+    for root in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        own = files.select(F.lit(root).alias("root"), "path", F.col("length").alias("bytes"))
+        out = own if out is None else out.unionByName(own)
+        system = hadoop.Path(root).getFileSystem(conf)
+        found = [hadoop.Path(f"{root}/{name}") for name in (".zgroup", ".zattrs")]
+        dotted += [(root, f.toString(), system.getFileStatus(f).getLen()) for f in found if system.exists(f)]
+    return out.unionByName(spark.createDataFrame(dotted, "root string, path string, bytes long"))
+
+
+def infer_from_files(files: DataFrame) -> DataFrame:
+    """(root, format): what each root is, by the names of the files in it (root, path).
+
+    A file is what its name says. A folder is a store where metadata of groups lie at its top or its
+    name says so; an acquisition with an index file, of volumes (index and metadata lines of
+    channels), or of images, of which those with metadata inside come first. Null for none.
+    """
+    # What follows the root, whatever scheme stands before either.
+    plain = lambda c: F.regexp_replace(c, "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
+    inside = F.regexp_replace(F.substr(plain("path"), F.length(plain("root")) + 1), "^/+", "")
+    name = F.lower(F.regexp_extract(inside, "[^/]*$", 0))
+    top = ~F.contains(inside, F.lit("/"))
+    rows = files.select("root", name.alias("name"), top.alias("top"), (inside == "").alias("itself"))
+    has = lambda pattern, where=F.lit(True): F.max(where & F.col("name").rlike(pattern))
+    one = rows.groupBy("root").agg(
+        F.max("itself").alias("file"),
+        has(r"^(zarr\.json|\.zgroup|\.zattrs)$", F.col("top")).alias("store"),
+        has(r"^ndtiff\.index$", F.col("top")).alias("indexed"),
+        has(r"\.index\.txt$", F.col("top")).alias("volumes"),
+        has(r"\.ome\.tiff?$").alias("ome"),
+        has(r"\.tiff?$").alias("tiff"),
+    )
+    named = infer_format(F.col("root"), F.col("indexed"))
+    found = (
+        F.when(F.col("file"), named)
+        .when(F.col("store") | F.contains(F.lower("root"), F.lit(".zarr")), "zarr")
+        .when(F.col("indexed"), "ndtiff")
+        .when(F.col("volumes"), "clearcontrol")
+        .when(F.col("ome"), "ome-tiff")
+        .when(F.col("tiff"), "single-page-tiff")
+    )
+    return one.select("root", found.alias("format"))
+
+
 def reader(path: Column, has_index: Column, kind: Column) -> Column:
     """The reader that opens a path: of the kind asked for, else of the format that it is; no such format raises.
 
