@@ -124,6 +124,17 @@ def test_token_counts(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "</s>"]), st.text(st.sampled_from("ab\\<>/s[]INSTROLEX \n"), max_size=30) | st.sampled_from(list(chat.CONTROL))), max_size=6))
+def test_token_counts_of_repeated_rows_other_columns_and_nothing(spark):
+    rows = [(1, "the cat", 7, "x"), (1, "the cat", 7, "x"), (None, "the  cat\n", 8, "y"), (2, None, 9, None), (None, "", None, "z"), (3, "a" * 300_000, 1, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, __text string")
+    out = wordpiece.token_counts(docs, MODEL)
+    assert out.columns == ["doc_id", "n_words", "n_tokens", "n_unknown"]
+    got = collections.Counter(tuple(r) for r in out.collect())
+    own = tuple(wordpiece.token_counts(docs.limit(1), MODEL).first())[1:]
+    assert got[(1, *own)] == 2 and got[(None, *own)] == 1 and got[(2, 0, 0, 0)] == 1 and got[(None, 0, 0, 0)] == 1 and got.total() == 6
+    assert wordpiece.token_counts(docs.limit(0), MODEL).collect() == []
+
+
 def test_formatted_turns_read_back(turns):
     pieces = list(chat.compile_template(chat.TEMPLATE)({"role": r, "text": t} for r, t in turns))
     back = list(chat.read_back(iter(pieces)))
