@@ -381,6 +381,26 @@ def test_zeros_are_metadata_alone(spark):
         A.create_zeros(levels, images.withColumn("shape", F.array(F.lit(1).cast("long"))), [1.0, 1.0]).collect()
 
 
+def test_images_are_created_with_their_levels(spark, tmp_path):
+    none = spark.createDataFrame([], "image string, level long, shape array<bigint>, dtype string, scale array<double>")
+    a = np.arange(1, 31).reshape(5, 6)
+    sizes, path = {"y": 5, "x": 6}, str(tmp_path / "p.zarr")
+    levels = A.create_image(none, path, "A", frame(spark, a, "yx"), sizes, {"y": 2, "x": 99}, [0.5, 0.25], "int64")
+    levels = A.create_image(levels, path, "A", frame(spark, a[::2, ::2], "yx"), {"y": 3, "x": 3}, {"y": 2, "x": 2}, [1.0, 0.5], "int64")
+    assert sorted((r["image"], r["level"], r["shape"], r["scale"]) for r in levels.collect()) == [("A", 0, [5, 6], [0.5, 0.25]), ("A", 1, [3, 3], [1.0, 0.5])]
+    assert (C.dense(A.read(spark, f"{path}/image=A/level=0", {"y": 2, "x": 6}), sizes) == a).all()
+    assert (C.dense(A.read(spark, f"{path}/image=A/level=1", {"y": 2, "x": 2}), {"y": 3, "x": 3}) == a[::2, ::2]).all()
+    assert {"low", "high"} <= set(spark.read.parquet(f"{path}/image=A/level=0").columns)
+    cells = frame(spark, a, "yx")
+    for bad in ({"scale": [1.0]}, {"scale": [1.0, 0.0]}, {"chunk": {"y": 0, "x": 1}}, {"chunk": {"y": 1}}):
+        with pytest.raises(ValueError):
+            A.create_image(none, path, "B", cells, sizes, **({"chunk": {"y": 2, "x": 2}, "scale": [1.0, 1.0], "dtype": "int64"} | bad))
+    with pytest.raises(Exception, match="outside"):
+        A.create_image(none, path, "C", cells, {"y": 4, "x": 6}, {"y": 2, "x": 2}, [1.0, 1.0], "int64")
+    with pytest.raises(Exception, match="number of axes"):
+        A.create_image(levels, path, "A", frame(spark, a[None], "zyx"), {"z": 1, **sizes}, {"z": 1, "y": 2, "x": 2}, [1.0] * 3, "int64").collect()
+
+
 def test_stores_are_guarded(spark, tmp_path):
     sizes = {"y": 4, "x": 4}
     chunks = A.to_chunks(spark.createDataFrame([(0, 0, 5), (3, 3, 7)], "y long, x long, value long"), sizes, {"y": 2, "x": 2})

@@ -124,3 +124,21 @@ def test_layouts_of_no_kind_raise(spark):
     assert pick('{"ome":{"plate":{}}}') == "hcs" and pick('{"multiscales":[]}') == "fov"
     with pytest.raises(Exception, match="no known layout"):
         pick('{"notes":1}')
+
+
+def test_images_are_read_by_what_lies_there(spark, plate, tmp_path):
+    from voxelframe.sources import formats
+
+    kind, tables = formats.read_images(spark, plate)
+    assert kind == "zarr" and tables["nodes"].count() == 105
+    (tmp_path / "cc").mkdir()
+    (tmp_path / "cc" / "C0.index.txt").write_text("0\t0.5\t4, 3, 2\n1\t0.6\t4, 3, 2\n")
+    (tmp_path / "cc" / "C0.metadata.txt").write_text('{"Channel":"C0","TimeStampInNanoSeconds":1}\n')
+    kind, tables = formats.read_images(spark, str(tmp_path / "cc"))
+    assert kind == "clearcontrol" and tuple(tables["shape"].first()) == (2, 1, 2, 3, 4) and tables["metadata"].count() == 1
+    (tmp_path / "a.nd2").write_text("x")
+    with pytest.raises(NotImplementedError, match="nd2"):
+        formats.read_images(spark, str(tmp_path / "a.nd2"))
+    (tmp_path / "b.doc").write_text("x")
+    with pytest.raises(ValueError, match="no reader"):
+        formats.read_images(spark, str(tmp_path / "b.doc"))

@@ -12,7 +12,6 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.operators import cells as C
 from voxelframe.operators import chunks, hierarchy
 from voxelframe.sources import arrays
 
@@ -62,10 +61,11 @@ def info(spark: SparkSession, store: str) -> str:
 
 def convert(spark: SparkSession, source: str, store: str, row: str, array: str, chunk: dict[str, int]) -> None:
     """A Parquet table with one array per row becomes a store of one level."""
-    cells = C.from_rows(spark.read.parquet(source), row, array)
-    sizes = C.shape_of(cells, ["y", "x"])
+    rows = spark.read.parquet(source)
+    top = rows.agg(F.coalesce(F.max(row) + 1, F.lit(0)), F.coalesce(F.max(F.size(array)), F.lit(0))).first()
+    sizes = {"y": int(top[0]), "x": max(0, int(top[1]))}
     chunk = {a: min(chunk.get(a, 256), max(1, n)) for a, n in sizes.items()}
-    arrays.write(arrays.to_chunks(cells, sizes, chunk), f"{store}/level=0")
+    arrays.write(chunks.from_rows(rows, row, array, lambda v: v, chunk, sizes), f"{store}/level=0")
     write_meta(spark, store, {"levels": [sizes], "chunk": chunk, "scale": {a: 1.0 for a in sizes}, "history": []})
 
 

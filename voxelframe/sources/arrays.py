@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.operators.chunks import element, extents, lists, shard_name
+from voxelframe.operators.chunks import element, extents, lists, shard_name, with_range
 
 
 def to_chunks(cells: DataFrame, sizes: Mapping[str, int], chunk: Mapping[str, int], shard: Mapping[str, int] | None = None, fill=0) -> DataFrame:
@@ -119,6 +119,24 @@ def create_zeros(levels: DataFrame, images: DataFrame, scale: Sequence[float]) -
     return levels.select("image", "level", "shape", "dtype", "scale").unionByName(new)
 
 
+def create_image(levels: DataFrame, path: str, image: str, cells: DataFrame, sizes: Mapping[str, int], chunk: Mapping[str, int], scale: Sequence[float], dtype: str, shard: Mapping[str, int] | None = None, mode: str = "w-") -> DataFrame:
+    """Write an image's next level and return the level records with its own (image, level, shape, dtype, scale).
+
+    Chunks hold their ranges of values, larger ones than the array are cut to it, and the scale has
+    a number above 0 for each axis. Data that don't fit the sizes raise while they are written, and
+    an image that has levels of another number of axes when the records are read.
+    """
+    if len(scale) != len(sizes) or any(s <= 0 for s in scale):
+        raise ValueError(f"a scale of {list(scale)} for axes {list(sizes)}")
+    if set(chunk) != set(sizes) or any(n < 1 for n in [*chunk.values(), *sizes.values()]):
+        raise ValueError(f"chunks of {dict(chunk)} for sizes {dict(sizes)}")
+    spark = cells.sparkSession
+    fitting = {a: min(chunk[a], sizes[a]) for a in sizes}
+    level = levels.filter(F.col("image") == image).count()
+    write(with_range(to_chunks(cells, sizes, fitting, shard)), f"{path}/image={image}/level={level}", mode)
+    return create_zeros(levels, spark.createDataFrame([(image, list(sizes.values()), dtype)], "image string, shape array<bigint>, dtype string"), scale)
+
+
 def read(spark: SparkSession, path: str, chunk: Mapping[str, int], region: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:
     """Cells of an array, or of a region of it (start and stop by axis).
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.functions import names
+from voxelframe.sources import acquisitions, stores
 
 
 def infer_format(path: Column, has_index: Column) -> Column:
@@ -83,6 +84,22 @@ def reader(path: Column, has_index: Column, kind: Column) -> Column:
     return F.when(kind.isNotNull() & found.isNotNull() & (kind != found), other).otherwise(F.coalesce(kind, found, unknown))
 
 
+def read_images(spark: SparkSession, path: str, kind: str | None = None) -> tuple[str, dict[str, DataFrame]]:
+    """The format of a path, by what lies there unless it is given, and its tables.
+
+    Stores have ``nodes`` (metadata of all groups and arrays); volumes with index lines have
+    ``shape`` and ``metadata``. Formats whose pixels need a vendor's codec are named, not read.
+    """
+    known = kind or infer_from_files(listing(spark, path)).first()["format"]
+    if known is None:
+        raise ValueError(f"no reader for {path}")
+    if known == "zarr":
+        return known, {"nodes": stores.open_store(spark, path)[2]}
+    if known == "clearcontrol":
+        return known, {"shape": acquisitions.shape(acquisitions.index_lines(spark, path)), "metadata": acquisitions.metadata_lines(spark, path)}
+    raise NotImplementedError(f"{known} files need a codec that this library leaves out")
+
+
 def may_overwrite(path: Column) -> Column:
     """Only paths that are named like stores may be replaced."""
     return F.contains(path, F.lit(".zarr")) | path.rlike(r"\.ozx$")
