@@ -358,3 +358,18 @@ def test_formats_are_told_by_what_lies_in_a_path(spark, tmp_path):
     want = ["zarr", "zarr", "zarr", "ndtiff", None, "clearcontrol", "ome-tiff", "single-page-tiff", None, None, "nd2", "archive", "ome-tiff", "single-page-tiff", None]
     assert [got[str(tmp_path / r)] for r in roots] == want and got[f"file://{tmp_path}/store"] == "zarr"
     assert listed.filter("bytes != 1").count() == 0
+
+
+def test_metadata_of_plates_and_wells(spark):
+    import json
+
+    rows = [("B", "10", "0"), ("A", "2", "10"), ("A", "2", "9"), ("A", "10", "0"), ("A", "2", "9")]
+    positions = spark.createDataFrame(rows, "row string, column string, field string")
+    wells = {(r["row"], r["column"]): json.loads(r["meta"]) for r in H.well_metadata(positions).collect()}
+    assert wells["A", "2"] == {"ome": {"version": "0.5", "well": {"images": [{"path": "9"}, {"path": "10"}]}}} and len(wells) == 3
+    assert json.loads(H.well_metadata(positions, "0.4").filter("row = 'B'").first()["meta"]) == {"well": {"images": [{"path": "0"}], "version": "0.4"}}
+    plate = json.loads(H.plate_metadata(positions.withColumn("p", F.lit(1)), ["p"], field_count=True).first()["meta"])["ome"]
+    assert plate["plate"]["rows"] == [{"name": "A"}, {"name": "B"}] and plate["plate"]["columns"] == [{"name": "2"}, {"name": "10"}]
+    assert plate["plate"]["wells"] == [{"path": "A/2", "rowIndex": 0, "columnIndex": 0}, {"path": "A/10", "rowIndex": 0, "columnIndex": 1}, {"path": "B/10", "rowIndex": 1, "columnIndex": 1}]
+    assert plate["plate"]["field_count"] == 2 and plate["version"] == "0.5"
+    assert "field_count" not in H.plate_metadata(positions.withColumn("p", F.lit(1)), ["p"]).first()["meta"]

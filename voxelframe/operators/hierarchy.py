@@ -119,6 +119,43 @@ def rename_wells(wells: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.withColumn("path", F.when(n > 1, F.raise_error(F.concat(F.lit("two wells would be "), "path"))).otherwise(F.col("path")))
 
 
+def _ordered(name: str) -> Column:
+    """The distinct values of a group in natural order."""
+    keyed = F.array_sort(F.collect_set(F.struct(natural_key(F.col(name)).alias("k"), F.col(name).alias("v"))))
+    return F.transform(keyed, lambda x: x["v"])
+
+
+def _wrapped(kind: str, content: Column, version: str) -> Column:
+    """Metadata of a group as JSON: the newer format wraps them and has the version beside them, the older has it inside."""
+    if version == "0.4":
+        return F.to_json(F.struct(content.withField("version", F.lit(version)).alias(kind)))
+    return F.to_json(F.struct(F.struct(F.lit(version).alias("version"), content.alias(kind)).alias("ome")))
+
+
+def well_metadata(positions: DataFrame, version: str = "0.5") -> DataFrame:
+    """(row, column, meta): the metadata of each well of positions (row, column, field), its fields in natural order."""
+    images = F.transform(_ordered("field"), lambda f: F.struct(f.alias("path")))
+    wells = positions.groupBy("row", "column").agg(images.alias("images"))
+    return wells.select("row", "column", _wrapped("well", F.struct("images"), version).alias("meta"))
+
+
+def plate_metadata(positions: DataFrame, keys: list[str], version: str = "0.5", field_count: bool = False) -> DataFrame:
+    """(keys, meta): the metadata of each plate of positions: its rows, columns and wells in natural order.
+
+    Wells name their row's and column's places in those lists. With ``field_count`` the largest
+    number of fields of a well is told too. A plate's wells meet in one row, as its metadata are
+    one document.
+    """
+    wells = positions.groupBy(*keys, "row", "column").agg(F.count_distinct("field").alias("n"))
+    well = F.array_sort(F.collect_list(F.struct(natural_key(F.col("row")).alias("a"), natural_key(F.col("column")).alias("b"), "row", "column")))
+    one = wells.groupBy(*keys).agg(_ordered("row").alias("rows"), _ordered("column").alias("columns"), well.alias("wells"), F.max("n").alias("n"))
+    named = lambda c: F.transform(c, lambda n: F.struct(n.alias("name")))
+    at = lambda c, v: (F.array_position(F.col(c), v) - 1).cast("int")
+    listed = F.transform("wells", lambda w: F.struct(F.concat_ws("/", w["row"], w["column"]).alias("path"), at("rows", w["row"]).alias("rowIndex"), at("columns", w["column"]).alias("columnIndex")))
+    parts = [named("rows").alias("rows"), named("columns").alias("columns"), listed.alias("wells"), *([F.col("n").alias("field_count")] if field_count else [])]
+    return one.select(*keys, _wrapped("plate", F.struct(*parts), version).alias("meta"))
+
+
 def layout(keys: Column) -> Column:
     """What a group of metadata keys describes: plate before a numbered series before a single image."""
     return F.when(F.array_contains(keys, "plate"), "hcs").when(F.array_contains(keys, "bioformats2raw.layout"), "bf2raw").when(F.array_contains(keys, "multiscales"), "fov")

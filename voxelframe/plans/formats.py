@@ -87,10 +87,24 @@ def missing_volume(spark, d):
     return formats.with_missing_volumes(movie(spark, d), C.grid(spark, sizes | {"t": sizes["t"] + 2}), ["t", "c"], -1)
 
 
-@query("dump_meta", f"WITH {PLATE_SQL} SELECT \"row\", '{{\"name\":\"' || \"row\" || '\",\"field_count\":' || count(*) || '}}' AS meta FROM P GROUP BY 1")
+_WELL_META = """SELECT "row", "column", '{"ome":{"version":"0.5","well":{"images":[' || string_agg('{"path":"' || field || '"}', ',' ORDER BY CAST(field AS BIGINT)) || ']}}}' AS meta FROM P GROUP BY 1, 2"""
+
+
+@query("dump_meta", f"WITH {PLATE_SQL} {_WELL_META}")
 def dump_meta(spark, d):
-    counts = plate(spark, d).groupBy("row").agg(F.count("*").alias("field_count"))
-    return counts.select("row", F.to_json(F.struct(F.col("row").alias("name"), "field_count")).alias("meta"))
+    """The metadata of every well."""
+    return H.well_metadata(plate(spark, d))
+
+
+_PLATE_META = """W AS (SELECT "row", "column", count(*) AS n, CAST(regexp_extract("column", '[0-9]+$') AS BIGINT) AS k FROM P GROUP BY 1, 2), C AS (SELECT "row", "column", n, k, row_number() OVER (PARTITION BY "row" ORDER BY k) - 1 AS i FROM W)
+SELECT "row" AS plate, '{"plate":{"rows":[{"name":"' || "row" || '"}],"columns":[' || string_agg('{"name":"' || "column" || '"}', ',' ORDER BY k) || '],"wells":[' ||
+  string_agg('{"path":"' || "row" || '/' || "column" || '","rowIndex":0,"columnIndex":' || i || '}', ',' ORDER BY k) || '],"field_count":' || max(n) || ',"version":"0.4"}}' AS meta FROM C GROUP BY 1"""
+
+
+@query("dump_plate_meta", f"WITH {PLATE_SQL}, {_PLATE_META}")
+def dump_plate_meta(spark, d):
+    """Each region as a plate of one row, in the older format, with the number of fields."""
+    return H.plate_metadata(plate(spark, d).withColumn("plate", F.col("row")), ["plate"], "0.4", field_count=True)
 
 
 @query("is_root", f'WITH {PLATE_SQL} SELECT DISTINCT "row" AS path FROM P')
