@@ -282,6 +282,15 @@ def test_chunks_asked_for_by_sizes(spark):
         ask((1, 8, 8), (1, 1, 8, 8, 8))
 
 
+def test_sizes_up_to_a_unit(spark):
+    from voxelframe.operators import images as I
+
+    assert [one(spark, names.size_text(F.lit(n), "KiB"))[0] for n in (1023, 1024, 980 * 256, 5681 * 256, 1 << 40)] == ["1023 B", "1.0 KiB", "245.0 KiB", "1420.2 KiB", "1073741824.0 KiB"]
+    levels = spark.createDataFrame([(1, 0, [5681, 64], "float32", 4)], "image int, level int, shape array<long>, dtype string, item int")
+    assert I.report(levels, "KiB").first()["report"] == "5681x64 float32 1420.2 KiB"
+    assert I.report(levels).first()["report"] == "5681x64 float32 1.4 MiB"
+
+
 def test_axes_by_name_and_indices_by_request(spark):
     axes = F.array(*[F.lit(a) for a in "TCZYX"])
     assert [one(spark, shapes.axis_index(axes, F.lit(a)))[0] for a in ("t", "Z", "x")] == [0, 2, 4]

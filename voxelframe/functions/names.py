@@ -110,12 +110,16 @@ def valid_well_path(path: Column) -> Column:
     return path.rlike(r"^\w+/\w+$")
 
 
-def size_text(n: Column) -> Column:
-    """Bytes for reading, one decimal, halves to the even one; null from 1024 TiB on."""
+def size_text(n: Column, largest: str | None = None) -> Column:
+    """Bytes for reading, one decimal, halves to the even one; null from 1024 TiB on.
+
+    With ``largest`` (KiB, MiB, GiB or TiB) no greater unit is taken, whatever the number.
+    """
+    units = ("KiB", "MiB", "GiB", "TiB")
     out = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for k, unit in enumerate(units if largest is None else units[: units.index(largest) + 1], 1):
         value = n / 1024.0**k
-        out = out.when(value < 1024, F.concat(F.format_string("%.1f", F.bround(value, 1)), F.lit(f" {unit}")))
+        out = out.when((value < 1024) | F.lit(unit == largest), F.concat(F.format_string("%.1f", F.bround(value, 1)), F.lit(f" {unit}")))
     return out
 
 

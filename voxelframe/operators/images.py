@@ -133,10 +133,10 @@ def progress_path(store: Column) -> Column:
     return F.concat(F.regexp_replace(store, "/+$", ""), F.lit(".progress"))
 
 
-def report(levels: DataFrame) -> DataFrame:
-    """A line of text for each image: shape, type and size of its first level."""
+def report(levels: DataFrame, largest: str | None = None) -> DataFrame:
+    """A line of text for each image: shape, type and size of its first level, in units up to ``largest`` (as ``names.size_text``)."""
     base = levels.filter("level = 0")
-    size = names.size_text(F.aggregate("shape", F.lit(1).cast("long"), lambda a, n: a * n) * F.col("item"))
+    size = names.size_text(F.aggregate("shape", F.lit(1).cast("long"), lambda a, n: a * n) * F.col("item"), largest)
     return base.select("image", F.concat(F.array_join(F.transform("shape", lambda n: n.cast("string")), "x"), F.lit(" "), F.col("dtype"), F.lit(" "), size).alias("report"))
 
 
