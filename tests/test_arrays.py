@@ -155,6 +155,24 @@ def test_user_functions_get_their_time(spark):
     assert (C.dense(out, {"t": 3, "y": 2, "x": 2}) == a * 10 + np.arange(3)[:, None, None]).all()
 
 
+def test_sparse_volumes_add_no_cells(spark):
+    rows = [(0, 0, 0, 5), (0, 1, 1, None), (1, 0, 1, 7)]
+    cells = spark.createDataFrame(rows, "t long, y long, x long, value long")
+    got = volumes.apply_to_volumes(cells, lambda v, input_time_index: v + 1 + input_time_index, ["t"], {"y": 2, "x": 2}, sparse=True).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(0, 0, 0, 6), (0, 1, 1, None), (1, 0, 1, 9)], key=repr)
+    assert volumes.apply_to_volumes(cells, lambda v: v + 1, ["t"], {"y": 2, "x": 2}).count() == 8
+    with pytest.raises(Exception, match="sparse volume"):
+        volumes.apply_to_volumes(cells, lambda v: v[:1], ["t"], {"y": 2, "x": 2}, sparse=True).collect()
+
+
+def test_user_map_on_a_last_block_that_is_not_full(spark, tmp_path):
+    from voxelframe import plans
+
+    spark.range(53).selectExpr("id AS vec_id", "array(id / 1000D, -id / 1000D) AS embedding").filter("id <> 7").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["block"] * 50 + r["y"], r["x"]): r["value"] for r in plans.QUERIES["user_map"](spark, str(tmp_path)).collect()}
+    assert got == {(y, x): (-y if x else y) * 3 + y // 50 for y in range(53) if y != 7 for x in (0, 1)}
+
+
 @FEW
 @given(st.integers(1, 7), st.integers(1, 7), st.integers(1, 4), st.integers(1, 4))
 def test_chunks_hold_the_same_cells(spark, h, w, cy, cx):

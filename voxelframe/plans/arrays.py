@@ -351,7 +351,7 @@ def user_map(spark, d):
     def scaled(volume, input_time_index):
         return volume * 3 + input_time_index
 
-    return volumes.apply_to_volumes(blocks, scaled, ["t"], {"y": 50, "x": image_sizes(spark, d)["x"]}).withColumnRenamed("t", "block")
+    return volumes.apply_to_volumes(blocks, scaled, ["t"], {"y": 50, "x": image_sizes(spark, d)["x"]}, sparse=True).withColumnRenamed("t", "block")
 
 
 @query("user_map_rows", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 2 AS first, CAST(embedding[len(embedding)] AS DOUBLE) * 2 AS last FROM embeddings")
@@ -485,7 +485,7 @@ def process_positions(spark, d):
     blocks = image(spark, d).select(F.floor(F.col("y") / 50).cast("long").alias("t"), (F.col("y") % 50).alias("y"), "x", "value")
     done = spark.createDataFrame([(5,)], "t_out long")
     scaled = lambda volume, input_time_index: volume * 3 + input_time_index
-    return volumes.process_positions(blocks, scaled, ["t"], {"y": 50, "x": image_sizes(spark, d)["x"]}, {"t": [(0, 1), (2, 0), (1, 5)]}, done)
+    return volumes.process_positions(blocks, scaled, ["t"], {"y": 50, "x": image_sizes(spark, d)["x"]}, {"t": [(0, 1), (2, 0), (1, 5)]}, done, sparse=True)
 
 
 @query("process_units", f"WITH {IMAGE_SQL} SELECT r AS run, o AS t, y % 50 AS y, x, value * 3 + i AS value FROM E JOIN (VALUES (0, 1, 1), (2, 0, 1), (1, 5, 2)) P(i, o, r) ON y // 50 = i")
