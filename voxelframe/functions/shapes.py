@@ -34,10 +34,22 @@ def clamp(chunks: Column, shape: Column) -> Column:
     return F.zip_with(chunks, shape, lambda c, n: F.least(c, n))
 
 
+def _halved(z: Column, plane: Column, most: int) -> Column:
+    """Z halved (rounding up) until it is 1 or ``z * plane`` is at most ``most``.
+
+    k halvings make ceil(z / 2^k), which is at most m where 2^k is at least ceil(z / m): k is the
+    number of binary digits of that quotient less one. So it is said in one step, not in a loop.
+    """
+    fitting = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(most) / plane))
+    beyond = F.ceil(z / fitting) - 1
+    k = F.when(beyond > 0, F.length(F.bin(beyond))).otherwise(0)
+    return F.when((plane > 0) & (z > 1), F.ceil(z / F.pow(F.lit(2.0), k)).cast("long")).otherwise(z)
+
+
 def limited_chunk(shape: Column, item: Column, most: int = MAX_CHUNK_BYTES) -> Column:
     """The older format's default chunk: one volume, Z halved (rounding up) until it fits ``most`` bytes."""
     plane = F.try_element_at(shape, F.lit(4)) * F.try_element_at(shape, F.lit(5)) * item
-    z = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.try_element_at(shape, F.lit(3)), lambda z, _: F.when((z > 1) & (z * plane > most), F.ceil(z / 2)).otherwise(z))
+    z = _halved(F.try_element_at(shape, F.lit(3)), plane, most)
     one = F.lit(1).cast("long")
     return F.array(one, one, z.cast("long"), F.try_element_at(shape, F.lit(4)), F.try_element_at(shape, F.lit(5)))
 
@@ -61,10 +73,12 @@ def chosen_chunk(sizes: Column, shape: Column, item: Column, most: int = MAX_CHU
     """
     refused = F.raise_error(F.concat(F.lit("chunks need five sizes: "), F.to_json(sizes))).cast("array<bigint>")
     own = F.when(F.size(sizes) == 5, sizes.cast("array<bigint>")).otherwise(refused)
-    plane = F.try_element_at(own, F.lit(4)) * F.try_element_at(own, F.lit(5)) * item
-    z = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.try_element_at(own, F.lit(3)), lambda z, _: F.when((z > 1) & (z * plane > most), F.ceil(z / 2)).otherwise(z))
-    limited = clamp(F.transform(own, lambda c, k: F.when(k == 2, z).otherwise(c)), shape)
-    smaller = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: F.try_element_at(limited, k + 1) < F.try_element_at(own, k + 1))
+    asked, there = ([F.try_element_at(c, F.lit(k)) for k in range(1, 6)] for c in (own, shape))
+    cut = [*asked[:2], _halved(asked[2], asked[3] * asked[4] * item, most), *asked[3:]]
+    cut = [F.least(c, n) for c, n in zip(cut, there, strict=True)]
+    more = F.slice(shape, 6, F.greatest(F.size(shape) - 5, F.lit(0)))  # axes beyond the five are taken whole
+    limited = F.when(shape.isNotNull(), F.concat(F.array(*cut), more))
+    smaller = F.array_compact(F.array(*[F.when(shape.isNotNull() & (c < a), F.lit(k)) for k, (c, a) in enumerate(zip(cut, asked, strict=True))]))
     return F.struct(limited.alias("chunk"), smaller.alias("clamped"))
 
 
