@@ -248,3 +248,24 @@ def test_bytes_bound_scores_on_both_sides(seed):
                 assert low[d] <= score <= high[d]
             else:
                 assert score == 0
+
+
+def test_few_looks_and_few_scores_where_nothing_is_ruled_out(monkeypatch):
+    """Vectors without structure: time went with leaves of 128, and all of a query's first leaf was scored and sorted."""
+    from voxelframe.llm import vptree
+
+    rng = np.random.default_rng(7)
+    data = rng.normal(size=(8000, 32))
+    data[4000:4030] = data[0]  # more ties than are asked for
+    ids, e, k = np.arange(len(data)), np.zeros(len(data), dtype=np.int64), 21
+    scale = vptree.Scale(0, float(np.linalg.norm(data, axis=1).max()))
+    order, nodes = vptree.build(vptree.Points.of(data, e, scale).lifted())
+    asked = vptree.Asked(data[::40], e[::40], scale, k, np.full(200, -np.inf))
+    looks, scored, offer, scores = [], [], vptree.Asked.offer, vptree.scores
+    monkeypatch.setattr(vptree.Asked, "offer", lambda self, *given: (looks.append(given[-1] - given[-2]), offer(self, *given)))
+    monkeypatch.setattr(vptree, "scores", lambda a, *given: (scored.append(len(a)), scores(a, *given))[1])
+    vptree.search(nodes, vptree.Points.of(data[order], e, scale), order, order, asked, 1.0)
+    exact = np.stack([vptree.inner(np.repeat(data[[q]], len(data), axis=0), data) for q in range(0, 8000, 40)])
+    want = np.stack([np.lexsort((ids, -row))[:k] for row in exact])
+    assert (asked.id == want).all()
+    assert len(looks) < 60 and sum(scored) < 200 * 5 * k

@@ -42,7 +42,10 @@ SAMPLE_ROWS = 16_384
 LENGTHS = 64
 #: Queries that meet a shard in one task, about.
 CHUNK_ROWS = 8192
-LEAF = 128
+#: Vectors of a leaf at most. Where little can be ruled out, time goes with the number of leaves that are looked at.
+LEAF = 1024
+#: Pairs of a query and a vector that are looked at in one step.
+PAIRS = 1 << 19
 #: Part of the longest norm by which a computed distance may be off.
 SLACK = 1e-7
 _NONE = np.iinfo(np.int64).max
@@ -156,8 +159,20 @@ class Asked:
         return np.sqrt(((self.point[rows] - points.data[at] * points.unit[at]) ** 2).sum(axis=1) + points.lift[at] ** 2)
 
     def offer(self, rows: np.ndarray, points: Points, ids: np.ndarray, numbers: np.ndarray, a: int, b: int) -> None:
+        step = max(1, PAIRS // (b - a))
+        for first in range(0, len(rows), step):
+            self._offer(rows[first : first + step], points, ids, numbers, a, b)
+
+    def _offer(self, rows: np.ndarray, points: Points, ids: np.ndarray, numbers: np.ndarray, a: int, b: int) -> None:
         near = (self.data[rows] @ points.data[a:b].T) * points.unit[a:b]
-        keep = near >= self.threshold(rows)[:, None] - (self.slack[rows, None] * points.norm[a:b] + 1e-300)
+        slack, k = self.slack[rows] * points.norm[a:b].max() + 1e-300, self.score.shape[1]
+        least = self.threshold(rows) - slack
+        keep = near >= least[:, None]
+        # Of many candidates, those surely behind k others of the same run are left out before any is scored.
+        many = np.flatnonzero(np.count_nonzero(keep, axis=1) > 2 * k)
+        if len(many):
+            kth = np.partition(near[many], b - a - k, axis=1)[:, b - a - k]
+            keep[many] &= near[many] >= (kth - 2 * slack[many])[:, None]
         r, c = np.nonzero(keep)
         if not len(r):
             return
@@ -172,7 +187,7 @@ class Asked:
         some, r = np.unique(r, return_inverse=True)
         n = np.bincount(r)
         place = np.arange(len(r)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-        own, k = rows[some], self.score.shape[1]
+        own = rows[some]
         all_scores = np.full((len(some), k + int(n.max())), -np.inf)
         all_ids = np.full(all_scores.shape, _NONE)
         all_rows = np.full(all_scores.shape, -1, dtype=np.int64)
