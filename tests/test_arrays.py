@@ -155,6 +155,23 @@ def test_user_functions_get_their_time(spark):
     assert (C.dense(out, {"t": 3, "y": 2, "x": 2}) == a * 10 + np.arange(3)[:, None, None]).all()
 
 
+def test_rows_are_cut_in_steps_of_bounded_size(spark, monkeypatch):
+    import pyarrow as pa
+
+    made = []
+    df = spark.range(3000).selectExpr("id AS k", "array_repeat(id + 1, 64) AS v")
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: (made.append(f), plain(self, f, schema))[1])
+    chunk, sizes = {"y": 100, "x": 24}, {"y": 3000, "x": 64}
+    rows = K.from_rows(df, "k", "v", lambda v: v, chunk, sizes)
+    assert rows.selectExpr("sum(aggregate(values, 0L, (a, n) -> a + n)) AS s").first()["s"] == 64 * 3000 * 3001 // 2
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([[k + 1] * 64 for k in range(3000)], pa.list_(pa.int64()))], ["row", "values"])
+    parts = list(made[0](iter([batch])))
+    cells = [len(p.column("values").flatten()) for p in parts]
+    assert sum(cells) == 3000 * 64 and max(cells) <= K.STEP_CELLS
+    assert sum(sum(p.column("values").flatten().to_pylist()) for p in parts) == 64 * 3000 * 3001 // 2
+
+
 def test_sparse_volumes_add_no_cells(spark):
     rows = [(0, 0, 0, 5), (0, 1, 1, None), (1, 0, 1, 7)]
     cells = spark.createDataFrame(rows, "t long, y long, x long, value long")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from voxelframe.operators.pool import METHODS
 
 Index = int | slice | Sequence[int]
+#: Cells that rows are cut for at a time: what a task holds beside its Arrow batch.
+STEP_CELLS = 1 << 16
 
 
 def rows_of(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
@@ -282,7 +284,8 @@ def from_rows(df: DataFrame, row: str, array: str, value: Callable[[Column], Col
     keys = [f"{y}_chunk", f"{x}_chunk"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        step = max(1, STEP_CELLS // max(1, sizes[x]))
+        for batch in (whole.slice(first, step) for whole in batches for first in range(0, whole.num_rows, step)):
             parts = _Parts(keys, arrow)
             for k, values in zip(batch.column("row").to_pylist(), rows_of(batch.column("values")), strict=True):
                 for a, b in _cuts(0, len(values), width) if len(values) else ():
