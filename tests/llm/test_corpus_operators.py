@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -179,6 +180,67 @@ def test_join_region_is_exact():
         assert [root.get(k, k) for k in range(25)] == want
 
 
+def variants(count, seed, shingles, least=0.0, most=0.4):
+    """Sets that differ from one base in these parts; some link with it, some with one another, some with none."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for k in range(count):
+        own = rng.integers(10**6, 10**12, int(shingles * rng.uniform(least, most)))
+        sets.append(np.unique(np.r_[rng.choice(shingles, shingles - len(own), replace=False), own]).astype(np.uint64))
+        if k % 50 == 49:
+            sets[-1] = np.r_[sets[-2][:-2], np.uint64(10**13 + k)]
+    return sets
+
+
+def test_join_region_measures_a_document_once():
+    """The work on a group of near copies doesn't grow with its cube: these took 50 seconds."""
+    sets = variants(2000, 3, 300, 0.05, 0.12)
+    began = time.perf_counter()
+    links = jaccard.join_region(np.arange(2000), sets, 80)
+    assert time.perf_counter() - began < 10
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(2000), size)
+    wide = np.flatnonzero(np.bincount(code) > 1)
+    place = np.full(code.max() + 1, -1)
+    place[wide] = np.arange(len(wide))
+    held = np.zeros((2000, len(wide)))
+    held[owner[place[code] >= 0], place[code[place[code] >= 0]]] = 1
+    both = held @ held.T
+    near = 100 * both >= 80 * (size[:, None] + size - both)
+    root = np.arange(2000)
+    for _ in range(100):
+        least = np.where(near, root, 2000).min(axis=1)
+        if (least >= root).all():
+            break
+        root = np.minimum(root, least)
+    out = dict(links)
+    assert [out.get(k, k) for k in range(2000)] == root.tolist()
+    assert 200 < len(links) < 1800
+
+
+@pytest.mark.parametrize("matrix, cells", [(1, 1), (4000, 700), (1 << 24, 40)])
+def test_join_region_in_small_steps(monkeypatch, matrix, cells):
+    """Few or no shingles as columns, and a few documents at a time."""
+    monkeypatch.setattr(jaccard, "MATRIX", matrix)
+    monkeypatch.setattr(jaccard, "BLOCK_CELLS", cells)
+    for percent in (70, 80, 90):
+        sets = variants(120, percent, 60) + variants(60, percent + 1, 40)
+        root = dict(jaccard.join_region(np.arange(180), sets, percent))
+        assert [root.get(k, k) for k in range(180)] == brute_groups_of_sets(sets, percent)
+
+
+def test_regions_are_dealt_by_documents_too(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LARGE_DOCS", 20)
+    sets = [np.r_[np.arange(8), 100 + k // 2].astype(np.uint64) for k in range(90)]
+    rows = spark.createDataFrame([(0, -1, k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "pivot long, band int, node long, shingles binary")
+    groups = collections.defaultdict(list)
+    for r in jaccard.in_blocks(rows).collect():
+        groups[r["part"]].append(r["node"])
+    assert len(groups) > 1 and max(map(len, groups.values())) <= 40
+    assert {(a, b) for g in groups.values() for a in g for b in g} == {(a, b) for a in range(90) for b in range(90)}
+
+
 def brute_groups_of_sets(sets, percent):
     root = list(range(len(sets)))
     for i in range(len(sets)):

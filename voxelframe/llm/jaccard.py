@@ -10,10 +10,10 @@ every region; so regions are made in two steps.
     document stands in the regions of these and no others: the window that holds all its
     partners. Most documents find only shingles of their own there and leave the join.
 2.  Documents that meet at a shingle go to the region of that shingle's first document, their
-    pivot there. A region is joined recursively by true distances: a pivot takes the ball of
-    all within the radius r, which is one component; by the triangle inequality a partner of
-    the ball lies within 2r of the pivot, and a document at distance d can only link with ball
-    members at d - r or more; the ball then leaves and the rest is joined in the same way. A
+    pivot there. A region is joined by true distances: a pivot takes the ball of all within the
+    radius r, which is one component; by the triangle inequality a document at distance d from
+    the pivot can only link with those at d - r to d + r, so each of the others is measured
+    against that window, until all that aren't measured are of one component. A
     region too large for a task goes through the same steps with its documents dealt to many:
     each round links a ball and keeps, beside what is outside, only the ball members that the
     triangle inequality lets link with the shell. Documents with too many shingles of their
@@ -43,6 +43,12 @@ from voxelframe.llm.wordarrays import SPACED, mixed, shingles, words
 #: of one text out of it; what is more than LARGE_REGION then is made smaller still before a task joins it.
 DEALT_REGION = 100_000
 LARGE_REGION = 3_000_000
+LARGE_DOCS = 16_384
+#: Cells of a region's matrix of shingles, and cells or postings that are worked on at once.
+MATRIX = 1 << 24
+BLOCK_CELLS = 1 << 21
+#: Rounds in which documents without a possible partner leave a region.
+LONE_ROUNDS = 8
 #: Rounds of that, and parts that the holders of a frequent shingle are dealt to.
 ROUNDS = 6
 PARTS = 64
@@ -132,62 +138,121 @@ def _region_sets(n: int):
     return run
 
 
+def _without_lone(code: np.ndarray, owner: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Numbers of the sets that may have a partner: of the others more shingles than a partner may lack are no other set's."""
+    spare = size - (size * percent + 99) // 100
+    alive = np.ones(len(size), dtype=bool)
+    for _ in range(LONE_ROUNDS):
+        here = alive[owner]
+        held = np.bincount(code[here])
+        own = np.bincount(owner[here][held[code[here]] == 1], minlength=len(size))
+        gone = alive & (own > spare)
+        if not gone.any():
+            break
+        alive[gone] = False
+    return np.flatnonzero(alive)
+
+
+class Region:
+    """Sets by their shingles: those that many of them hold as columns of a matrix, the others as postings."""
+
+    def __init__(self, code: np.ndarray, size: np.ndarray):
+        n = len(size)
+        self.size = size
+        held = np.bincount(code)
+        wide = min(MATRIX // n, len(held))
+        columns = np.argsort(-held, kind="stable")[:wide]
+        columns = columns[held[columns] > max(1, n // 16)]
+        place = np.full(len(held), -1)
+        place[columns] = np.arange(len(columns))
+        owner = np.repeat(np.arange(n), size)
+        mine = place[code] >= 0
+        # Counts below 2^24 are exact in single precision.
+        self.matrix = np.zeros((n, len(columns)), dtype=np.float32 if size.max() < 1 << 24 else np.float64)
+        self.matrix[owner[mine], place[code[mine]]] = 1
+        self.code, owner = code[~mine], owner[~mine]
+        self.begin = np.searchsorted(owner, np.arange(n + 1))
+        self.posting = owner[np.argsort(self.code, kind="stable")]
+        self.ends = np.r_[0, np.cumsum(np.bincount(self.code, minlength=len(held)))]
+        # Postings that a set's own shingles have.
+        self.cost = np.bincount(owner, np.diff(self.ends)[self.code], minlength=n).astype(np.int64)
+
+    def shared(self, some: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Shingles that each of ``some`` sets shares with each from ``lo`` to ``hi``."""
+        out = self.matrix[some] @ self.matrix[lo:hi].T
+        n = self.begin[some + 1] - self.begin[some]
+        own = self.code[_runs(self.begin[some], n)]
+        row = np.repeat(np.arange(len(some)), n)
+        n = self.ends[own + 1] - self.ends[own]
+        other, row = self.posting[_runs(self.ends[own], n)] - lo, np.repeat(row, n)
+        inside = (other >= 0) & (other < hi - lo)
+        at = row[inside] * (hi - lo) + other[inside]
+        if len(at):
+            out += np.bincount(at, minlength=out.size).reshape(out.shape)
+        return out
+
+    def near(self, some: np.ndarray, lo: int, hi: int, percent: int) -> np.ndarray:
+        """Which of them link: 100 * common >= percent * union."""
+        both = percent * (self.size[some][:, None] + self.size[None, lo:hi])
+        return self.shared(some, lo, hi) >= -(-both // (100 + percent))
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``n`` of them, one run after the other."""
+    return np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else first
+
+
 def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (document, root) of a region's components, by pivots, balls and shells."""
+    """Links (document, root) of a region's components, by a pivot, its ball and windows.
+
+    Documents without a possible partner leave. The pivot is the document whose shingles most
+    others hold, so its ball is large in a group of near copies, and one component. Each document
+    that isn't of the largest component is measured, once, against all whose distance from the
+    pivot the triangle inequality allows, members of the ball too; this ends when those that are
+    still to be measured are of one component, as a link between them tells nothing new. A
+    document is measured once at most, so work is at most the square of the documents.
+    """
     size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, code = np.unique(flat, return_inverse=True)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
+    kept = _without_lone(code, owner, size, percent)
+    if len(kept) < 2:
+        return []
+    stay = np.zeros(len(sets), dtype=bool)
+    stay[kept] = True
+    code, size = code[stay[owner]], size[kept]
     begin = np.r_[0, np.cumsum(size)]
-    by_code = np.argsort(code, kind="stable")
-    posting = owner[by_code]
-    ends = np.r_[0, np.cumsum(np.bincount(code))]
-    radius = 1 - percent / 100
-    alive = np.ones(len(sets), dtype=bool)
-    root = np.arange(len(sets))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    def merge(a: int, b: int) -> None:
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-
-    def common(k: int) -> np.ndarray:
-        """Shared shingles of document k with each document."""
-        own = code[begin[k] : begin[k + 1]]
-        n = ends[own + 1] - ends[own]
-        at = np.repeat(ends[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.bincount(posting[at], minlength=len(sets))
-
-    for pivot in range(len(sets)):
-        if not alive[pivot]:
-            continue
-        shared = common(pivot)
-        union = size[pivot] + size - shared
-        distance = 1 - shared / union
-        near = alive & (100 * shared >= percent * union)
-        shell = np.flatnonzero(alive & ~near & (distance <= 2 * radius + 1e-9))
-        ball = np.flatnonzero(near)
-        for k in ball.tolist():
-            merge(pivot, k)
-        if len(ball) > 1:
-            for k in shell.tolist():
-                if find(k) == find(pivot):
-                    continue
-                some = ball[distance[ball] >= distance[k] - radius - 1e-9]
-                if not len(some):
-                    continue
-                both = common(k)[some]
-                if np.any(100 * both >= percent * (size[k] + size[some] - both)):
-                    merge(pivot, k)
-        alive[ball] = False
-    roots = [find(k) for k in range(len(sets))]
-    return [(int(ids[k]), int(ids[r])) for k, r in enumerate(roots) if k != r]
+    held = np.bincount(code)
+    pivot = int(np.argmax(np.add.reduceat(held[code], begin[:-1]) / size))
+    own = np.zeros(len(held), dtype=bool)
+    own[code[begin[pivot] : begin[pivot + 1]]] = True
+    shared = np.add.reduceat(own[code].astype(np.int64), begin[:-1])
+    distance = 1 - shared / (size[pivot] + size - shared)
+    # From here on by distance from the pivot, which comes first.
+    order = np.argsort(distance, kind="stable")
+    order = np.r_[pivot, order[order != pivot]]
+    kept, distance = kept[order], distance[order]
+    region = Region(code[_runs(begin[order], size[order])], size[order])
+    radius = 1 - percent / 100 + 1e-9
+    label = np.arange(len(kept))
+    waits = np.ones(len(kept), dtype=bool)
+    block = np.array([0])
+    while len(block):
+        lo, hi = np.searchsorted(distance, distance[block[0]] - radius), np.searchsorted(distance, distance[block[-1]] + radius, "right")
+        for near in region.near(block, lo, hi, percent):
+            met = label[lo:hi][near]
+            least = met.min()
+            if (met != least).any():
+                label[np.isin(label, met)] = least
+        waits[block] = False
+        left = np.flatnonzero(waits)
+        block = left[label[left] != np.bincount(label[left]).argmax()] if len(left) else left
+        # As many as keep the products and the postings read at once small.
+        block = block[: max(1, BLOCK_CELLS // len(kept))]
+        block = block[: max(1, int(np.searchsorted(np.cumsum(region.cost[block]), BLOCK_CELLS)))]
+    root = np.full(len(kept), len(sets))
+    np.minimum.at(root, label, kept)
+    return [(int(ids[k]), int(ids[r])) for k, r in zip(kept.tolist(), root[label].tolist(), strict=True) if k != r]
 
 
 def _shared(shingles, other):
@@ -225,14 +290,19 @@ def without_lone(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.join(lone.hint("shuffle_hash"), [*keys, "node"], "left_anti")
 
 
+def _weight():
+    """How many times what one task joins a group of (node, shingles) is, by its shingles or its documents."""
+    return F.greatest(F.sum(F.octet_length("shingles") / 8) / LARGE_REGION, F.count("*") / LARGE_DOCS)
+
+
 def in_blocks(rows: DataFrame) -> DataFrame:
     """(pivot, band, part, node, shingles): groups above the limit are dealt to blocks, and each two blocks make a part.
 
     Any two documents of a group meet in a part, so the parts' links together are the group's.
     Two blocks hold four fifths of the limit on average.
     """
-    size = rows.groupBy("pivot", "band").agg(F.sum(F.octet_length("shingles") / 8).alias("size"))
-    blocks = size.select("pivot", "band", F.when(F.col("size") > LARGE_REGION, F.ceil(F.col("size") * 2.5 / LARGE_REGION)).otherwise(1).cast("int").alias("blocks"))
+    size = rows.groupBy("pivot", "band").agg(_weight().alias("size"))
+    blocks = size.select("pivot", "band", F.when(F.col("size") > 1, F.ceil(F.col("size") * 2.5)).otherwise(1).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
     met = rows.join(blocks, ["pivot", "band"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.filter("own <> other or blocks = 1")
@@ -271,8 +341,7 @@ def shrink_regions(rows: DataFrame, percent: int) -> tuple[list[DataFrame], Data
         rest = met.filter("not near").groupBy("pivot").agg(F.min("node").alias("next"), F.min(F.when(F.col("far") <= 2 * radius + 1e-9, F.col("far"))).alias("shell"))
         kept = met.join(stored(rest, "rest"), "pivot").filter(~F.col("near") | (F.col("far") >= F.col("shell") - radius - 1e-9))
         kept = stored(kept.select("pivot", F.col("next").alias("center"), "node", "shingles"), "kept")
-        size = kept.groupBy("pivot").agg(F.sum(F.octet_length("shingles") / 8).alias("size"))
-        large = stored(size.filter(F.col("size") > LARGE_REGION).select("pivot"), "large")
+        large = stored(kept.groupBy("pivot").agg(_weight().alias("size")).filter("size > 1").select("pivot"), "large")
         ready.append(kept.join(large, "pivot", "left_anti").select("pivot", F.lit(-1).alias("band"), whole, "node", "shingles"))
         now = kept.join(large, "pivot", "left_semi")
         if not large.head(1):
