@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -269,3 +270,29 @@ def test_few_looks_and_few_scores_where_nothing_is_ruled_out(monkeypatch):
     want = np.stack([np.lexsort((ids, -row))[:k] for row in exact])
     assert (asked.id == want).all()
     assert len(looks) < 60 and sum(scored) < 200 * 5 * k
+
+
+def test_search_takes_few_shards_at_once(spark, monkeypatch):
+    """Row groups and batches of a task with many shards: one group held them all, whatever their bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, groups = spark.conf.get(key), {}, []
+    write = lexical.stored
+
+    def stored(df, name, *parts, **options):
+        seen[name] = int(spark.conf.get(key))
+        out = write(df, name, *parts, **options)
+        if name == "index":
+            for file in out.inputFiles():
+                held = pq.ParquetFile(file.removeprefix("file://")).metadata
+                groups.extend(held.row_group(i).num_rows for i in range(held.num_row_groups))
+        return out
+
+    monkeypatch.setattr(lexical, "stored", stored)
+    monkeypatch.setattr(lexical, "SHARD_DOCS", 1)
+    docs = spark.createDataFrame([(k, f"a b{k % 7} c{k}") for k in range(40)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "b3 c5"), (2, "a")], "item_id long, text string")
+    out = [tuple(r)[:3] for r in lexical.search(docs, items, 3).orderBy("item_id", "rank").collect()]
+    assert out == [(1, 1, 5), (1, 2, 3), (1, 3, 10), (2, 1, 0), (2, 2, 1), (2, 3, 2)]
+    assert sum(groups) == 40 and max(groups) <= lexical.SHARDS_AT_ONCE
+    assert seen["index"] <= lexical.DOCS_AT_ONCE and seen["found"] <= lexical.SHARDS_AT_ONCE
+    assert spark.conf.get(key) == before

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +40,33 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/voxelframe/{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str, *parts: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, *parts: str, path: str | None = None, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder, in folders by ``parts``, and read it again: lineage is cut and lost executors cost nothing.
 
+    ``group_rows`` is for rows of megabytes: Parquet bounds a row group's bytes only from its hundredth row
+    on, and a reader decodes a group at once.
+
     Parquet rather than ``checkpoint()``, so that later readers take only the columns they need.
     """
     spark = df.sparkSession
     path = path or fresh_dir(spark, name)
-    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
+    writer = df.write.partitionBy(*parts) if parts else df.write
+    (writer.option("parquet.block.row.count.limit", group_rows) if group_rows else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """While this holds, Python gets at most so many rows at once; for jobs that run inside it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that ``stored`` wrote to ``path``; nothing may read it any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,7 +9,8 @@ Sums of bytes times weights are upper bounds of scores, and, as a byte can't be
 too high, give lower bounds too. A first pass over the first level alone finds each item's k-th
 lower bound over all shards; a second one rescores, in whole numbers, every document whose upper
 bound reaches it. Neither shuffles postings: a task takes a shard after the other and keeps the
-k best of each item.
+k best of each item. As a shard is megabytes, row groups and Arrow batches hold a few each, so
+that a task's memory doesn't grow with its shards.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import slices, stored
+from voxelframe.llm.common import slices, small_batches, stored
 
 #: Letters and digits in lower case, all else of ASCII a space; other bytes stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -34,6 +35,9 @@ STEP = -(-SCALE // 255)
 #: Bytes of text and documents of one shard, at most, but for a longer text alone.
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 1 << 14
+#: Shards that are written, read and sent to Python at once, and documents that are sent.
+SHARDS_AT_ONCE = 2
+DOCS_AT_ONCE = 1 << 10
 #: Bytes of items that are searched in one pass over the index, about.
 BLOCK_BYTES = 2 << 20
 
@@ -119,7 +123,7 @@ def index(docs: DataFrame, n: int, total: int) -> DataFrame:
         if counts:
             yield pack(ids, counts, n, total)
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), "index")
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), "index", group_rows=SHARDS_AT_ONCE)
 
 
 class Block:
@@ -192,19 +196,22 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     """
     spark = docs.sparkSession
     schema = "item_id long, rank int, doc_id long, score long"
-    n, total = sizes(docs)
+    with small_batches(spark, DOCS_AT_ONCE):
+        n, total = sizes(docs)
     asked = stored(items.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long").alias("item_id"), "text"), "items")
     blocks = -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
     if not total or not blocks:
         return spark.createDataFrame([], schema)
-    shards = index(docs, n, total)
+    with small_batches(spark, DOCS_AT_ONCE):
+        shards = index(docs, n, total)
     best = None
     for b in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toPandas().sort_values("row")  # about BLOCK_BYTES, or one item
         block = Block([t.encode() if t else b"" for t in own["text"]])
         if not block.items:
             continue
-        part = _search(shards, block, own["row"].to_numpy()[block.items], n, total, k)
+        with small_batches(spark, SHARDS_AT_ONCE):
+            part = stored(_search(shards, block, own["row"].to_numpy()[block.items], n, total, k), "found")
         best = part if best is None else best.unionByName(part)
     if best is None:
         return spark.createDataFrame([], schema)
