@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import slices, stored
+from voxelframe.llm.common import slices, small_batches, stored
 from voxelframe.llm.graph import components
 from voxelframe.llm.wordarrays import SPACED, mixed, shingles, words
 
@@ -46,7 +46,9 @@ LARGE_REGION = 3_000_000
 LARGE_DOCS = 16_384
 #: Cells of a region's matrix of shingles, and cells or postings that are worked on at once.
 MATRIX = 1 << 24
-BLOCK_CELLS = 1 << 21
+BLOCK_CELLS = 1 << 20
+#: Documents that are sent to Python at once.
+DOCS_AT_ONCE = 1 << 10
 #: Rounds in which documents without a possible partner leave a region.
 LONE_ROUNDS = 8
 #: Rounds of that, and parts that the holders of a frequent shingle are dealt to.
@@ -213,8 +215,8 @@ def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     document is measured once at most, so work is at most the square of the documents.
     """
     size = np.array([len(s) for s in sets])
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
     kept = _without_lone(code, owner, size, percent)
     if len(kept) < 2:
         return []
@@ -379,6 +381,11 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90, sampled: float |
     have that of their own text's class. Shingles are 64-bit hashes; classes are told apart by
     such a hash and the set's size.
     """
+    with small_batches(docs.sparkSession, DOCS_AT_ONCE):  # all that Python does is written in here
+        return _near_groups(docs, n, percent, sampled)
+
+
+def _near_groups(docs: DataFrame, n: int, percent: int, sampled: float | None) -> DataFrame:
     cut = int(min(1.0, sampled if sampled is not None else 1.75 * (1 - percent / 100)) * 2**63)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = stored(docs.mapInArrow(_fingerprints(n, cut), "doc_id long, n_shingles long, mark long, inside long"), "marks")
